@@ -53,7 +53,7 @@ def group_agg(df: DataFrame, keys: list[str], aggs: list[Column] = (), quantiles
     ``keys`` may be empty (one row). Null and NaN values are ignored by the quantiles.
     """
     quantiles = {name: (col(v), p) for name, (v, p) in (quantiles or {}).items()}
-    one_pass = [F.percentile(F.nanvl(v, F.lit(None).cast("double")), F.lit(p)).alias(name)
+    one_pass = [F.percentile(F.nanvl(v.cast("double"), F.lit(None).cast("double")), F.lit(p)).alias(name)
                 for name, (v, p) in quantiles.items()]
     if not quantiles or input_bytes(df) <= small_bytes:
         return df.groupBy(*keys).agg(*aggs, *one_pass) if (aggs or one_pass) else df.select(*keys).distinct()
