@@ -23,7 +23,7 @@ def input_bytes(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     total = 0
     while leaves.hasNext():
-        total += int(leaves.next().stats().sizeInBytes().toString())
+        total += int(str(leaves.next().stats().sizeInBytes()))
     return total
 
 

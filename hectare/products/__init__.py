@@ -1 +1,3 @@
+"""User-facing table products."""
 
+from . import incremental  # noqa: F401
