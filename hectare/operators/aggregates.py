@@ -17,7 +17,7 @@ def n_rows(name: str) -> Column:
 
 
 def quarterly_panel(df: DataFrame, keys: list[str], ts: str, value: str, amount: str, min_n: int = 3,
-                    lo: float | None = 100, hi: float | None = 100_000) -> DataFrame:
+                    lo: float | None = 100, hi: float | None = 100_000, digits: int = 2) -> DataFrame:
     """Group × quarter panel of a unit price: counts, total amount, median, mean and quartiles.
 
     Unit prices outside ``(lo, hi]`` and groups with fewer than ``min_n`` rows are left out.
@@ -34,7 +34,7 @@ def quarterly_panel(df: DataFrame, keys: list[str], ts: str, value: str, amount:
     return panel.filter(F.col("deed_count") >= min_n).select(
         *keys, "quarter_id", F.floor(F.col("quarter_id") / 10).cast("int").alias("sale_year"),
         (F.col("quarter_id") % 10).alias("sale_quarter"), "deed_count",
-        *[F.round(c, 2).alias(c) for c in ("total_value", "median_psqm", "mean_psqm", "p25_psqm", "p75_psqm")])
+        *[F.round(c, digits).alias(c) for c in ("total_value", "median_psqm", "mean_psqm", "p25_psqm", "p75_psqm")])
 
 
 def panel_rollup(panel: DataFrame, key: str) -> DataFrame:

@@ -113,7 +113,7 @@ def boundary_vertices(regions: DataFrame, code: str = "code", parts: str = "part
     Edges used by two regions cancel (neighbours share their vertices); of the rest, holes are left out.
     """
     e = edges(regions, code, parts)
-    a, b = F.struct("x1", "y1"), F.struct("x2", "y2")
+    a, b = (F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2))
     once = e.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(
         F.count(F.lit(1)).alias("uses"), F.min(F.struct("ring", "pos", "x1", "y1")).alias("e")).filter("uses = 1")
     kept = once.filter((F.col("e.ring") == 0) & (F.col("e.pos") % stride == 0))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["cleaning", "lookups", "panels"]
+THEMES = ["cleaning", "lookups", "panels", "spatial"]
 
 
 def all_queries():

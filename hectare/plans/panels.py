@@ -9,20 +9,20 @@ from ..operators import ranking, temporal
 from ..operators.quantiles import group_agg
 from .registry import Tables, query, rounded
 
-PANEL = """SELECT district, qid AS quarter_id, qid // 10 AS sale_year, qid % 10 AS sale_quarter, count(*) AS deed_count, round(sum(amount), 2) AS total_value,
-    round(median(psqm), 2) AS median_psqm, round(avg(psqm), 2) AS mean_psqm, round(quantile_cont(psqm, 0.25), 2) AS p25_psqm,
-    round(quantile_cont(psqm, 0.75), 2) AS p75_psqm FROM deals WHERE psqm > 100 AND psqm <= 100000 GROUP BY district, qid HAVING count(*) >= 3"""
+PANEL = """SELECT district, qid AS quarter_id, qid // 10 AS sale_year, qid % 10 AS sale_quarter, count(*) AS deed_count, round(sum(amount), 4) AS total_value,
+    round(median(psqm), 6) AS median_psqm, round(avg(psqm), 6) AS mean_psqm, round(quantile_cont(psqm, 0.25), 6) AS p25_psqm,
+    round(quantile_cont(psqm, 0.75), 6) AS p75_psqm FROM deals WHERE psqm > 100 AND psqm <= 100000 GROUP BY district, qid HAVING count(*) >= 3"""
 
 
 @query("quarterly_panel", "A1, S5", PANEL)
 def quarterly_panel(t: Tables):
-    return A.quarterly_panel(t.deals, ["district"], "ts", "psqm", "amount")
+    return A.quarterly_panel(t.deals, ["district"], "ts", "psqm", "amount", digits=6)
 
 
 @query("panel_rollup", "A2", f"""
     WITH p AS ({PANEL}) SELECT quarter_id, count(DISTINCT district) AS n_groups, sum(deed_count)::bigint AS n_deeds FROM p GROUP BY quarter_id""")
 def panel_rollup(t: Tables):
-    return A.panel_rollup(A.quarterly_panel(t.deals, ["district"], "ts", "psqm", "amount"), "district")
+    return A.panel_rollup(A.quarterly_panel(t.deals, ["district"], "ts", "psqm", "amount", digits=6), "district")
 
 
 @query("hot_group_quantiles", "A1", """
@@ -97,7 +97,7 @@ def distinct_counts(t: Tables):
 @query("trend_slopes", "A12", """
     WITH y AS (SELECT region, year(ts) AS y, avg(ln(1 + price)) AS m FROM sales GROUP BY ALL),
     b AS (SELECT region, CASE WHEN count(*) < 2 THEN 0 ELSE regr_sxy(m, y) / (regr_sxx(m, y) + 1e-10) END AS by_year FROM y GROUP BY region)
-    SELECT parcel, round(CASE WHEN count(*) < 3 OR regr_sxx(price, dq) = 0 THEN 0 ELSE regr_slope(price, dq) END, 4) + 0.0 AS by_row, round(any_value(by_year), 8) + 0.0 AS by_year
+    SELECT parcel, round(CASE WHEN count(*) < 3 OR regr_sxx(price, dq) = 0 THEN 0 ELSE regr_slope(price, dq) END, 2) + 0.0 AS by_row, round(any_value(by_year), 8) + 0.0 AS by_year
     FROM sales JOIN b USING (region) GROUP BY parcel""")
 def trend_slopes(t: Tables):
     by_row = A.trend_slope(t.sales, "parcel", "dq", "price", 3, out="by_row")
@@ -105,7 +105,7 @@ def trend_slopes(t: Tables):
     by_year = A.yearly_trend_slope(logs, "region", "y", "v", "by_year")
     home = t.cust.select(F.col("id").alias("parcel"), "region")
     out = by_row.join(home, "parcel").join(by_year, "region").select("parcel", "by_row", "by_year")
-    return rounded(rounded(out, 4, "by_row"), 8, "by_year")
+    return rounded(rounded(out, 2, "by_row"), 8, "by_year")
 
 
 @query("stats_by_year", "A13, V9", """
@@ -129,12 +129,12 @@ def overview(t: Tables):
 
 @query("activity_layer", "A14, V8", f"""
     WITH p AS ({PANEL}), r AS (SELECT * FROM p WHERE quarter_id IN (SELECT DISTINCT quarter_id FROM p ORDER BY 1 DESC LIMIT 4)),
-    l AS (SELECT district, sum(deed_count)::bigint AS deeds, round(sum(total_value), 2) AS total, count(DISTINCT quarter_id) AS quarters_active, round(median(median_psqm), 4) AS median_psqm
+    l AS (SELECT district, sum(deed_count)::bigint AS deeds, round(sum(total_value), 3) AS total, count(DISTINCT quarter_id) AS quarters_active, round(median(median_psqm), 4) AS median_psqm
           FROM r GROUP BY district HAVING sum(deed_count) >= 3)
     SELECT *, round(deeds / (SELECT max(deeds) FROM l), 4) AS activity_norm FROM l""")
 def activity_layer(t: Tables):
-    panel = A.quarterly_panel(t.deals, ["district"], "ts", "psqm", "amount")
-    return rounded(rounded(A.activity_layer(panel, "district"), 4, "median_psqm"), 2, "total")
+    panel = A.quarterly_panel(t.deals, ["district"], "ts", "psqm", "amount", digits=6)
+    return rounded(rounded(A.activity_layer(panel, "district"), 4, "median_psqm"), 3, "total")
 
 
 @query("monthly_trend", "A15", """
@@ -278,7 +278,7 @@ def latest_record(t: Tables):
 @query("prior_sales", "W9, F15", """
     WITH k AS (SELECT *, CASE WHEN parcel % 50 <> 0 THEN parcel END AS bbl FROM sales),
     h AS (SELECT id, price, ts, CASE WHEN bbl IS NOT NULL THEN lag(price) OVER w END AS pp, CASE WHEN bbl IS NOT NULL THEN lag(ts) OVER w END AS pt FROM k WINDOW w AS (PARTITION BY bbl ORDER BY ts, id))
-    SELECT id, pp AS prior_price, round(greatest(date_diff('day', pt::date, ts::date) / 365.25, 0), 6) AS years_since_prior,
+    SELECT id, pp AS prior_price, round(CASE WHEN pt IS NOT NULL THEN greatest(date_diff('day', pt::date, ts::date) / 365.25, 0) END, 6) AS years_since_prior,
            round(CASE WHEN pp > 0 THEN least(greatest(price / pp - 1, -0.9), 10) END, 6) AS appreciation, (pt IS NOT NULL)::int AS has_prior,
            coalesce((date_diff('day', pt::date, ts::date) / 365.25 < 2)::int, 0) AS is_flip FROM h""")
 def prior_sales(t: Tables):

@@ -30,20 +30,21 @@ def query(name: str, covers: str, sql: str | None = None):
     return add
 
 
-# Views shared by the SQL side: the same bindings as the methods of ``Tables`` below.
+# Views shared by the SQL side: the same bindings as the methods of ``Tables`` below. Unit prices are whole numbers, so
+# that interpolated quantiles are exact on both sides.
 def sql_point(key: str) -> str:
-    return f"40.45::double + ({key} * 7919 % 5000)::double / 10000 AS lat, -74.30::double + ({key} * 104729 % 6000)::double / 10000 AS lon"
+    return f"40.45::double + (({key}) * 7919 % 5000)::double / 10000 AS lat, -74.30::double + (({key}) * 104729 % 6000)::double / 10000 AS lon"
 
 
 VIEWS = {
     "sales": f"""SELECT o_orderkey AS id, o_totalprice AS price, o_orderdate AS ts, o_custkey AS parcel, n_regionkey AS borough,
         c_nationkey AS region, c_mktsegment AS kind, (500 + o_orderkey * 37 % 4500)::double AS area,
-        o_totalprice / (500 + o_orderkey * 37 % 4500)::double AS psf,
+        floor(o_totalprice / (500 + o_orderkey * 37 % 4500)::double) AS psf,
         (year(o_orderdate) * 10 + quarter(o_orderdate))::int AS qid,
         ((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) - 1)::int AS dq, {sql_point('o_custkey')}
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "deals": """SELECT l_orderkey, l_suppkey, n_name AS district, s_nationkey AS region, n_regionkey AS borough, l_returnflag AS kind,
-        l_quantity AS area, l_extendedprice AS amount, l_extendedprice / l_quantity AS psqm, l_shipdate AS ts,
+        l_quantity AS area, l_extendedprice AS amount, floor(l_extendedprice / l_quantity) AS psqm, l_shipdate AS ts,
         (year(l_shipdate) * 10 + quarter(l_shipdate))::int AS qid
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "cust": f"SELECT c_custkey AS id, c_nationkey AS region, c_mktsegment AS kind, c_acctbal AS bal, {sql_point('c_custkey')} FROM customer",
@@ -104,7 +105,7 @@ class Tables:
             .join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("ts"),
                     F.col("o_custkey").alias("parcel"), F.col("n_regionkey").alias("borough"), F.col("c_nationkey").alias("region"),
-                    F.col("c_mktsegment").alias("kind"), area.alias("area"), (F.col("o_totalprice") / area).alias("psf"),
+                    F.col("c_mktsegment").alias("kind"), area.alias("area"), F.floor(F.col("o_totalprice") / area).cast("double").alias("psf"),
                     quarter_id("o_orderdate").alias("qid"), dense_quarter("o_orderdate", 1995).alias("dq"),
                     xy["lat"].alias("lat"), xy["lon"].alias("lon"))
         )
@@ -117,7 +118,7 @@ class Tables:
             .join(self.nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .select("l_orderkey", "l_suppkey", F.col("n_name").alias("district"), F.col("s_nationkey").alias("region"),
                     F.col("n_regionkey").alias("borough"), F.col("l_returnflag").alias("kind"), F.col("l_quantity").alias("area"),
-                    F.col("l_extendedprice").alias("amount"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("psqm"),
+                    F.col("l_extendedprice").alias("amount"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("psqm"),
                     F.col("l_shipdate").alias("ts"), quarter_id("l_shipdate").alias("qid"))
         )
 
