@@ -118,11 +118,11 @@ def shift_check(df: DataFrame, predicted: str, baseline: str, factor: float = 3.
     """Has the distribution of predictions moved? One row per check with its value and outcome."""
     q = one_row(group_agg(df, [], [F.min(predicted).alias("lo")], {
         "p25": (predicted, 0.25), "p50": (predicted, 0.5), "p75": (predicted, 0.75), "base": (baseline, 0.5)}))
-    checks = F.array(
-        F.struct(F.lit("median_ratio").alias("check"), (q["p50"] / q["base"]).alias("value"),
-                 (q["p50"] / q["base"]).between(1 / factor, factor).cast("int").alias("passed")),
-        F.struct(F.lit("quartile_spread"), q["p75"] / q["p25"], (q["p75"] >= spread * q["p25"]).cast("int")),
-        F.struct(F.lit("positive"), q["lo"], (q["lo"] > 0).cast("int")))
+    row = lambda name, value, ok: F.struct(F.lit(name).alias("check"), value.alias("value"), ok.cast("int").alias("passed"))
+    ratio = q["p50"] / q["base"]
+    checks = F.array(row("median_ratio", ratio, ratio.between(1 / factor, factor)),
+                     row("quartile_spread", q["p75"] / q["p25"], q["p75"] >= spread * q["p25"]),
+                     row("positive", q["lo"], q["lo"] > 0))
     return df.sparkSession.range(1).select(F.inline(checks))
 
 

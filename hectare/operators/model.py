@@ -56,17 +56,16 @@ def out_of_fold(work: DataFrame, fold: str, k: int, learners: dict) -> DataFrame
 
 
 def fit_ridge(df: DataFrame, inputs: list[str], target: str, alpha: float = 1.0, nonneg: bool = False) -> dict:
-    """Ridge weights with a free intercept, from one distributed pass of centred cross products.
+    """Ridge weights with a free intercept, from two passes: means, then centred cross products.
 
     With ``nonneg`` the best non-negative solution is found over all active sets (the blend has a handful of inputs).
     """
     cols = [*inputs, target]
-    mean = one_row(df.agg(*[F.avg(c).alias(c) for c in cols]))
-    centred = {c: F.col(c) - mean[c] for c in cols}
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    centred = {c: F.col(c) - F.lit(means[i]) for i, c in enumerate(cols)}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.sum(centred[a] * centred[b]).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]).first()
-    s = {p: row[f"s{i}"] for i, p in enumerate(pairs)}
+    row = df.agg(*[F.sum(centred[a] * centred[b]).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]).first()
+    s = {p: row[i] for i, p in enumerate(pairs)}
     gram = np.array([[s.get((a, b), s.get((b, a))) for b in inputs] for a in inputs], dtype=float)
     rhs = np.array([s[(a, target)] for a in inputs], dtype=float)
     full = gram + alpha * np.eye(len(inputs))
@@ -83,7 +82,6 @@ def fit_ridge(df: DataFrame, inputs: list[str], target: str, alpha: float = 1.0,
                     full_w[ix] = w
                     best = (cost, full_w)
         weights = best[1]
-    means = [row[f"m{i}"] for i in range(len(cols))]
     intercept = means[-1] - float(np.dot(weights, means[:-1]))
     return {"intercept": intercept, "weights": dict(zip(inputs, map(float, weights)))}
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["cleaning", "lookups", "panels", "spatial"]
+THEMES = ["cleaning", "lookups", "panels", "spatial", "modelling", "sourcing"]
 
 
 def all_queries():
