@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["cleaning", "lookups", "panels", "spatial", "modelling", "sourcing"]
+THEMES = ["cleaning", "lookups", "panels", "spatial", "modelling", "sourcing", "products"]
 
 
 def all_queries():

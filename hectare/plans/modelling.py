@@ -151,7 +151,7 @@ def air_score(t: Tables):
 
 
 @query("interactions", "C5, C6", """
-    WITH x AS (SELECT id, borough, psf AS crime, area AS sqft, (id % 6)::int AS floors, floor(price) AS income, (id % 40)::int AS units, area * 0.1 * (id % 3) AS land, price * 0.5 AS prior FROM sales)
+    WITH x AS (SELECT id, borough, psf AS crime, area AS sqft, (id % 6)::int AS floors, floor(price) AS income, (id % 40)::int AS units, area * 0.1 * (id % 3) AS land, floor(price * 0.5) AS prior FROM sales)
     SELECT id, (borough = 1)::int AS is_core, crime * (borough = 1)::int AS crime_x_core, crime * (borough <> 1)::int AS crime_x_rest, round(sqft / greatest(floors, 1), 9) AS sqft_per_floor,
       round(income / (crime + 1), 9) AS income_over_crime, round(units / greatest(sqft, 1) * 1000, 9) AS density_index, round(ln(1 + greatest(sqft, 1)) * ln(1 + greatest(floors, 1)), 9) AS log_sqft_x_floors,
       round(ln(1 + greatest(land, 1)), 9) AS log_land, round(least(10, sqft / greatest(land, 1)), 9) AS lot_coverage, round(ln(1 + sqft * greatest(floors, 1)), 9) AS volume_proxy,
@@ -159,7 +159,7 @@ def air_score(t: Tables):
 def interactions(t: Tables):
     i = F.col("id")
     x = t.sales.select("id", "borough", F.col("psf").alias("crime"), F.col("area").alias("sqft"), (i % 6).cast("int").alias("floors"), F.floor("price").cast("double").alias("income"),
-                       (i % 40).cast("int").alias("units"), (F.col("area") * 0.1 * (i % 3)).alias("land"), (F.col("price") * 0.5).alias("prior"))
+                       (i % 40).cast("int").alias("units"), (F.col("area") * 0.1 * (i % 3)).alias("land"), F.floor(F.col("price") * 0.5).cast("double").alias("prior"))
     out = features.interactions(x, "borough", "crime", "sqft", "floors", "income", "units", "land", "prior")
     out = features.type_interactions(out, ["is_core"], ["crime"]).drop("borough", "crime", "sqft", "floors", "income", "units", "land", "prior")
     return rounded(out, 9, *[c for c in out.columns if c not in ("id", "is_core")])

@@ -182,9 +182,7 @@ def keyed_documents(t: Tables):
     entry = F.struct((F.col("n_nationkey") * 10 + 5).alias("price"), F.when(F.col("n_nationkey") % 2 == 0, "high").otherwise("low").alias("tier"))
     doc = F.to_json(F.struct(F.struct(F.map_from_entries(F.collect_list(F.struct("n_name", entry))).alias("districts")).alias("market")))
     docs = t.nation.groupBy(F.col("n_regionkey").alias("region")).agg(doc.alias("body"))
-    rows = docs.select("region", F.explode(F.from_json(F.get_json_object("body", "$.market.districts"), "map<string,struct<price:double,tier:string>>")).alias("key", "value"))
-    flat = S.keyed_json(docs, "body", "struct<price:double,tier:string>", "market.districts")
-    return rows.select("region", "key").join(flat, "key")
+    return S.keyed_json(docs, "body", "struct<price:double,tier:string>", "market.districts", keep=["region"])
 
 
 @query("event_properties", "S16", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")

@@ -1,12 +1,26 @@
-"""Comparables, overlays and batch valuation."""
+"""Batch valuation of property tables, comparables and overlays.
+
+A context holds what valuation needs, fitted once on past sales; valuing is then joins and expressions over the subject
+table, of any size. The predictor is a function table → table with ``log_prediction`` (a fitted stack, or a formula).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import spatial
-from ..operators.quantiles import group_agg
+from ..functions.numbers import unit_rates
+from ..functions.text import map_type
+from ..operators import encode, evaluate, spatial
+from ..operators.clean import validate_batch
+from ..operators.joins import lookup_chain
+from ..operators.quantiles import group_agg, join_groups
+from ..operators.ranking import latest_n
+
+Predict = Callable[[DataFrame], DataFrame]
 
 
 def comparables_report(subjects: DataFrame, sales: DataFrame, subject_id: str, value: str, price: str, sale_id: str = "id",
@@ -19,3 +33,122 @@ def comparables_report(subjects: DataFrame, sales: DataFrame, subject_id: str, v
     span = F.col("comp_max") - F.col("comp_min")
     place = F.when(span == 0, F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - F.col("comp_min")) / span)))
     return s.withColumns({"delta_pct": (F.col(value) / F.col("comp_median") - 1) * 100, "position": place}).drop(value)
+
+
+def asking_overlay(df: DataFrame, spreads: DataFrame, key: str, unit_price: str, area: Column, overall_pct: Column | float) -> DataFrame:
+    """Asking price per m² and in total: the key's asking median, else the unit price lifted by the overall spread."""
+    s = spreads.select(key, F.col("asking_median").alias("_ask"), F.col("spread_pct").alias("_pct"))
+    lift = overall_pct if isinstance(overall_pct, Column) else F.lit(float(overall_pct))
+    out = join_groups(df, s, [key])
+    psqm = F.coalesce(F.col("_ask"), F.col(unit_price) * (1 + lift / 100))
+    return out.withColumns({
+        "asking_psqm": F.bround(psqm).cast("bigint"),
+        "asking_total": F.bround(psqm * area).cast("bigint"),
+        "asking_spread_pct": F.bround(F.when(F.col("_ask").isNotNull(), F.col("_pct")).otherwise(lift), 1),
+    }).drop("_ask", "_pct")
+
+
+@dataclass
+class CityContext:
+    """Fitted tables for city valuation; ``sales`` has id, lat, lon, region."""
+
+    sales: DataFrame
+    region_encoding: DataFrame
+    mix_encoding: DataFrame
+    overall: Column
+    errors: DataFrame
+    spreads: DataFrame
+    spread_pct: Column | float
+
+
+def fit_city(work: DataFrame, errors: DataFrame, spreads: DataFrame, spread_pct, price: str = "price") -> CityContext:
+    """Fit the look-ups on the work set (id, lat, lon, region, kind, price)."""
+    lp = F.log1p(price)
+    rows = work.withColumn("letter", F.substring("kind", 1, 1))
+    return CityContext(work.select("id", "lat", "lon", "region"), encode.fit_target_encoding(rows, ["region"], lp),
+                       encode.fit_target_encoding(rows, ["region", "letter"], lp), encode.global_mean(rows, lp), errors, spreads, spread_pct)
+
+
+def value_nyc(subjects: DataFrame, ctx: CityContext, predict: Predict, rules: dict[str, Column], radius_m: float = 800) -> DataFrame:
+    """Value a table of subjects (id, lat, lon, borough, kind, area).
+
+    The region is that of the nearest past sale. Invalid rows are returned with their errors and no value.
+    """
+    ok, bad = validate_batch(subjects, rules)
+    sales = ctx.sales.withColumnRenamed("id", "sale_id")
+    placed = spatial.nearest_attrs(ok, sales, ["region"], "nearest_sale_m", p_id="sale_id")
+    placed = spatial.count_within(placed, sales, radius_m, {"comps": F.lit(True)}, metric="flat")
+    placed = placed.withColumn("letter", F.substring("kind", 1, 1))
+    coded = encode.apply_encoding(placed, ctx.region_encoding, ["region"], "region_encoded", ctx.overall)
+    coded = encode.apply_encoding(coded, ctx.mix_encoding, ["region", "letter"], "mix_encoded", F.col("region_encoded"))
+    priced = predict(coded).withColumn("predicted", F.expm1("log_prediction")).drop("log_prediction")
+    out = evaluate.confidence(priced, "predicted", "borough", ctx.errors)
+    out = evaluate.qc_flags(out, "comps", "predicted", "segment_medape", "borough")
+    out = unit_rates(out.withColumn("predicted", F.bround("predicted").cast("bigint")), "predicted", "area")
+    out = asking_overlay(out, ctx.spreads, "borough", "price_per_sqm", F.col("area") * 0.0929, ctx.spread_pct)
+    return out.drop("letter", "region_encoded", "mix_encoded").unionByName(bad, allowMissingColumns=True)
+
+
+@dataclass
+class DistrictContext:
+    """Fitted tables for district valuation; centroids are (district, lat, lon)."""
+
+    centroids: DataFrame
+    lags: DataFrame
+    type_lags: DataFrame
+    city_type: DataFrame
+    city_lag: Column
+    type_index: DataFrame
+    latest_index: DataFrame
+    errors: DataFrame
+    overall_error: Column | float
+    spreads: DataFrame
+    spread_pct: Column | float
+    types: list[tuple[str, str]]
+
+
+def fit_districts(work: DataFrame, centroids: DataFrame, index: DataFrame, errors: DataFrame, overall_error, spreads: DataFrame,
+                  spread_pct, types: list[tuple[str, str]]) -> DistrictContext:
+    """Fit the look-ups on the work panel rows (district, kind, qid, psqm); ``index`` is (qid, kind, type_index)."""
+    cells = group_agg(work, ["district", "qid"], [], {"m": ("psqm", 0.5)})
+    typed = group_agg(work, ["district", "kind", "qid"], [], {"m": ("psqm", 0.5)}).withColumn("_key", F.struct("district", "kind"))
+    type_lags = latest_n(typed, "_key", "qid", "m", 2).select("_key.*", F.col("lag1").alias("type_lag1"), F.col("lag2").alias("type_lag2"))
+    city = group_agg(work, ["kind"], [], {"city_type": ("psqm", 0.5)})
+    newest = index.groupBy("kind").agg(F.max_by("type_index", "qid").alias("type_index"))
+    return DistrictContext(centroids, latest_n(cells, "district", "qid", "m", 2, require_all=True), type_lags, city,
+                           group_agg(work, [], [], {"m": ("psqm", 0.5)}).scalar(), index, newest, errors, overall_error, spreads, spread_pct, types)
+
+
+def value_riyadh(subjects: DataFrame, ctx: DistrictContext, predict: Predict, rules: dict[str, Column], last_year: int) -> DataFrame:
+    """Value a table of subjects (id, lat, lon, property_type, area, year, quarter) by district, type and period.
+
+    The type name is made canonical first; the year is held at the last trained one.
+    """
+    ok, bad = validate_batch(subjects, rules)
+    named = ok.withColumns({"kind": map_type("property_type", ctx.types, "equals"),
+                            "qid": F.least(F.coalesce(F.col("year"), F.lit(last_year)), F.lit(last_year)) * 10 + F.coalesce(F.col("quarter"), F.lit(4))})
+    placed = spatial.nearest_attrs(named, ctx.centroids, ["district"], "centroid_m", p_id="district")
+    known = placed.join(ctx.lags, "district", "left").join(ctx.type_lags, ["district", "kind"], "left").join(ctx.city_type, "kind", "left")
+    type1 = F.coalesce("type_lag1", "city_type", ctx.city_lag)
+    known = known.withColumns({
+        "lag1": F.coalesce("lag1", ctx.city_lag), "lag2": F.coalesce("lag2", ctx.city_lag),
+        "type_lag1": type1, "type_lag2": F.coalesce(F.col("type_lag2"), type1)}).withColumn("momentum", F.col("lag1") - F.col("lag2"))
+    known = lookup_chain(known, [(ctx.type_index, ["qid", "kind"], "type_index"), (ctx.latest_index, ["kind"], "type_index")], "type_index", 100.0)
+    priced = predict(known).withColumn("price_sqm", F.bround(F.expm1("log_prediction")).cast("bigint")).drop("log_prediction")
+    overall = ctx.overall_error if isinstance(ctx.overall_error, Column) else F.lit(float(ctx.overall_error))
+    out = evaluate.attach_error(priced, ctx.errors, "district", overall)
+    out = evaluate.clamp_interval(out, "price_sqm", F.col("district_medape"))
+    out = out.withColumn("total", F.bround(F.col("price_sqm") * F.col("area")).cast("bigint"))
+    out = asking_overlay(out, ctx.spreads, "district", "price_sqm", F.col("area"), ctx.spread_pct)
+    helpers = ["kind", "qid", "lag1", "lag2", "type_lag1", "type_lag2", "city_type", "momentum", "type_index", "district_medape"]
+    return out.drop(*helpers).unionByName(bad, allowMissingColumns=True)
+
+
+def compare_pairs(pairs: DataFrame, values: DataFrame, id_col: str, value: str, same_pct: float = 2.0) -> DataFrame:
+    """Two valuations side by side: difference, percent of the smaller, and which is higher ('equal' within 2 % of A)."""
+    a = values.select(F.col(id_col).alias("id_a"), F.col(value).alias("value_a"))
+    b = values.select(F.col(id_col).alias("id_b"), F.col(value).alias("value_b"))
+    out = pairs.join(a, "id_a").join(b, "id_b")
+    diff = F.col("value_b") - F.col("value_a")
+    verdict = F.when(F.abs(diff) / F.col("value_a") * 100 < same_pct, "equal").when(diff > 0, "b").otherwise("a")
+    return out.withColumns({"diff": diff, "diff_pct": F.abs(diff) / F.least("value_a", "value_b") * 100, "higher": verdict})

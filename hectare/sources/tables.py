@@ -99,11 +99,12 @@ def read_glob(spark: SparkSession, pattern: str, latest: bool = False, sep: str
     return df.withColumn(with_file, F.input_file_name()) if with_file else df
 
 
-def keyed_json(df: DataFrame, json_col: str, value_type: str, root: str | None = None, key: str = "key") -> DataFrame:
+def keyed_json(df: DataFrame, json_col: str, value_type: str, root: str | None = None, key: str = "key",
+               keep: list[str] = ()) -> DataFrame:
     """JSON object of objects → one row per key, optionally below a dotted root."""
     text = F.get_json_object(json_col, f"$.{root}") if root else F.col(json_col)
-    return df.select(F.explode(F.from_json(text, f"map<string,{value_type}>")).alias(key, "value")).select(
-        key, "value.*" if value_type.startswith("struct") else "value")
+    return df.select(*keep, F.explode(F.from_json(text, f"map<string,{value_type}>")).alias(key, "value")).select(
+        *keep, key, "value.*" if value_type.startswith("struct") else "value")
 
 
 def json_paths(df: DataFrame, json_col: str, paths: dict[str, tuple[str, str]], keep: list[str] = ()) -> DataFrame:
