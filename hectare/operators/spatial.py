@@ -1,7 +1,8 @@
 """Nearest points and counts within a radius, as equi-joins on a pyramid of grid cells.
 
 The points are grouped into cells of a grid that gets four times finer per level and side. Each cell row carries its
-counts and the tight box around its points; the finest level also carries the points. A query point walks down the
+counts and the tight box around its points; the finest level also carries the points. The cell tables are written to the
+shared folder once per call, so the walk's plan stays short and a lost executor does not rebuild them. A query point walks down the
 levels by equi-joins on the cell: cells that cannot matter are dropped, cells that lie wholly inside the radius are
 counted from their totals, only the rest is opened. So a cell that holds a third of all points costs no more than its
 border, copies of one location are merged beforehand, and no task ever sees all pairs of a crowded area.
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, METRICS
+from ..session import scratch_path
 
 FAN = 4  # cells per side and level
 LEAF_SIZE = 24  # distinct locations a finest cell should hold at most
@@ -74,19 +76,27 @@ def fit_grid(points: DataFrame, leaf_size: int = LEAF_SIZE) -> Grid | None:
     return Grid(e["y0"], e["x0"], span, level, lat_abs)
 
 
-def _pyramid(points: DataFrame, grid: Grid, sums: list[str], payload: list[str]) -> list[DataFrame]:
-    """Cell tables for levels 0 … depth; each is an aggregate of the next finer one."""
+def _stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: lineage ends here and survives lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _pyramid(spots: DataFrame, grid: Grid, sums: list[str], payload: list[str]) -> dict[int, DataFrame]:
+    """Cell tables per level; the finest also holds its points. Coarser levels come from one pass over the locations."""
     box = [F.min("_y").alias("y0"), F.max("_y").alias("y1"), F.min("_x").alias("x0"), F.max("_x").alias("x1")]
-    finest = points.groupBy(
-        grid.row(F.col("_y"), grid.lat0, grid.depth).alias("iy"), grid.row(F.col("_x"), grid.lon0, grid.depth).alias("ix")
-    ).agg(*box, *[F.sum(c).alias(c) for c in sums],
-          F.collect_list(F.struct("_y", "_x", *sums, *payload)).alias("pts"))
-    levels = [finest]
-    for _ in range(grid.depth):
-        below = levels[0]
-        levels.insert(0, below.groupBy(F.floor(F.col("iy") / FAN).alias("iy"), F.floor(F.col("ix") / FAN).alias("ix")).agg(
-            F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
-            *[F.sum(c).alias(c) for c in sums]))
+    keyed = spots.withColumns({"iy": grid.row(F.col("_y"), grid.lat0, grid.depth), "ix": grid.row(F.col("_x"), grid.lon0, grid.depth)})
+    finest = keyed.groupBy("iy", "ix").agg(*box, *[F.sum(c).alias(c) for c in sums],
+                                           F.collect_list(F.struct("_y", "_x", *sums, *payload)).alias("pts"))
+    levels = {grid.depth: _stored(finest, "cells")}
+    if grid.depth > 1:
+        up = lambda c: F.floor(F.col(c) / F.pow(F.lit(float(FAN)), F.lit(grid.depth) - F.col("level"))).cast("bigint").alias(c)
+        spread = keyed.select(F.explode(F.sequence(F.lit(1), F.lit(grid.depth - 1))).alias("level"), "iy", "ix", "_y", "_x", *sums)
+        coarse = spread.select("level", up("iy"), up("ix"), "_y", "_x", *sums).groupBy("level", "iy", "ix").agg(
+            *box, *[F.sum(c).alias(c) for c in sums])
+        table = _stored(coarse, "levels", by="level")
+        levels |= {n: table.filter(F.col("level") == n).drop("level") for n in range(1, grid.depth)}
     return levels
 
 
@@ -139,7 +149,7 @@ def nearest_k(subjects: DataFrame, points: DataFrame, k: int = 1, metric: str =
         w = Window.partitionBy("_y", "_x").orderBy("_id")
         first = pts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
         spots = first.groupBy("_y", "_x").agg(F.array_sort(F.collect_list(F.struct("_id", "_row"))).alias("rows"))
-    spots = spots.withColumn("n", F.size("rows").cast("bigint"))
+    spots = _stored(spots.withColumn("n", F.size("rows").cast("bigint")), "spots")
     grid = fit_grid(spots.select("_y", "_x"), leaf_size)
     empty = _nearest_columns(spots.select(F.explode("rows").alias("r"), F.col("_y").alias("_sy"), F.col("_x").alias("_sx"),
                                           F.lit(0).alias("rank"), F.lit(0.0).alias("d")), lat, lon, p_id, cols)
@@ -212,6 +222,7 @@ def count_within(subjects: DataFrame, points: DataFrame, radius_m: float, counts
         .groupBy(F.col(p_lat).alias("_y"), F.col(p_lon).alias("_x"))
         .agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
     )
+    spots = _stored(spots, "spots")
     places = located(subjects, lat, lon).select(F.col(lat).alias("_sy"), F.col(lon).alias("_sx")).distinct()
     grid = fit_grid(spots.select("_y", "_x"), leaf_size)
     if grid is None:
@@ -227,7 +238,6 @@ def count_within(subjects: DataFrame, points: DataFrame, radius_m: float, counts
         start += 1
 
     def span(value: str, origin: float, reach: float):
-        n = grid.cells(start)
         return F.sequence(grid.row(F.col(value) - reach, origin, start), grid.row(F.col(value) + reach, origin, start))
 
     cand = (
@@ -238,8 +248,9 @@ def count_within(subjects: DataFrame, points: DataFrame, radius_m: float, counts
     total = F.struct(*[F.col(n) for n in names])
     for level in range(start, grid.depth + 1):
         cells = cand.join(levels[level], ["iy", "ix"], "left" if level > start else "inner").withColumns({"_lo": lo, "_hi": hi})
-        state = F.when(F.col("_done").isNotNull(), F.col("_done")).when(F.col("_hi") <= radius_m, total)
-        cells = cells.withColumn("_done", state).filter(F.col("_done").isNotNull() | (F.col("_lo") <= radius_m))
+        state = F.coalesce(F.col("_done"), F.when(F.col("_hi") <= radius_m, total))
+        # a child without points finds no cell row (y0 is null): it is dropped here
+        cells = cells.withColumn("_done", state).filter(F.col("_done").isNotNull() | (F.col("y0").isNotNull() & (F.col("_lo") <= radius_m)))
         if level < grid.depth:
             # finished rows travel on under keys that match no cell, spread so that they do not pile up in one task
             parked = F.array(F.struct((-1 - F.pmod(F.xxhash64("_sy", "_sx", "iy", "ix"), F.lit(4096))).alias("iy"),
