@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import timedelta
 
 import pandas as pd
 import pytest
@@ -11,6 +12,10 @@ from hectare.operators import aggregates, encode, impute, joins, ranking, split,
 from hectare.operators.quantiles import group_agg, quantile_by_rank
 
 
+def ts(*parts):
+    return pd.Timestamp(*parts).to_pydatetime()
+
+
 def table(spark, n=400, seed=3):
     r = random.Random(seed)
     rows = []
@@ -53,7 +58,7 @@ def test_group_of_only_nulls_keeps_its_row(spark):
 @pytest.mark.parametrize("fraction", [0.0, 0.15, 0.5, 1.0])
 def test_time_split_is_exact_with_ties(spark, fraction):
     r = random.Random(1)
-    rows = [(i, pd.Timestamp(2020, 1, 1 + r.choice([0, 0, 0, 1, 2, 5]))) for i in r.sample(range(1000), 137)]
+    rows = [(i, ts(2020, 1, 1 + r.choice([0, 0, 0, 1, 2, 5]))) for i in r.sample(range(1000), 137)]
     df = spark.createDataFrame(rows, "id bigint, ts timestamp")
     got = {x.id for x in split.time_split(df, "ts", "id", fraction).filter("holdout = 1").collect()}
     ordered = sorted(rows, key=lambda x: (x[1], x[0]))
@@ -80,15 +85,15 @@ def test_hash_split_is_stable_under_repartitioning(spark):
 
 def test_prior_sale_matches_plain_order(spark):
     r = random.Random(5)
-    rows = [(i, r.choice(["p", "p", "p", "q", None]), pd.Timestamp(2015, 1, 1) + pd.Timedelta(days=r.randrange(4000)), float(r.randrange(0, 900))) for i in range(300)]
+    rows = [(i, r.choice(["p", "p", "p", "q", None]), ts(2015, 1, 1) + timedelta(days=r.randrange(4000)), float(r.randrange(0, 900))) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, parcel string, ts timestamp, price double")
     got = {x.id: (x.prior_price, x.has_prior, x.is_flip) for x in temporal.prior_sale(df, "parcel", "ts", "price", ["id"]).collect()}
     last, want = {}, {}
-    for i, k, ts, price in sorted(rows, key=lambda x: (x[2], x[0])):
+    for i, k, day, price in sorted(rows, key=lambda x: (x[2], x[0])):
         old = last.get(k) if k else None
-        want[i] = (old[1], 1, int((ts - old[0]).days / 365.25 < 2)) if old else (None, 0, 0)
+        want[i] = (old[1], 1, int((day - old[0]).days / 365.25 < 2)) if old else (None, 0, 0)
         if k:
-            last[k] = (ts, price)
+            last[k] = (day, price)
     assert got == want
 
 
@@ -102,8 +107,8 @@ def test_missing_calendar_quarter_is_not_skipped(spark):
 
 
 def test_asof_carries_across_buckets(spark):
-    s = spark.createDataFrame([(pd.Timestamp("2020-01-10"), 1.0), (pd.Timestamp("2020-01-20"), 2.0), (pd.Timestamp("2020-05-05"), 3.0)], "t timestamp, v double")
-    f = spark.createDataFrame([(i, pd.Timestamp(d)) for i, d in enumerate(["2020-01-01", "2020-01-10", "2020-01-19", "2020-03-01", "2020-05-04", "2020-05-05", "2021-01-01"])], "id int, ts timestamp")
+    s = spark.createDataFrame([(ts("2020-01-10"), 1.0), (ts("2020-01-20"), 2.0), (ts("2020-05-05"), 3.0)], "t timestamp, v double")
+    f = spark.createDataFrame([(i, ts(d)) for i, d in enumerate(["2020-01-01", "2020-01-10", "2020-01-19", "2020-03-01", "2020-05-04", "2020-05-05", "2021-01-01"])], "id int, ts timestamp")
     assert {r.id: r.v for r in joins.asof_last(f, s, "ts", "t", "v").collect()} == {0: None, 1: 1.0, 2: 1.0, 3: 2.0, 4: 2.0, 5: 3.0, 6: 3.0}
 
 
