@@ -127,7 +127,7 @@ def parse_listing_text(df: DataFrame, text_col: str, labels: dict[str, str] = LI
     price = price.when(amount < BARE_PRICE_LIMIT, amount * 1e3).otherwise(amount)
     raw_type = F.trim(_found(text, labels["type"]))
     age_text = F.trim(_found(text, labels["age"]))
-    return df.withColumns({
+    fields = {
         "price_sar": price,
         "area_sqm": _number(_found(text, labels["area"])),
         "bedrooms": _found(text, labels["rooms"]).try_cast("int"),
@@ -139,7 +139,10 @@ def parse_listing_text(df: DataFrame, text_col: str, labels: dict[str, str] = LI
         "district": F.trim(_found(text, labels["district"])),
         "lat": _found(text, labels["map"], 1).try_cast("double"),
         "lon": _found(text, labels["map"], 2).try_cast("double"),
-    })
+    }
+    # one-element explode: later filters then use the parsed values instead of parsing the text again
+    parsed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in fields.items()])))
+    return df.withColumn("_parsed", parsed).select(*df.columns, "_parsed.*")
 
 
 def listing_id(url, pattern: str = r"/(\d+)/") -> Column:

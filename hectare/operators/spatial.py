@@ -22,6 +22,7 @@ from ..session import scratch_path
 FAN = 4  # cells per side and level
 LEAF_SIZE = 24  # distinct locations a finest cell should hold at most
 MAX_LEVEL = 13  # about 1 mm for a city: below it, more levels cannot separate locations
+DISTANCE_ONLY = "_one"  # id column of callers that want no attributes
 SLACK = 1e-9  # relative safety margin of cell bounds; exact tests are always made on points
 
 
@@ -174,7 +175,12 @@ def nearest_k(subjects: DataFrame, points: DataFrame, k: int = 1, metric: str =
     opened = kept.select("_sy", "_sx", F.explode("pts").alias("p"))
     measured = opened.select("_sy", "_sx", F.explode("p.rows").alias("r"),
                              distance("_sy", "_sx", F.col("p._y"), F.col("p._x")).alias("d"))
-    if k == 1:
+    if k == 1 and p_id == DISTANCE_ONLY:
+        # no id to break ties with: a plain minimum stays a hash aggregate
+        nearest = measured.groupBy("_sy", "_sx").agg(F.min("d").alias("d"))
+        any_row = F.struct(F.lit(0).alias("_id"), F.struct(F.lit(0).alias(p_id)).alias("_row"))
+        ranked = nearest.select("_sy", "_sx", "d", any_row.alias("r"), F.lit(1).alias("rank"))
+    elif k == 1:
         best = measured.groupBy("_sy", "_sx").agg(F.min(F.struct("d", "r")).alias("b"))
         ranked = best.select("_sy", "_sx", "b.d", "b.r", F.lit(1).alias("rank"))
     else:
@@ -202,8 +208,8 @@ def nearest_distance(subjects: DataFrame, points: DataFrame, out: str, metric: s
                      where: Column | None = None) -> DataFrame:
     """Attach the distance in metres to the nearest point (of those that satisfy ``where``)."""
     kept = points if where is None else points.filter(where)
-    spots = kept.select(p_lat, p_lon, F.lit(0).alias("_one"))
-    found = nearest_attrs(subjects, spots, [], out, "", metric, lat, lon, p_lat, p_lon, "_one")
+    spots = kept.select(p_lat, p_lon, F.lit(0).alias(DISTANCE_ONLY))
+    found = nearest_attrs(subjects, spots, [], out, "", metric, lat, lon, p_lat, p_lon, DISTANCE_ONLY)
     return found.withColumn(f"log_{out}", F.log1p(F.greatest(F.col(out), F.lit(0.0)))) if log else found
 
 
