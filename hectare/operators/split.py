@@ -16,22 +16,21 @@ MAX_DRIVER_GROUPS = 200_000
 def time_split(df: DataFrame, ts: str, ids: str, fraction: float) -> DataFrame:
     """Flag ``holdout`` on the last ``fraction`` of rows by (ts, id), exactly ``floor(n × fraction)`` of them.
 
-    Only the histogram of instants is ordered. Inside the one instant the cut falls into, the id at the cut rank is
-    selected without sorting the instant in one task. ``ids`` is one unique numeric column.
+    The cut instant, and the first held id inside it, are selected by rank (see ``values_at_ranks``): nothing is sorted
+    in one task, however many instants there are or however many rows share one. ``ids`` is one unique numeric column.
     """
-    days = df.groupBy(ts).agg(F.count(F.lit(1)).alias("_c"))
-    total = days.agg(F.sum("_c")).scalar()
-    held = F.floor(total * F.lit(fraction)).cast("bigint")
-    later = F.sum("_c").over(Window.orderBy(F.desc(ts)))
-    spread = days.withColumn("_later", later)
-    cut = spread.filter((F.col("_later") >= held) & (held > 0)).agg(
-        F.max(F.struct(F.col(ts).alias("ts"), F.col("_c").alias("c"), F.col("_later").alias("later"))).alias("cut"))
-    at = cut.scalar()
-    # rows of the cut instant that stay in the work set = later − held; the next id in order starts the hold-out
-    day = df.filter(F.col(ts) == at["ts"]).select(F.lit(1).alias("_g"), F.col(ids).alias("_v"))
-    picked, _ = values_at_ranks(day, ["_g"], "_v", F.array(at["later"] - held))
-    first_id = picked.agg(F.min("_v")).scalar()
-    hold = (F.col(ts) > at["ts"]) | ((F.col(ts) == at["ts"]) & (F.col(ids) >= first_id))
+    instant = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.select(F.lit(1).alias("_g"), instant.alias("_v")).filter(F.col("_v").isNotNull())
+    work_size = F.col("_n") - F.floor(F.col("_n") * F.lit(fraction)).cast("bigint")
+    at_cut, _ = values_at_ranks(rows, ["_g"], "_v", F.array(work_size))
+    cut = at_cut.agg(F.min("_v")).scalar()
+    # work rows inside the cut instant = work rows − rows before it; the id at that rank starts the hold-out
+    counts = rows.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_v") < cut).alias("_before"))
+    inside = counts.select(work_size - F.col("_before")).scalar()
+    same = df.filter(instant == cut).select(F.lit(1).alias("_g"), F.col(ids).alias("_v"))
+    at_id, _ = values_at_ranks(same, ["_g"], "_v", F.array(inside))
+    first_id = at_id.agg(F.min("_v")).scalar()
+    hold = (instant > cut) | ((instant == cut) & (F.col(ids) >= first_id))
     return df.withColumn("holdout", F.coalesce(hold.cast("int"), F.lit(0)))
 
 

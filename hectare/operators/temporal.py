@@ -93,7 +93,7 @@ def index_change_calendar(index: DataFrame, period: str, value: str, offsets: di
 
 
 def previous_in_key(df: DataFrame, key: str, ts: str, ids: list[str], cols: list[str], prefix: str = "prev_",
-                    cut: str = "year") -> DataFrame:
+                    cut: str = "month") -> DataFrame:
     """The previous row's columns within a key, ordered by (ts, ids).
 
     A plain ``lag`` orders a whole key in one task. Here rows are ordered within (key, calendar cut); the first row of a
@@ -111,7 +111,7 @@ def previous_in_key(df: DataFrame, key: str, ts: str, ids: list[str], cols: list
         "_cut", "_prev", "_carry", "_best")
 
 
-def prior_sale(df: DataFrame, parcel: str, ts: str, price: str, ids: list[str], cut: str = "year") -> DataFrame:
+def prior_sale(df: DataFrame, parcel: str, ts: str, price: str, ids: list[str], cut: str = "month") -> DataFrame:
     """Prior sale of the same parcel: price, years since, clipped appreciation, flip (< 2 years) and presence flags.
 
     Rows without a parcel key have no history.

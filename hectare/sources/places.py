@@ -40,16 +40,14 @@ COMMERCIAL_BUCKETS = {
 FEATURE = "struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON FeatureCollection files or of files with one feature per line, as ``feature``.
+def read_features(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """GeoJSON features as column ``feature``: one feature per line, or whole FeatureCollection files (``lines=False``).
 
-    A collection is one JSON document, which Spark reads in one task; large layers should come one feature per line.
+    A collection is one JSON document, which one task must read in full; large layers should come one feature per line.
     """
-    text = spark.read.text(path, wholetext=True)
-    doc = F.from_json("value", f"struct<features:array<{FEATURE}>>")
-    lines = spark.read.text(path).filter(F.col("value").rlike(r'^\s*\{.*"type"\s*:\s*"Feature".*\}\s*,?\s*$') & ~F.col("value").contains('"FeatureCollection"'))
-    one_doc = text.filter(F.col("value").contains('"FeatureCollection"')).select(F.explode(doc["features"]).alias("feature"))
-    return one_doc.unionByName(features_from_text(lines, "value"))
+    if lines:
+        return features_from_text(spark.read.text(path).filter(F.trim("value") != ""), "value")
+    return features_from_collection(spark.read.text(path, wholetext=True), "value")
 
 
 def features_from_text(df: DataFrame, json_col: str, keep: list[str] = ()) -> DataFrame:

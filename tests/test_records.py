@@ -103,7 +103,7 @@ def test_geojson_collection_and_lines_are_read_alike(spark):
     spark.createDataFrame([('{"type":"FeatureCollection","features":[' + ",".join([f1, f2, f3]) + "]}",)], "v string").coalesce(1).write.text(folder + "/doc")
     spark.createDataFrame([(x,) for x in (f1, f2, f3)], "v string").write.text(folder + "/lines")
     for kind in ("doc", "lines"):
-        got = places.geojson_points(places.read_features(spark, f"{folder}/{kind}"), {"name": "name"}).collect()
+        got = places.geojson_points(places.read_features(spark, f"{folder}/{kind}", lines=kind == "lines"), {"name": "name"}).collect()
         assert {(r.name, r.lat, r.lon) for r in got} == {("x", 24.2, 46.1), ("y", 1.0, 2.0)}
 
 
