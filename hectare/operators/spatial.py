@@ -55,6 +55,16 @@ def located(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.filter(ok)
 
 
+def _query_places(subjects: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Distinct query locations, spread over all shuffle partitions.
+
+    The table is small beside the rows the walk makes of it, so adaptive coalescing would put it into a few tasks; a
+    repartition by number is left alone.
+    """
+    n = int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return located(subjects, lat, lon).select(F.col(lat).alias("_sy"), F.col(lon).alias("_sx")).distinct().repartition(n, "_sy", "_sx")
+
+
 def fit_grid(points: DataFrame, leaf_size: int = LEAF_SIZE) -> Grid | None:
     """Choose the depth at which no cell holds more than ``leaf_size`` locations. ``points`` has _y, _x."""
     e = points.agg(F.count(F.lit(1)).alias("n"), F.min("_y").alias("y0"), F.max("_y").alias("y1"),
@@ -140,7 +150,7 @@ def nearest_k(subjects: DataFrame, points: DataFrame, k: int = 1, metric: str =
     Returns rows (lat, lon, rank, distance_m, <p_id>, *cols); join them back to the subjects by location.
     """
     distance = METRICS[metric]
-    places = located(subjects, lat, lon).select(F.col(lat).alias("_sy"), F.col(lon).alias("_sx")).distinct()
+    places = _query_places(subjects, lat, lon)
     pts = located(points, p_lat, p_lon).select(F.col(p_lat).alias("_y"), F.col(p_lon).alias("_x"),
                                                F.col(p_id).alias("_id"), F.struct(*cols or [p_id]).alias("_row"))
     # A location gives at most k answers: its k smallest ids. One partial aggregate for k = 1.
@@ -229,7 +239,7 @@ def count_within(subjects: DataFrame, points: DataFrame, radius_m: float, counts
         .agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
     )
     spots = _stored(spots, "spots")
-    places = located(subjects, lat, lon).select(F.col(lat).alias("_sy"), F.col(lon).alias("_sx")).distinct()
+    places = _query_places(subjects, lat, lon)
     grid = fit_grid(spots.select("_y", "_x"), leaf_size)
     if grid is None:
         return subjects.withColumns({n: F.lit(0).cast("bigint") for n in names})
@@ -265,12 +275,12 @@ def count_within(subjects: DataFrame, points: DataFrame, radius_m: float, counts
             cand = cells.select("_sy", "_sx", "_done", F.explode(step).alias("_c")).select("_sy", "_sx", "_c.*", "_done")
     distance = METRICS[metric]
 
-    def opened(name: str) -> Column:
-        hit = lambda acc, p: acc + F.when(distance(F.col("_sy"), F.col("_sx"), p["_y"], p["_x"]) <= radius_m, p[name]).otherwise(0)
-        return F.aggregate("pts", F.lit(0).cast("bigint"), hit)
-
-    sums = cells.groupBy("_sy", "_sx").agg(*[
-        F.sum(F.when(F.col("_done").isNotNull(), F.col(f"_done.{n}")).otherwise(opened(n))).alias(n) for n in names])
+    # finished rows keep one row without a point; the others are opened point by point
+    points_of = F.explode_outer(F.when(F.col("_done").isNull(), F.col("pts"))).alias("_p")
+    opened = cells.select("_sy", "_sx", "_done", points_of)
+    inside = distance("_sy", "_sx", F.col("_p._y"), F.col("_p._x")) <= radius_m
+    sums = opened.withColumn("_in", inside).groupBy("_sy", "_sx").agg(*[
+        F.sum(F.coalesce(F.col(f"_done.{n}"), F.when(F.col("_in"), F.col(f"_p.{n}")), F.lit(0))).alias(n) for n in names])
     back = sums.select(F.col("_sy").alias(lat), F.col("_sx").alias(lon), *names)
     return subjects.join(back, [lat, lon], "left").withColumns({n: F.coalesce(F.col(n), F.lit(0).cast("bigint")) for n in names})
 
