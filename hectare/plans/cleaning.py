@@ -236,7 +236,7 @@ def time_keys(t: Tables):
 
 @query("safe_numbers", "F12, F18, F19", """
     WITH s AS (SELECT id, price, CASE WHEN id % 5 = 0 THEN 0 ELSE area END AS area, psf FROM sales)
-    SELECT id, round(ln(1 + greatest(price - 200000, 0)), 6) AS log_excess, round(price / greatest(area, 1000), 6) AS ratio,
+    SELECT id, round(ln(1 + greatest(price - 200000, 0)), 6) AS log_excess, round(floor(price) / greatest(area, 1000), 9) AS ratio,
            CASE WHEN psf < 50 THEN 'low' WHEN psf < 150 THEN 'mid' ELSE 'high' END AS band,
            CASE WHEN price / 250000 - 1 < -0.05 THEN 'below' WHEN price / 250000 - 1 > 0.05 THEN 'above' ELSE 'near' END AS versus,
            CASE WHEN area > 0 THEN round_even(price / area, 0)::bigint END AS price_per_sqft,
@@ -244,10 +244,10 @@ def time_keys(t: Tables):
 def safe_numbers(t: Tables):
     rows = t.sales.withColumn("area", F.when(F.col("id") % 5 == 0, F.lit(0.0)).otherwise(F.col("area")))
     out = numbers.unit_rates(rows, "price", "area").select(
-        "id", numbers.log1p_clip(F.col("price") - 200000).alias("log_excess"), numbers.ratio("price", "area", 1000.0).alias("ratio"),
+        "id", numbers.log1p_clip(F.col("price") - 200000).alias("log_excess"), numbers.ratio(F.floor("price").cast("double"), "area", 1000.0).alias("ratio"),
         numbers.band("psf", [50, 150], ["low", "mid", "high"]).alias("band"), numbers.versus_band("price", F.lit(250000)).alias("versus"),
         "price_per_sqft", "price_per_sqm")
-    return rounded(out, 6, "log_excess", "ratio")
+    return rounded(rounded(out, 6, "log_excess"), 9, "ratio")
 
 
 @query("distances", "F16, G13", """

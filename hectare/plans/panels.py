@@ -97,7 +97,7 @@ def distinct_counts(t: Tables):
 @query("trend_slopes", "A12", """
     WITH y AS (SELECT region, year(ts) AS y, avg(ln(1 + price)) AS m FROM sales GROUP BY ALL),
     b AS (SELECT region, CASE WHEN count(*) < 2 THEN 0 ELSE regr_sxy(m, y) / (regr_sxx(m, y) + 1e-10) END AS by_year FROM y GROUP BY region)
-    SELECT parcel, round(CASE WHEN count(*) < 3 OR regr_sxx(price, dq) = 0 THEN 0 ELSE regr_slope(price, dq) END, 2) + 0.0 AS by_row, round(any_value(by_year), 8) + 0.0 AS by_year
+    SELECT parcel, round(CASE WHEN count(*) < 3 OR regr_sxx(price, dq) = 0 THEN 0 ELSE regr_slope(price, dq) END, 0) + 0.0 AS by_row, round(any_value(by_year), 8) + 0.0 AS by_year
     FROM sales JOIN b USING (region) GROUP BY parcel""")
 def trend_slopes(t: Tables):
     by_row = A.trend_slope(t.sales, "parcel", "dq", "price", 3, out="by_row")
@@ -105,7 +105,7 @@ def trend_slopes(t: Tables):
     by_year = A.yearly_trend_slope(logs, "region", "y", "v", "by_year")
     home = t.cust.select(F.col("id").alias("parcel"), "region")
     out = by_row.join(home, "parcel").join(by_year, "region").select("parcel", "by_row", "by_year")
-    return rounded(rounded(out, 2, "by_row"), 8, "by_year")
+    return rounded(rounded(out, 0, "by_row"), 8, "by_year")
 
 
 @query("stats_by_year", "A13, V9", """
