@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .exact_dedup import SQL as SQL_1
 from .exact_dedup import op1_exact_dedup
+from .line_dedup import op3_line_dedup
 from .lm_score import op4_lm_score
 from .near_dedup import SQL as SQL_2
 from .near_dedup import op2_near_dedup
@@ -15,5 +16,5 @@ from .sharding import op7_sharding
 from .topk import SQL as SQL_10
 from .topk import op10_topk
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_near_dedup": op2_near_dedup, "op4_lm_score": op4_lm_score, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_topk": op10_topk}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_near_dedup": op2_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_lm_score": op4_lm_score, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_topk": op10_topk}
 ORACLE = {"op1_exact_dedup": SQL_1, "op2_near_dedup": SQL_2, "op7_sharding": SQL_7, "op10_topk": SQL_10}
