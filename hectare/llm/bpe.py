@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import prepare, text_of
 
 CACHED = 400_000
+CHUNK = 1 << 20
+SHORT = (2, 1)
 
 
 class Vocabulary:
@@ -29,11 +34,12 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        lengths: dict[int, set[int]] = {}
+        lengths: dict[bytes, set[int]] = {}
         for token in ranks:
-            lengths.setdefault(token[-1], set()).add(len(token))
-        # token lengths to try for a last byte, longest first
-        self.lengths = {last: tuple(sorted(x, reverse=True)) for last, x in lengths.items()}
+            if len(token) > 2:
+                lengths.setdefault(token[-3:], set()).add(len(token))
+        # lengths of the tokens to try for the last three bytes, longest first
+        self.lengths = {last: (*sorted(x, reverse=True), 2, 1) for last, x in lengths.items()}
         self.longest = max(map(len, ranks), default=0)
         self._beside: dict[tuple[int, int], bool] = {}
 
@@ -72,12 +78,12 @@ class Prefixes:
 
     def _ending(self, end: int) -> int:
         data, ranks, last, beside = self.data, self.vocabulary.ranks, self.last, self.vocabulary.beside
-        for length in self.vocabulary.lengths.get(data[end - 1], ()):
+        for length in self.vocabulary.lengths.get(data[max(0, end - 3) : end], SHORT):
             start = end - length
             if start < 0:
                 continue
             token = ranks.get(data[start:end])
-            if token is not None and (before := last[start - 1] if start else -1) is not None and beside(before, token):
+            if token is not None and beside(last[start - 1] if start else -1, token):
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
@@ -87,6 +93,14 @@ class Prefixes:
         for end in range(start + 1, len(self.data) + 1):
             self.last.append(self._ending(end))
 
+    def change_to(self, data: bytes) -> Prefixes:
+        """Go over to other bytes; entries of the common start stay."""
+        same = len(commonprefix((self.data, data)))
+        self.data = self.data[:same]
+        del self.last[same:]
+        self.append(data[same:])
+        return self
+
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Put ``data`` in place of bytes start to end; returns how many entries were filled anew."""
         tail, moved = self.last[end:], len(data) - (end - start)
@@ -111,19 +125,21 @@ class Prefixes:
 
 
 class _Encoded(dict):
-    """Piece to its ids as little-endian 32-bit integers, filled on demand and bounded."""
+    """Piece to its ids as little-endian 32-bit integers; emptied when it has grown too large."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(Prefixes(self.vocabulary, piece.encode()).tokens(), "<u4").tobytes()
-        if len(self) >= CACHED:
+    def fill(self, pieces: set[str]) -> None:
+        """Encode the pieces that are not known yet; in sorted order most share their first entries with the one before."""
+        new = sorted(pieces.difference(self))
+        if len(self) + len(new) > CACHED:
             self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+            new = sorted(pieces)
+        table = Prefixes(self.vocabulary)
+        for piece in new:
+            self[piece] = array("I", table.change_to(piece.encode()).tokens()).tobytes()
 
 
 _OPEN: dict[tuple[str, str], Encoder] = {}
@@ -145,8 +161,17 @@ class Encoder:
             _OPEN[path, pattern] = cls(path, pattern)
         return _OPEN[path, pattern]
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.encoded.__getitem__, self.pieces(text)))
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, a bounded number of texts at a time."""
+        split, size = [], 0
+        for at, text in enumerate(texts):
+            split.append(self.pieces(text))
+            size += len(text)
+            if size >= CHUNK or at + 1 == len(texts):
+                self.encoded.fill(set(chain.from_iterable(split)))
+                for pieces in split:
+                    yield b"".join(map(self.encoded.__getitem__, pieces))
+                split, size = [], 0
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.decoded.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -164,7 +189,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path, pattern)
         for batch in batches:
-            ids = [encoder.encode(text) for text in batch.column(1).to_pylist()]
+            ids = list(encoder.encode(batch.column(1).to_pylist()))
             columns = {
                 "doc_id": batch.column(0),
                 "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
