@@ -13,8 +13,9 @@ from .packing import op9_packing
 from .quality import op5_quality
 from .sharding import SQL as SQL_7
 from .sharding import op7_sharding
+from .suffix_dedup import op6_suffix_dedup
 from .topk import SQL as SQL_10
 from .topk import op10_topk
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_near_dedup": op2_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_lm_score": op4_lm_score, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_topk": op10_topk}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_near_dedup": op2_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_lm_score": op4_lm_score, "op5_quality": op5_quality, "op6_suffix_dedup": op6_suffix_dedup, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_topk": op10_topk}
 ORACLE = {"op1_exact_dedup": SQL_1, "op2_near_dedup": SQL_2, "op7_sharding": SQL_7, "op10_topk": SQL_10}
