@@ -115,8 +115,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
     left = Window.partitionBy("own").orderBy("before", *order)
     by_start = Window.partitionBy("own").orderBy(*order)
     pairs = kept.select(
-        place.alias("here"), F.lag(place).over(right).alias("by_right"), F.lag(place).over(left).alias("by_left"), F.lag(place).over(by_start).alias("by_place"))
-    pairs = pairs.select("here", F.explode(F.array_distinct(F.array("by_right", "by_left", "by_place"))).alias("there")).where("there IS NOT NULL AND here <> there")
+        place.alias("here"), F.lag(place).over(right).alias("by_right"), F.lag(place).over(left).alias("by_left"), F.lag(place).over(by_start).alias("by_place"), F.lag(place, 2).over(right).alias("r2"), F.lag(place, 2).over(left).alias("l2"))
+    pairs = pairs.select("here", F.explode(F.array_distinct(F.array("by_right", "by_left", "by_place", "r2", "l2"))).alias("there")).where("there IS NOT NULL AND here <> there")
     # the earlier place first
     earlier = F.struct(F.col("here.doc_id").isNull(), F.col("here"))
     later = F.struct(F.col("there.doc_id").isNull(), F.col("there"))
