@@ -140,9 +140,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5, trees: int = 16, depth: int = 8, least_depth: int = 4, reach: int = 6,
+def near_components(docs: DataFrame, percent: int = 85, words: int = 5, trees: int = 16, depth: int = 8, least_depth: int = 4, reach: int = 6,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per input row.
+    """doc_id, n_shingles, component_id, kept and text_key (md5 of the text) per input row.
 
     Texts are lower-cased (A to Z) and cut at blanks; a text's set holds its distinct shingles of ``words`` words, or all its words as one.
     Documents whose sets have a Jaccard similarity of at least ``percent`` in a hundred are linked; a component is what links reach, and
@@ -183,13 +183,22 @@ def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5, trees: int =
     settled = staged(found.join(merged, "root").select("set_a", "set_b", "component_id"), "settled")
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     joined = rows.where("n_shingles > 0").join(settled, ["set_a", "set_b"])
-    columns = ["doc_id", "n_shingles", "component_id"]
+    columns = ["doc_id", "n_shingles", "component_id", "text_key"]
     return joined.select(*columns).unionByName(alone.select(*columns)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input rows with one document of each component; of rows that agree in id and text one stays."""
+    kept = near_components(docs, id_col=id_col, text_col=text_col, **options).where("kept").select("doc_id", "text_key").distinct()
+    kept = staged(kept, "kept-documents").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    keyed = docs.withColumn("__text", F.unhex(F.md5(text_of(text_col))))
+    same = keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__key"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "__text"]).select(*docs.columns)
+
+
 def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, linked from a similarity of 85 in a hundred."""
-    return near_dedup(spark.read.parquet(f"{folder}/documents.parquet"))
+    return near_components(spark.read.parquet(f"{folder}/documents.parquet")).drop("text_key")
 
 
 SQL = r"""
