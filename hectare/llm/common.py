@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import RUNTIME_SETTINGS, scratch_path
 
 BLANK = r"[\x20\x09-\x0D]"
+FILTER_BITS = 1 << 25
 
 
 def prepare(spark: SparkSession) -> None:
@@ -40,3 +45,24 @@ def remainder(column: str, modulus: int) -> Column:
 
 def parts_for(rows: int, per_part: int) -> int:
     return max(1, -(-rows // per_part))
+
+
+def key_filter(keys: DataFrame, column: str) -> Callable[[str], Column]:
+    """A test ``column -> boolean`` that is true for every key of ``keys`` and false for most others.
+
+    It is a bitmap of fixed size (four megabytes), so it may be sent to every task however many keys there are; with very many it lets
+    all through and saves nothing. A join must follow. What it rejects is surely not among the keys.
+    """
+    bit = lambda name: F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    rows = keys.select(bit(column).alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    shared = keys.sparkSession.sparkContext.broadcast(words)
+
+    def test(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    may = F.pandas_udf(test, "boolean")
+    return lambda name: may(bit(name))

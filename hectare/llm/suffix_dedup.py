@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, staged, text_of
+from .common import key_filter, prepare, staged, text_of
 from .hashing import chunks, shingles, words
+from .order import neighbours_in_order
 
 
 def minimisers(blocks: np.ndarray, window: int) -> np.ndarray:
@@ -93,7 +93,7 @@ def _kept_suffixes(body: DataFrame, id_kind: str, block: int, window: int) -> Da
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_key, spans (start, end in words; later), one row per document that takes part in a repeat of ``least`` words or more.
+    """row_key, spans (start, end in words; later), one row per document that takes part in a repeat of ``least`` words or more.
 
     ``later``: the passage stands at an earlier place too (smaller id, null last, then smaller row hash, then position) and is the one to
     remove; where it is false the passage is the first of its kind. Passages are compared by words, so blanks do not count. Repeats inside
@@ -107,28 +107,23 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
     text = text_of(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     body = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
-    kept = _kept_suffixes(body, kind, block, window)
-    # only blocks that occur again take part; equal rows are one document
-    order = [F.col("doc_id").asc_nulls_last(), F.col("row_key"), F.col("pos")]
-    place = F.struct("doc_id", "row_key", "pos")
-    right = Window.partitionBy("own").orderBy("following", *order)
-    left = Window.partitionBy("own").orderBy("before", *order)
-    by_start = Window.partitionBy("own").orderBy(*order)
-    pairs = kept.select(
-        place.alias("here"), F.lag(place).over(right).alias("by_right"), F.lag(place).over(left).alias("by_left"), F.lag(place).over(by_start).alias("by_place"), F.lag(place, 2).over(right).alias("r2"), F.lag(place, 2).over(left).alias("l2"))
-    pairs = pairs.select("here", F.explode(F.array_distinct(F.array("by_right", "by_left", "by_place", "r2", "l2"))).alias("there")).where("there IS NOT NULL AND here <> there")
+    kept = staged(_kept_suffixes(body, kind, block, window), "suffixes")
+    order = ["doc_id", "row_key", "pos"]
+    right = neighbours_in_order(kept.select("own", "following", *order), ["own", "following", *order], 2, "right-neighbours")
+    left = neighbours_in_order(kept.select("own", "before", *order), ["own", "before", *order], 2, "left-neighbours")
+    place = lambda x: F.struct(*[F.col(f"{x}.{c}").alias(c) for c in order]).alias(x)
+    pairs = right.select(place("one"), place("other")).union(left.select(place("one"), place("other")))
     # the earlier place first
-    earlier = F.struct(F.col("here.doc_id").isNull(), F.col("here"))
-    later = F.struct(F.col("there.doc_id").isNull(), F.col("there"))
-    swap = earlier < later
-    pairs = pairs.select(F.when(swap, F.col("here")).otherwise(F.col("there")).alias("one"), F.when(swap, F.col("there")).otherwise(F.col("here")).alias("other"))
-    pairs = pairs.where("NOT (one = other)").groupBy(F.col("one.row_key").alias("a"), F.col("other.row_key").alias("b")).agg(
-        F.collect_set(F.struct(F.col("one.pos").alias("p"), F.col("other.pos").alias("q"))).alias("starts"))
-    pairs = staged(pairs, "suffix-pairs")
+    early = lambda x: F.struct(F.col(f"{x}.doc_id").isNull().alias("no_id"), F.col(x).alias("place"))
+    low, high = F.least(early("one"), early("other")), F.greatest(early("one"), early("other"))
+    pairs = pairs.where("NOT (one <=> other)").select(low["place"].alias("one"), high["place"].alias("other"))
+    pairs = staged(pairs.groupBy(F.col("one.row_key").alias("a"), F.col("other.row_key").alias("b")).agg(
+        F.collect_set(F.struct(F.col("one.pos").alias("p"), F.col("other.pos").alias("q"))).alias("starts")), "suffix-pairs")
 
     # word hashes of the documents that are in a pair, once per document
     nodes = staged(pairs.select(F.col("a").alias("row_key")).union(pairs.select(F.col("b").alias("row_key"))).distinct(), "suffix-documents")
-    needed = staged(body.join(nodes, "row_key", "left_semi").dropDuplicates(["row_key"]), "suffix-texts")
+    among = key_filter(nodes, "row_key")
+    needed = staged(body.where(among("row_key")).join(nodes, "row_key", "left_semi").dropDuplicates(["row_key"]), "suffix-texts")
     one, other = needed.select(F.col("row_key").alias("a"), F.col("text").alias("x")), needed.select(F.col("row_key").alias("b"), F.col("text").alias("y"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +141,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
 
     matches = pairs.join(one, "a").join(other, "b").select("a", "b", "starts", "x", "y").mapInArrow(match, "row_key bigint, start int, end int, later boolean")
     # what one document takes part in is bounded by its own suffixes
-    spans = matches.distinct().groupBy("row_key").agg(F.collect_list(F.struct("start", "end", "later")).alias("spans"))
-    return spans
+    return matches.distinct().groupBy("row_key").agg(F.collect_list(F.struct("start", "end", "later")).alias("spans"))
 
 
 def marked(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,9 +149,14 @@ def marked(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     structs (start, end in code points, n_words, later) of merged stretches."""
     text = text_of(text_col)
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
-    joined = docs.select(columns, F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text")).join(spans, "row_key", "left")
+    spans = staged(spans, "spans")
+    among = key_filter(spans, "row_key")
+    flagged = docs.select(columns, F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text")).withColumn("among", among("row_key"))
+    # most documents have no passages and stay out of the join
+    joined = flagged.where("among").join(spans, "row_key", "left")
     passage = "struct<start:int,end:int,n_words:int,later:boolean>"
-    plain = joined.where("spans IS NULL").select("document", "text", F.lit(None).cast(f"array<{passage}>").alias("passages"))
+    nothing = F.lit(None).cast(f"array<{passage}>").alias("passages")
+    plain = flagged.where("NOT among").select("document", "text", nothing).unionByName(joined.where("spans IS NULL").select("document", "text", nothing))
     cut = joined.where("spans IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
