@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -15,10 +16,17 @@ BLANK = r"[\x20\x09-\x0D]"
 FILTER_BITS = 1 << 25
 
 
+# whole texts travel in Arrow batches: a few thousand rows keep a worker's memory small
+ARROW_ROWS = "2000"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Session settings the operators rely on."""
-    for key, value in RUNTIME_SETTINGS.items():
+    """Session settings the operators rely on; workers started in another folder find this package as the driver does."""
+    for key, value in {**RUNTIME_SETTINGS, "spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS}.items():
         spark.conf.set(key, value)
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -4,23 +4,26 @@ Each tree is one order of the documents: sorted by the tree's own sequence of Mi
 share the longest prefixes, so a document's candidates are its nearest predecessors in the order, provided they share at least
 ``least_depth`` values. Where few documents share that prefix these are all of them; in a dense region only the ones with the longest
 common prefix, so the depth adapts to the region. Orders are range-partitioned: a region with a third of all documents is spread
-over many tasks. Links are confirmed on the full shingle sets.
+over many tasks; its documents in different components are then compared by bit sketches, in blocks. Links are confirmed on the full
+shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, staged, text_of, with_row_key
+from .common import key_filter, prepare, staged, text_of, with_row_key
 from .graph import components
 from .hashing import LOWER, MinHash, chunks, common_size, shingle_sets
 
+SKETCH_BITS = 1024
 SIGNED_SCHEMA = "n_shingles bigint, set_a bigint, set_b bigint, signature binary"
 
 
@@ -110,18 +113,92 @@ def neighbours(reps: DataFrame, trees: int, depth: int, least_depth: int, reach:
     return pairs.unionByName(across).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
+def likely(one: np.ndarray, other: np.ndarray, one_size: np.ndarray, other_size: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows of sketches can be linked: the sizes allow it and the estimate is within five deviations of the threshold."""
+    least = percent / 100
+    same = SKETCH_BITS - np.bitwise_count(one ^ other).sum(axis=-1, dtype=np.int32)
+    deviation = 2 * np.sqrt((1 + least) * (1 - least) / 4 / SKETCH_BITS)
+    sizes = 100 * np.minimum(one_size, other_size) >= percent * np.maximum(one_size, other_size)
+    return sizes & (2 * same / SKETCH_BITS - 1 >= least - 5 * deviation)
+
+
+def crowded_pairs(reps: DataFrame, sketches: DataFrame, label: DataFrame, percent: int, trees: int, depth: int, least_depth: int, reach: int,
+                  block: int = 2048) -> DataFrame:
+    """Likely pairs a < b of different components that share the first ``least_depth`` values of an order with more than ``reach`` others.
+
+    Sketches of a region are compared in blocks of about ``block`` nodes inside the tasks; only pairs that pass leave them.
+    """
+    start = F.expr(f"substring(signature, tree * {4 * depth} + 1, {4 * least_depth})")
+    rows = reps.select("node", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "signature").select(F.xxhash64("tree", start).alias("region"), "node")
+    full = staged(rows.groupBy("region").agg(F.count("*").alias("n")).where(f"n > {reach + 1}"), "full-regions")
+    among = key_filter(full, "region")
+    rows = rows.where(among("region")).join(full, "region").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # one component holds all of it: nothing to compare
+    mixed_regions = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("region")
+    rows = rows.join(mixed_regions, "region", "left_semi").join(sketches, "node")
+    blocks = F.ceil(F.col("n") / block)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    rows = rows.select("region", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own", "node", "root", "n_shingles", "sketch")
+    rows = rows.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
+
+    def compared(group: list) -> Iterator[pa.RecordBatch]:
+        own, node, root, size = (np.array([r[c] for r in group]) for c in ("own", "node", "root", "n_shingles"))
+        bits = np.frombuffer(b"".join(r["sketch"] for r in group), np.uint64).reshape(len(group), -1)
+        low, high = group[0]["low"], group[0]["high"]
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        for i in left:
+            others = right if low != high else right[right > i]
+            hits = others[root[others] != root[i]]
+            hits = hits[likely(bits[hits], bits[i], size[hits], size[i], percent)]
+            if len(hits):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[hits], node[i])), pa.array(np.maximum(node[hits], node[i]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["region"], r["low"], r["high"])):
+            found = list(compared(list(group)))
+            if found:
+                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _texts(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
-    """node and sorted shingle set (binary) of the wanted (node, text_key)."""
+    """node, sorted shingle set (binary), its size and its sketch, of the wanted (node, text_key)."""
     text = text_of(text_col)
-    rows = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).join(wanted, "text_key").select("node", "text")
+    among = key_filter(wanted, "text_key")
+    rows = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).where(among("text_key")).join(wanted, "text_key").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = MinHash(SKETCH_BITS, seed=53)
         for batch in batches:
-            sets = [x.tobytes() for x in shingle_sets(_lowered(batch.column(1)), words)]
-            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "items": pa.array(sets, pa.binary())})
+            sets, sketches = [], []
+            for _, part in chunks(_lowered(batch.column(1))):
+                own = list(shingle_sets(part, words))
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in own])[:-1]]).astype(np.int64)
+                minima = hashed.of(np.concatenate(own) >> np.uint64(32), starts)
+                sketches += [x.tobytes() for x in np.packbits((minima & 1).astype(bool), axis=1)]
+                sets += own
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "items": pa.array([x.tobytes() for x in sets], pa.binary()),
+                                              "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "sketch": pa.array(sketches, pa.binary())})
 
     # a kept text may stand in several rows
-    return rows.mapInArrow(run, "node bigint, items binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node bigint, items binary, n_shingles bigint, sketch binary").dropDuplicates(["node"])
+
+
+def likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 6))
+            keep = likely(x, y, batch.column(3).to_numpy(), batch.column(5).to_numpy(), percent) if batch.num_rows else np.zeros(0, bool)
+            yield batch.select([0, 1, 2]).filter(pa.array(keep))
+
+    def of(node: str) -> DataFrame:
+        return sketches.select(F.col("node").alias(node), F.col("n_shingles").alias(f"{node}_size"), F.col("sketch").alias(f"{node}_sketch"))
+
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "shared", "a_size", "a_sketch", "b_size", "b_sketch")
+    return joined.mapInArrow(run, "a bigint, b bigint, shared bigint")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,8 +226,8 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 5, trees: i
     keeps its smallest id. Empty and null texts have no shingles and are linked with nothing. Equal sets are one node, so copies need no
     pairs. Rows that repeat an id keep it together; null ids count only where a component has no other. An empty table gives no rows.
 
-    A pair at the threshold is a candidate with probability 1 - (1 - 0.85^least_depth)^trees (0.999993 with the defaults); every
-    candidate between different components is checked exactly.
+    A pair at the threshold shares a region with probability 1 - (1 - 0.85^least_depth)^trees (0.999993 with the defaults); every pair
+    of different components that shares a region is checked exactly.
     """
     prepare(docs.sparkSession)
     rows = staged(with_row_key(signed(docs, id_col, text_col, words, trees, depth)), "signed")
@@ -161,6 +238,9 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 5, trees: i
     wanted = staged(reps.select("node", "text_key").join(nodes, "node"), "wanted")
     sets = staged(_texts(docs, text_col, wanted, words), "sets")
 
+    sketches = sets.select("node", "n_shingles", "sketch")
+    pairs = staged(likely_pairs(pairs, sketches, percent), "likely-pairs")
+
     # first every node with the neighbour it shares most with; what these links leave in different components is checked after that
     def closest(node: str, other: str) -> DataFrame:
         order = Window.partitionBy(node).orderBy(F.desc("shared"), other)
@@ -170,13 +250,20 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 5, trees: i
     links = staged(linked(best, sets, percent), "links")
     label = components(links)
 
-    def labelled(df: DataFrame, node: str) -> DataFrame:
-        named = label.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
-        return df.join(named, node, "left").withColumn(f"root_{node}", F.coalesce(f"root_{node}", node))
+    def apart(df: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components."""
+        for node in ("a", "b"):
+            named = label.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
+            df = df.join(named, node, "left").withColumn(f"root_{node}", F.coalesce(f"root_{node}", node))
+        return df.where("root_a <> root_b").select("a", "b")
 
-    rest = labelled(labelled(pairs.join(best, ["a", "b"], "left_anti"), "a"), "b").where("root_a <> root_b")
-    more = staged(linked(rest, sets, percent), "more-links")
-    roots = components(links.union(more))
+    rest = apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"))
+    links = staged(links.union(linked(rest, sets, percent)), "more-links")
+    label = components(links)
+    # regions too full for an order's neighbours to be all pairs
+    crowded = crowded_pairs(reps.select("node", "signature"), sketches, label, percent, trees, depth, least_depth, reach)
+    crowded = staged(crowded.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "crowded-pairs")
+    roots = components(links.union(linked(crowded, sets, percent)))
 
     found = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     merged = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
