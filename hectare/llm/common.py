@@ -55,22 +55,44 @@ def parts_for(rows: int, per_part: int) -> int:
     return max(1, -(-rows // per_part))
 
 
-def key_filter(keys: DataFrame, column: str) -> Callable[[str], Column]:
-    """A test ``column -> boolean`` that is true for every key of ``keys`` and false for most others.
+def _spread(key: Column | np.ndarray) -> Column | np.ndarray:
+    """A bit number for a 64-bit key, the same in SQL and in numpy."""
+    if isinstance(key, Column):
+        return F.pmod(F.shiftrightunsigned(key, 20).bitwiseXOR(key), F.lit(FILTER_BITS))
+    return ((key.view(np.uint64) >> np.uint64(20)).view(np.int64) ^ key) % FILTER_BITS
+
+
+class KeyBits:
+    """A bitmap of fixed size (four megabytes), broadcast: true for every key it was made from and false for most others.
 
-    It is a bitmap of fixed size (four megabytes), so it may be sent to every task however many keys there are; with very many it lets
-    all through and saves nothing. A join must follow. What it rejects is surely not among the keys.
+    Its size does not depend on the number of keys; with very many it lets all through and saves nothing. A join must follow.
     """
-    bit = lambda name: F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-    rows = keys.select(bit(column).alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        return self.at(_spread(keys))
+
+    def at(self, bits: np.ndarray) -> np.ndarray:
+        return (self.shared.value[bits >> 6] >> (bits & 63)) & 1 == 1
+
+
+def key_bits(keys: DataFrame, column: str) -> KeyBits:
+    """The bitmap of a column of 64-bit keys; at most FILTER_BITS / 64 numbers come to the driver."""
+    rows = keys.select(_spread(F.col(column)).alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
     words = np.zeros(FILTER_BITS // 64, np.int64)
     words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    shared = keys.sparkSession.sparkContext.broadcast(words)
+    return KeyBits(keys.sparkSession.sparkContext.broadcast(words))
+
+
+def key_filter(keys: DataFrame, column: str) -> Callable[[str], Column]:
+    """A test on a column of 64-bit keys: true for every key of ``keys``. What it rejects is surely not among them."""
+    bits = key_bits(keys, column)
 
-    def test(bits: pd.Series) -> pd.Series:
-        at = bits.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+    def test(at: pd.Series) -> pd.Series:
+        return pd.Series(bits.at(at.to_numpy(np.int64)))
 
     may = F.pandas_udf(test, "boolean")
-    return lambda name: may(bit(name))
+    return lambda name: may(_spread(F.col(name)))

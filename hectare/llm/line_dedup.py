@@ -10,19 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, staged, text_of
+from .common import key_bits, key_filter, prepare, staged, text_of
 from .graph import components
 from .hashing import CHUNK, LOWER, MinHash, common_size, mixed
 
 WIDTH = 8
-FILTER_BITS = 1 << 25
-LINE, EDGE, BLOCK = 0, 1, 2
 
 
 def compared_lines(text: bytes) -> list[bytes]:
@@ -76,106 +73,111 @@ def starred(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[new], nodes[new], pairs[:, 0], pairs[:, 1]
 
 
-def _split_lines(docs: DataFrame, id_kind: str, bands: int, rows: int, parts: int) -> DataFrame:
-    """Rows of three kinds: every line's occurrence, edges found inside a task, and blocks of (band value, line) by part."""
-    schema = f"kind int, doc_id {id_kind}, row_key bigint, pos int, a bigint, b bigint, part int, keys binary, nodes binary"
-    names = ["kind", "doc_id", "row_key", "pos", "a", "b", "part", "keys", "nodes"]
+def _occurrences(body: DataFrame, id_kind: str) -> DataFrame:
+    """node, doc_id, row_key and pos of every line that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = MinHash(bands * rows, seed=31)
-        seen: set[int] = set()
-        keys, nodes, id_type = [], [], None
-
-        def table(kind, n, **columns):
-            types = {"kind": pa.int32(), "doc_id": id_type, "row_key": pa.int64(), "pos": pa.int32(), "a": pa.int64(), "b": pa.int64(), "part": pa.int32(),
-                     "keys": pa.binary(), "nodes": pa.binary()}
-            return pa.RecordBatch.from_arrays([columns.get(c, pa.array([kind] * n, pa.int32()) if c == "kind" else pa.nulls(n, types[c])) for c in names], names=names)
-
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            source, pos, at, waiting, size = [], [], [], {}, 0
-
-            def sign():
-                if waiting:
-                    own = np.fromiter(waiting, np.int64, len(waiting))
-                    values = band_values(list(waiting.values()), hashed, rows)
-                    keys.append(values.ravel())
-                    nodes.append(np.repeat(own, values.shape[1]))
-                    waiting.clear()
-
+            source, pos, node = [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 for p, line in enumerate(compared_lines(text)):
                     if line:
-                        key = line_key(line)
                         source.append(i)
                         pos.append(p)
-                        at.append(key)
-                        if key not in seen:
-                            seen.add(key)
-                            waiting[key] = line
-                            size += len(line)
+                        node.append(line_key(line))
+            source = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), batch.column(0).take(source), batch.column(1).take(source), pa.array(pos, pa.int32())],
+                                             names=["node", "doc_id", "row_key", "pos"])
+
+    return body.mapInArrow(run, f"node bigint, doc_id {id_kind}, row_key bigint, pos int")
+
+
+def _candidates(body: DataFrame, bands: int, rows: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of lines that share a band value; what tasks send each other are blocks of (band value, line) by part."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, seen = MinHash(bands * rows, seed=31), set()
+        keys, nodes, waiting, size = [], [], {}, 0
+
+        def signed():
+            if waiting:
+                values = band_values(list(waiting.values()), hashed, rows)
+                keys.append(values.ravel())
+                nodes.append(np.repeat(np.fromiter(waiting, np.int64, len(waiting)), values.shape[1]))
+                waiting.clear()
+
+        for batch in batches:
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                for line in compared_lines(text):
+                    if line and (key := line_key(line)) not in seen:
+                        seen.add(key)
+                        waiting[key] = line
+                        size += len(line)
                 if size > CHUNK:
-                    sign()
+                    signed()
                     size = 0
-            sign()
-            source = pa.array(source, pa.int64())
-            yield table(LINE, len(source), doc_id=batch.column(0).take(source), row_key=batch.column(1).take(source), pos=pa.array(pos, pa.int32()), a=pa.array(at, pa.int64()))
+        signed()
         if keys:
             key, node, a, b = starred(np.concatenate(keys), np.concatenate(nodes))
-            yield table(EDGE, len(a), a=pa.array(a), b=pa.array(b))
-            part = (mixed(key) % np.uint64(parts)).astype(np.int64)
+            # the part takes the high digits of a value, a block its low 32 bits; what meets by chance fails the exact check
+            part = (key >> np.uint64(32)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
-            yield table(BLOCK, len(groups), part=pa.array([int(part[g[0]]) for g in groups], pa.int32()), keys=pa.array([key[g].tobytes() for g in groups], pa.binary()),
-                        nodes=pa.array([node[g].tobytes() for g in groups], pa.binary()))
-
-    return docs.mapInArrow(run, schema)
-
-
-def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges between lines of different tasks that share a band value; frames are sorted by part."""
-    part, keys, nodes = None, [], []
-
-    def edges():
-        _, _, a, b = starred(np.concatenate(keys), np.concatenate(nodes))
-        return pd.DataFrame({"a": a, "b": b})
-
-    for pdf in frames:
-        for row in pdf.itertuples(index=False):
-            if part is not None and row.part != part:
-                yield edges()
-                keys, nodes = [], []
-            part = row.part
-            keys.append(np.frombuffer(row.keys, np.uint64))
-            nodes.append(np.frombuffer(row.nodes, np.int64))
-    if keys:
-        yield edges()
-
-
-def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and compared line of the wanted nodes. A bitmap of fixed size keeps most other lines from leaving the scan."""
-    spark, wanted, size = docs.sparkSession, nodes.select("node"), FILTER_BITS
-    bit = F.pmod(F.col("node"), F.lit(size))  # the key is a hash already
-    rows = wanted.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(node, 64) as int))")).alias("bits")).toPandas()
-    bits = np.zeros(size // 64, np.int64)
-    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(bits)
+            groups = [g for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(g)]
+            edges = np.stack([a, b], axis=1)
+            blobs = [(int(part[g[0]]), (key[g] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), node[g].tobytes(), b"") for g in groups]
+            blobs += [(int(e[0, 0]) % parts, b"", b"", e.tobytes()) for e in np.array_split(edges, -(-len(edges) // 5000)) if len(e)] if len(edges) else []
+            for at in range(0, len(blobs), 64):
+                columns = list(zip(*blobs[at : at + 64]))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "keys", "nodes", "edges"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by part: passes on the edges found before and joins the blocks of a part."""
+        part, keys, nodes = None, [], []
+
+        def batch_of(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        def joined():
+            _, _, a, b = starred(np.concatenate(keys), np.concatenate(nodes))
+            return batch_of(a, b)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if part is not None and row["part"] != part and keys:
+                    yield joined()
+                    keys, nodes = [], []
+                part = row["part"]
+                if row["edges"]:
+                    yield batch_of(*np.frombuffer(row["edges"], np.int64).reshape(-1, 2).T)
+                else:
+                    keys.append(np.frombuffer(row["keys"], np.uint32).astype(np.uint64))
+                    nodes.append(np.frombuffer(row["nodes"], np.int64))
+        if keys:
+            yield joined()
+
+    sent = body.mapInArrow(sign, "part int, keys binary, nodes binary, edges binary").repartition("part").sortWithinPartitions("part")
+    return sent.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _texts_of(body: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and compared line of the wanted nodes."""
+    wanted = nodes.select("node")
+    bits = key_bits(wanted, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = shared.value, set()
+        seen: set[int] = set()
         for batch in batches:
             found: dict[int, bytes] = {}
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 for line in compared_lines(text):
-                    if line:
-                        key = line_key(line)
-                        bit = key % size
-                        if key not in seen and int(words[bit >> 6]) >> (bit & 63) & 1:
-                            found[key] = line
-                            seen.add(key)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "line"])
+                    if line and (key := line_key(line)) not in seen and key not in found:
+                        found[key] = line
+            keys = np.fromiter(found, np.int64, len(found))
+            among = bits.among(keys)
+            seen.update(keys[among].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(found.values()), pa.binary())], names=["node", "line"]).filter(pa.array(among))
 
-    return docs.mapInArrow(run, "node bigint, line binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return body.mapInArrow(run, "node bigint, line binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -183,17 +185,15 @@ def similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[bytes, np.ndarray] = {}
-
-            def of(line: bytes) -> np.ndarray:
-                if line not in sets:
-                    sets[line] = np.unique(stretches([line])[0])
-                return sets[line]
-
+            # every line of the batch once, all together
+            at: dict[bytes, int] = {}
+            pairs = [(at.setdefault(x, len(at)), at.setdefault(y, len(at))) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            values, starts = stretches(list(at)) if at else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            sets = [np.unique(x) for x in np.split(values, starts[1:])]
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = of(x), of(y)
-                both = common_size(x, y)
+            for x, y in pairs:
+                x, y = sets[x], sets[y]
+                both = common_size(x, y) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -217,26 +217,30 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = 10, rows: int =
     text = text_of(text_col)
     body = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    split = staged(_split_lines(body, kind, bands, rows, parts), "line-rows")
-
-    blocks = split.where(f"kind = {BLOCK}").select("part", "keys", "nodes").repartition("part").sortWithinPartitions("part")
-    edges = split.where(f"kind = {EDGE}").select("a", "b").union(blocks.mapInPandas(_met, "a bigint, b bigint"))
-    edges = staged(edges.distinct(), "line-edges")
+    lined = staged(_occurrences(body, kind), "line-occurrences")
+    edges = staged(_candidates(body, bands, rows, parts), "line-edges")
     nodes = staged(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct(), "line-nodes")
     lines = staged(_texts_of(body, nodes), "line-texts")
-    roots = components(staged(similar(edges, lines, percent), "line-links"))
+    roots = staged(components(staged(similar(edges, lines, percent), "line-links")), "line-roots")
 
     occurrence = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"), F.col("pos"))
-    lined = split.where(f"kind = {LINE}").select(F.col("a").alias("node"), "doc_id", "row_key", "pos")
     classes = lined.groupBy("node").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last"))
-    grouped = staged(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "line-classes")
+    linked = key_filter(roots.select("node").union(roots.select(F.col("root").alias("node"))), "node")
+    # lines that stand once and are like no other go no further
+    classes = staged(classes.where((F.col("first") != F.col("last")) | linked("node")), "line-classes")
+    grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep <> last")
     repeated = staged(grouped.join(heads.select("root", "keep"), "root").select("node", "keep"), "line-repeated")
-    gone = lined.join(repeated, "node").where(~(F.col("row_key").eqNullSafe(F.col("keep.row_key")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("pos") == F.col("keep.pos"))))
+    here = [F.col("row_key").eqNullSafe(F.col("keep.row_key")), F.col("doc_id").eqNullSafe(F.col("keep.doc_id")), F.col("pos") == F.col("keep.pos")]
+    again = key_filter(repeated, "node")
+    gone = lined.where(again("node")).join(repeated, "node").where(~(here[0] & here[1] & here[2]))
     gone = staged(gone.groupBy("row_key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "lines-gone")
 
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
-    joined = whole.join(gone, "row_key", "left")
+    among = key_filter(gone, "row_key")
+    whole = whole.withColumn("among", among("row_key"))
+    # documents that lose nothing stay out of the join
+    joined = whole.where("among").join(gone, "row_key", "left").unionByName(whole.where("NOT among").withColumn("gone", F.lit(None).cast("array<int>"))).drop("among")
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("gone", i))
     solid = lambda lines: F.size(F.filter(lines, lambda x: F.regexp_replace(x, r"[\x20\x09-\x0D]+", "") != ""))
     result = joined.withColumns({"n_lines": solid(F.split("text", "\n", -1)), "n_gone": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))})

@@ -165,8 +165,9 @@ def crowded_pairs(reps: DataFrame, sketches: DataFrame, label: DataFrame, percen
 def _texts(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
     """node, sorted shingle set (binary), its size and its sketch, of the wanted (node, text_key)."""
     text = text_of(text_col)
-    among = key_filter(wanted, "text_key")
-    rows = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).where(among("text_key")).join(wanted, "text_key").select("node", "text")
+    among = key_filter(wanted.select(F.xxhash64("text_key").alias("key")), "key")
+    rows = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).withColumn("key", F.xxhash64("text_key"))
+    rows = rows.where(among("key")).join(wanted, "text_key").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = MinHash(SKETCH_BITS, seed=53)
