@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, text_of
 
-CACHED = 400_000
+CACHED = 1_000_000
+PAIRS = 1_600_000
 CHUNK = 1 << 20
 SHORT = (2, 1)
 
@@ -41,7 +42,7 @@ class Vocabulary:
         # lengths of the tokens to try for the last three bytes, longest first
         self.lengths = {last: (*sorted(x, reverse=True), 2, 1) for last, x in lengths.items()}
         self.longest = max(map(len, ranks), default=0)
-        self._beside: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -59,13 +60,11 @@ class Vocabulary:
         return [self.ranks[x] for x in parts]
 
     def beside(self, left: int, right: int) -> bool:
-        """Whether ``right`` may follow ``left`` (-1: the start)."""
-        found = self._beside.get((left, right))
-        if found is None:
-            if len(self._beside) > 4 * CACHED:
-                self._beside.clear()
-            joined = (self.bytes_of[left] if left >= 0 else b"") + self.bytes_of[right]
-            found = self._beside[left, right] = self.merged(joined) == ([left, right] if left >= 0 else [right])
+        """Whether ``right`` may follow ``left`` (-1: the start); known pairs are looked up under ``left << 32 | right``."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        joined = (self.bytes_of[left] if left >= 0 else b"") + self.bytes_of[right]
+        found = self.pairs[left << 32 | right] = self.merged(joined) == ([left, right] if left >= 0 else [right])
         return found
 
 
@@ -76,22 +75,32 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _ending(self, end: int) -> int:
-        data, ranks, last, beside = self.data, self.vocabulary.ranks, self.last, self.vocabulary.beside
-        for length in self.vocabulary.lengths.get(data[max(0, end - 3) : end], SHORT):
-            start = end - length
-            if start < 0:
-                continue
-            token = ranks.get(data[start:end])
-            if token is not None and beside(last[start - 1] if start else -1, token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+    def _endings(self, start: int, end: int) -> Iterator[int]:
+        """The last token of every prefix that ends after ``start`` and up to ``end``; each must be stored before the next is asked for."""
+        data, last, vocabulary = self.data, self.last, self.vocabulary
+        lengths, rank_of, pair_of = vocabulary.lengths.get, vocabulary.ranks.get, vocabulary.pairs.get
+        for at in range(start + 1, end + 1):
+            for length in lengths(data[at - 3 if at > 3 else 0 : at], SHORT):
+                first = at - length
+                if first < 0:
+                    continue
+                token = rank_of(data[first:at])
+                if token is None:
+                    continue
+                left = last[first - 1] if first else -1
+                fits = pair_of(left << 32 | token)
+                if vocabulary.beside(left, token) if fits is None else fits:
+                    yield token
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
 
     def append(self, data: bytes) -> None:
         start = len(self.data)
         self.data += data
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._ending(end))
+        store = self.last.append
+        for token in self._endings(start, len(self.data)):
+            store(token)
 
     def change_to(self, data: bytes) -> Prefixes:
         """Go over to other bytes; entries of the common start stay."""
@@ -107,8 +116,8 @@ class Prefixes:
         self.data = self.data[:start] + data + self.data[end:]
         del self.last[start:]
         alike = 0
-        for at in range(start, len(self.data)):
-            self.last.append(self._ending(at + 1))
+        for at, token in enumerate(self._endings(start, len(self.data)), start):
+            self.last.append(token)
             old = at - moved - end
             alike = alike + 1 if at >= start + len(data) and tail[old] == self.last[-1] else 0
             if alike >= self.vocabulary.longest:
