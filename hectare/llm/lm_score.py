@@ -71,7 +71,7 @@ def terms_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(np.maximum(hashes, np.uint64(1)), ends, END_WORD), bounds[:-1] + np.arange(len(bodies))
 
 
-def in_chunks(bodies: list[bytes], size: int = 2 * CHUNK) -> Iterator[slice]:
+def in_chunks(bodies: list[bytes], size: int = CHUNK) -> Iterator[slice]:
     first, total = 0, 0
     for at, body in enumerate(bodies):
         if at > first and total + len(body) > size:
@@ -93,7 +93,7 @@ def wanted(bodies: list[bytes], train: np.ndarray, depth: int) -> dict[int, tupl
             seen, counts = np.unique(keys[learns], return_counts=True)
             new = np.unique(keys[~learns])
             found += [(seen, counts.astype(np.int64)), (new, np.zeros(len(new), np.int64))]
-            if sum(len(x[0]) for x in found) > 8 * CHUNK:
+            if sum(len(x[0]) for x in found[1:]) > max(2 * CHUNK, len(found[0][0]) // 2):
                 found = [tuple(summed(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])))]
         out[kind] = tuple(summed(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])))
     return out
