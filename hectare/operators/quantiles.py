@@ -1,8 +1,7 @@
 """Exact grouped quantiles that stay bounded when one group holds much of the table.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. That is the fastest plan while groups are
-moderate, so it is used for them. Groups above a row limit are split instead: approximate cut points divide the group
-into value ranges, the range counts tell in which range a wanted rank lies, and only those ranges are ranked.
+Values fall into cells of a fixed, order-preserving scale. Counts per cell tell in which cell a wanted rank lies, and only the values of
+those cells are ranked. One plan serves every size; no task holds or orders the values of a whole group.
 """
 
 from __future__ import annotations
@@ -12,33 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import col
 
-# Inputs below this size cannot overfill a task whichever group is hot.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-GROUP_ROW_LIMIT = 1_000_000
-CUTS = 256
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the base tables below a query, from the statistics Spark keeps for its own broadcast decision."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys, for joining a group's row back to the group."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+# Cells per factor of e, and the size from which the scale is logarithmic.
+CELLS, FINEST = 4096, 2.0**-20
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys match, keeping one copy of the keys."""
-    if not keys:
-        return left.join(right, how=how) if how != "left_semi" else left
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = F.lit(True)
     for k in keys:
@@ -46,78 +24,75 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def group_agg(df: DataFrame, keys: list[str], aggs: list[Column] = (), quantiles: dict | None = None,
-              row_limit: int = GROUP_ROW_LIMIT, small_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+def cell_of(value: Column) -> Column:
+    """A cell number that never falls as the value grows; neighbouring cells differ by a fortieth of a percent or by 2^-32."""
+    return (F.signum(value) * F.floor(F.log1p(F.abs(value) / F.lit(FINEST)) * F.lit(CELLS))).cast("bigint")
+
+
+def group_agg(df: DataFrame, keys: list[str], aggs: list[Column] = (), quantiles: dict | None = None) -> DataFrame:
     """``groupBy(keys).agg(*aggs)`` plus exact linear-interpolated quantiles ``{out: (value, p)}``.
 
-    ``keys`` may be empty (one row). Null and NaN values are ignored by the quantiles.
+    ``keys`` may be empty (one row). Null and NaN values are ignored by the quantiles; groups without values get null.
     """
     quantiles = {name: (col(v), p) for name, (v, p) in (quantiles or {}).items()}
-    one_pass = [F.percentile(F.nanvl(v.cast("double"), F.lit(None).cast("double")), F.lit(p)).alias(name)
-                for name, (v, p) in quantiles.items()]
-    if not quantiles or input_bytes(df) <= small_bytes:
-        return df.groupBy(*keys).agg(*aggs, *one_pass) if (aggs or one_pass) else df.select(*keys).distinct()
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > row_limit).drop("_n")
-    if hot.isEmpty():
-        return df.groupBy(*keys).agg(*aggs, *one_pass)
-    if not keys:
-        return _split_groups(df, [], aggs, quantiles)
-    usual = join_groups(df, hot, keys, "left_anti").groupBy(*keys).agg(*aggs, *one_pass)
-    return usual.unionByName(_split_groups(join_groups(df, hot, keys, "left_semi"), keys, aggs, quantiles))
-
-
-def _split_groups(df: DataFrame, keys: list[str], aggs, quantiles: dict) -> DataFrame:
-    marked = df if keys else df.withColumn("_all", F.lit(1))
-    group = keys or ["_all"]
-    out = marked.groupBy(*group).agg(*aggs, F.count(F.lit(1)).alias("_n"))
+    out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct() if keys else None
+    by_value: dict[str, tuple[Column, dict[str, float]]] = {}
     for name, (value, p) in quantiles.items():
-        out = join_groups(out, quantile_by_rank(marked, group, value, p, name), group)
-    return out.drop("_n", *([] if keys else ["_all"]))
-
+        by_value.setdefault(str(value), (value, {}))[1][name] = p
+    for value, ps in by_value.values():
+        found = quantiles_by_rank(df, keys, value, ps)
+        if keys:
+            out = join_groups(out, found, keys)
+        else:  # one row
+            out = found if out is None else out.withColumns({name: found.select(name).scalar() for name in ps})
+    return out
+
+
+def quantiles_by_rank(df: DataFrame, keys: list[str], value: Column, ps: dict[str, float]) -> DataFrame:
+    """Exact quantiles ``{out: p}`` of one value, per group that has a value; one row (of nulls, if need be) without keys."""
+    v = value.cast("double")
+    rows = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counted = rows.groupBy(*keys, cell_of(F.col("_v")).alias("_cell"), "_v").agg(F.count(F.lit(1)).alias("_c"))
+    in_order = Window.partitionBy(*keys).orderBy("_cell")
+    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_in"))
+    cells = cells.withColumns({"_before": F.sum("_in").over(in_order) - F.col("_in"), "_n": F.sum("_in").over(Window.partitionBy(*keys))})
+    positions = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in ps.items()}
+    ranks = F.array_distinct(F.array(*[side(x).cast("bigint") for x in positions.values() for side in (F.floor, F.ceil)]))
+    here = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
+    needed = cells.withColumn("_ranks", here).filter(F.size("_ranks") > 0).select(*keys, "_cell", "_before", "_n", "_ranks")
+    by_value = Window.partitionBy(*keys, "_cell").orderBy("_v")
+    picked = (
+        join_groups(counted, needed, [*keys, "_cell"], "inner")
+        .withColumn("_upto", F.col("_before") + F.sum("_c").over(by_value))
+        .withColumn("_rank", F.explode("_ranks"))
+        .filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
+    )
+    at = {}
+    for name, x in positions.items():
+        low, high = (F.max(F.when(F.col("_rank") == side(x).cast("bigint"), F.col("_v"))) for side in (F.floor, F.ceil))
+        at[name] = low + (high - low) * F.max(x - F.floor(x))
+    return picked.groupBy(*keys).agg(*[x.alias(name) for name, x in at.items()])
 
-def quantile_by_rank(df: DataFrame, keys: list[str], value: Column, p: float, name: str) -> DataFrame:
-    """One exact quantile per group without ever ordering a whole group in one task."""
-    rows = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    position = (F.col("_n") - 1) * F.lit(float(p))
-    ranks = F.array_distinct(F.array(F.floor(position), F.ceil(position)))
-    picked, sizes = values_at_ranks(rows, keys, "_v", ranks)
-    exact = join_groups(picked, sizes, keys)
-    lo = F.max(F.when(F.col("_rank") == F.floor(position), F.col("_v")))
-    hi = F.max(F.when(F.col("_rank") == F.ceil(position), F.col("_v")))
-    frac = F.max(position - F.floor(position))
-    return exact.groupBy(*keys).agg((lo + (hi - lo) * frac).alias(name))
 
+def value_at_rank(rows: DataFrame, value: str, rank: int, weight: str | None = None) -> tuple[int, int] | None:
+    """The integer that stands at a 0-based rank of the whole column, and how many rows are below it; None beyond the last row.
 
-def values_at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: Column) -> tuple[DataFrame, DataFrame]:
-    """Values standing at given 0-based ranks of each group's ascending order.
+    ``weight``: a column that says how many rows each row stands for.
 
-    ``ranks`` is an array expression that may use the group size ``_n``. Returns (keys, _rank, value) and (keys, _n).
+    Each pass counts at most 65,536 equal stretches of what is left of the range; a 64-bit range takes four.
     """
-    steps = [i / CUTS for i in range(1, CUTS)]
-    sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array_distinct(F.percentile_approx(value, steps, 10 * CUTS)).alias("_cuts"),
-    )
-    # A value's range is the number of cut points below it; equal values share a range.
-    ranged = join_groups(rows, sizes.drop("_n"), keys, "inner").withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    )
-    counted = ranged.groupBy(*keys, "_range", value).agg(F.count(F.lit(1)).alias("_c"))
-    in_order = Window.partitionBy(*keys).orderBy("_range")
-    ranges = counted.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in")).withColumn(
-        "_before", F.sum("_in").over(in_order) - F.col("_in")
-    )
-    wanted = sizes.select(*keys, F.explode(ranks).alias("_rank"))
-    needed = join_groups(ranges, wanted, keys, "inner").filter(
-        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in"))
-    ).groupBy(*keys, "_range").agg(F.first("_before").alias("_before"), F.collect_list("_rank").alias("_ranks"))
-    by_value = Window.partitionBy(*keys, "_range").orderBy(value)
-    upto = F.col("_before") + F.sum("_c").over(by_value)
-    found = (
-        join_groups(counted, needed, keys + ["_range"], "inner")
-        .withColumn("_upto", upto)
-        .withColumn("_rank", F.explode("_ranks"))
-        .filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
-        .select(*keys, "_rank", value)
-    )
-    return found, sizes.select(*keys, "_n")
+    v = F.col(value).cast("bigint")
+    ends = rows.agg(F.min(v), F.max(v), F.sum(F.when(v.isNotNull(), F.col(weight) if weight else F.lit(1)))).first()
+    if rank < 0 or rank >= (ends[2] or 0):
+        return None
+    low, high, below = ends[0], ends[1], 0
+    while low < high:
+        width = (high - low) // 65536 + 1
+        stretch = F.floor((v.cast("decimal(20,0)") - F.lit(low)) / F.lit(width))
+        counts = rows.filter(v.between(low, high)).groupBy(stretch.cast("bigint").alias("s")).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("n")).toPandas().sort_values("s")
+        upto = counts["n"].cumsum() + below
+        i = int((upto <= rank).sum())
+        below = int(upto.iloc[i - 1]) if i else below
+        low = low + int(counts["s"].iloc[i]) * width
+        high = min(high, low + width - 1)
+    return low, below

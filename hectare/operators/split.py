@@ -2,34 +2,32 @@
 
 from __future__ import annotations
 
-import heapq
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import join_groups, values_at_ranks
+from ..session import scratch_path
+from .quantiles import join_groups, value_at_rank
 from .ranking import stable_hash
 
-MAX_DRIVER_GROUPS = 200_000
-
 
 def time_split(df: DataFrame, ts: str, ids: str, fraction: float) -> DataFrame:
     """Flag ``holdout`` on the last ``fraction`` of rows by (ts, id), exactly ``floor(n × fraction)`` of them.
 
-    The cut instant, and the first held id inside it, are selected by rank (see ``values_at_ranks``): nothing is sorted
-    in one task, however many instants there are or however many rows share one. ``ids`` is one unique numeric column.
+    Rows are counted once per instant and the counts stored; the cut instant and the first held id inside it are found from counts of
+    equal stretches, so nothing is sorted or joined. ``ids`` is one unique numeric column.
     """
     instant = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.select(F.lit(1).alias("_g"), instant.alias("_v")).filter(F.col("_v").isNotNull())
-    work_size = F.col("_n") - F.floor(F.col("_n") * F.lit(fraction)).cast("bigint")
-    at_cut, _ = values_at_ranks(rows, ["_g"], "_v", F.array(work_size))
-    cut = at_cut.agg(F.min("_v")).scalar()
-    # work rows inside the cut instant = work rows − rows before it; the id at that rank starts the hold-out
-    counts = rows.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_v") < cut).alias("_before"))
-    inside = counts.select(work_size - F.col("_before")).scalar()
-    same = df.filter(instant == cut).select(F.lit(1).alias("_g"), F.col(ids).alias("_v"))
-    at_id, _ = values_at_ranks(same, ["_g"], "_v", F.array(inside))
-    first_id = at_id.agg(F.min("_v")).scalar()
+    path = scratch_path(df.sparkSession, "instants")
+    df.groupBy(instant.alias("instant")).agg(F.count(F.lit(1)).alias("n")).filter("instant IS NOT NULL").write.parquet(path)
+    counts = df.sparkSession.read.schema("instant bigint, n bigint").parquet(path)
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = value_at_rank(counts, "instant", size - int(math.floor(size * fraction)), weight="n")
+    if found is None:  # nothing is held out, or there are no rows
+        return df.withColumn("holdout", F.lit(0))
+    cut, before = found
+    first_id, _ = value_at_rank(df.filter(instant == cut), ids, size - int(math.floor(size * fraction)) - before)
     hold = (instant > cut) | ((instant == cut) & (F.col(ids) >= first_id))
     return df.withColumn("holdout", F.coalesce(hold.cast("int"), F.lit(0)))
 
@@ -47,24 +45,24 @@ def position_cutoff(df: DataFrame, period: str, fraction: float) -> DataFrame:
 
 
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """(group, fold): whole groups, largest first, each to the fold with the fewest rows; null groups are one group UNK.
+    """(group, n_rows, fold): whole groups, largest first, dealt to the folds back and forth; null groups are one group UNK.
 
-    Only group sizes reach the driver, and their number is checked: beyond the limit folds come from a hash of the
-    group, which is balanced when there are that many.
+    Groups of one size are ordered by a digest of their name. Ranks come from counts per size, then per cell of the digest, so one rule
+    serves any number of groups and none of them reaches the driver.
     """
     name = F.coalesce(F.col(group).cast("string"), F.lit("UNK"))
     sizes = df.groupBy(name.alias(group)).agg(F.count(F.lit(1)).alias("n_rows"))
-    listed = sizes.orderBy(F.desc("n_rows"), group).limit(MAX_DRIVER_GROUPS + 1).collect()
-    if len(listed) > MAX_DRIVER_GROUPS:
-        return sizes.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
-    loads = [(0, f) for f in range(k)]
-    heapq.heapify(loads)
-    rows = []
-    for r in listed:
-        load, fold = heapq.heappop(loads)
-        rows.append((r[group], r["n_rows"], fold))
-        heapq.heappush(loads, (load + r["n_rows"], fold))
-    return df.sparkSession.createDataFrame(rows, f"`{group}` string, n_rows bigint, fold int")
+    sizes = sizes.withColumn("_d", F.md5(F.encode(group, "UTF-8"))).withColumn("_cell", F.substring("_d", 1, 3))
+    cells = sizes.groupBy("n_rows", "_cell").agg(F.count(F.lit(1)).alias("_g"))
+    # one row per distinct size
+    larger = cells.groupBy("n_rows").agg(F.sum("_g").alias("_g")).select("n_rows", (F.sum("_g").over(Window.orderBy(F.desc("n_rows"))) - F.col("_g")).alias("_larger"))
+    upto = F.sum("_g").over(Window.partitionBy("n_rows").orderBy("_cell")) - F.col("_g")
+    starts = cells.select("n_rows", "_cell", upto.alias("_upto")).join(larger, "n_rows").select("n_rows", "_cell", (F.col("_larger") + F.col("_upto")).alias("_start"))
+    within = Window.partitionBy("n_rows", "_cell").orderBy("_d", group)
+    ranked = sizes.join(starts, ["n_rows", "_cell"]).withColumn("_rank", F.col("_start") + F.row_number().over(within) - 1)
+    at = F.pmod(F.col("_rank"), F.lit(k))
+    forth = F.floor(F.col("_rank") / k) % 2 == 0
+    return ranked.select(group, "n_rows", F.when(forth, at).otherwise(k - 1 - at).cast("int").alias("fold"))
 
 
 def attach_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:

@@ -208,12 +208,9 @@ def period_cutoff(t: Tables):
 
 
 @query("group_folds", "M2", """
-    WITH RECURSIVE z AS (SELECT CASE WHEN parcel % 7 = 0 THEN 'UNK' ELSE parcel::varchar END AS parcel FROM sales), g AS (SELECT parcel, count(*) AS n FROM z GROUP BY parcel),
-    o AS (SELECT parcel, n, row_number() OVER (ORDER BY n DESC, parcel) AS i FROM g),
-    st AS (SELECT 0::bigint AS i, [0, 0, 0, 0, 0]::bigint[] AS loads, ''::varchar AS parcel, 0::bigint AS n, 0 AS fold
-      UNION ALL SELECT o.i, list_transform(range(5), lambda j: loads[j + 1] + CASE WHEN j + 1 = list_position(loads, list_min(loads)) THEN o.n ELSE 0 END), o.parcel, o.n,
-        (list_position(loads, list_min(loads)) - 1)::int FROM st JOIN o ON o.i = st.i + 1)
-    SELECT parcel, n AS n_rows, fold FROM st WHERE i > 0""")
+    WITH z AS (SELECT CASE WHEN parcel % 7 = 0 THEN 'UNK' ELSE parcel::varchar END AS parcel FROM sales), g AS (SELECT parcel, count(*) AS n FROM z GROUP BY parcel),
+    o AS (SELECT parcel, n, row_number() OVER (ORDER BY n DESC, md5(parcel), parcel) - 1 AS i FROM g)
+    SELECT parcel, n AS n_rows, (CASE WHEN i // 5 % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END)::int AS fold FROM o""")
 def group_folds(t: Tables):
     rows = t.sales.select(F.when(F.col("parcel") % 7 != 0, F.col("parcel")).alias("parcel"))
     return split.group_folds(rows, "parcel", 5)

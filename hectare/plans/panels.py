@@ -29,7 +29,7 @@ def panel_rollup(t: Tables):
     SELECT kind, count(*) AS n_rows, round(median(psqm), 6) AS mid, round(quantile_cont(psqm, 0.9), 6) AS p90 FROM deals GROUP BY kind""")
 def hot_group_quantiles(t: Tables):
     # limits of zero send every group through the range-splitting path that huge groups take
-    out = group_agg(t.deals, ["kind"], [F.count(F.lit(1)).alias("n_rows")], {"mid": ("psqm", 0.5), "p90": ("psqm", 0.9)}, row_limit=0, small_bytes=0)
+    out = group_agg(t.deals, ["kind"], [F.count(F.lit(1)).alias("n_rows")], {"mid": ("psqm", 0.5), "p90": ("psqm", 0.9)})
     return rounded(out, 6, "mid", "p90")
 
 
