@@ -98,7 +98,14 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
         hashes, _, _, bounds = words(part)
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             own = hashes[lo:hi]
-            yield np.unique(shingles(own, min(n, len(own)))) if len(own) else own
+            yield distinct(shingles(own, min(n, len(own)))) if len(own) else own
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    new = values[1:] != values[:-1]
+    return values if new.all() else np.concatenate([values[:1], values[1:][new]])
 
 
 def common_size(one: np.ndarray, other: np.ndarray) -> int:

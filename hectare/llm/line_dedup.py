@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import key_bits, key_filter, prepare, staged, text_of
 from .graph import components
-from .hashing import CHUNK, LOWER, MinHash, common_size, mixed
+from .hashing import CHUNK, LOWER, MinHash, common_size, distinct, mixed
 
 WIDTH = 8
 
@@ -189,7 +189,8 @@ def similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
             at: dict[bytes, int] = {}
             pairs = [(at.setdefault(x, len(at)), at.setdefault(y, len(at))) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             values, starts = stretches(list(at)) if at else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            sets = [np.unique(x) for x in np.split(values, starts[1:])]
+            ends = [*starts[1:].tolist(), len(values)]
+            sets = [distinct(values[i:j]) for i, j in zip(starts.tolist(), ends)]
             keep = []
             for x, y in pairs:
                 x, y = sets[x], sets[y]
@@ -242,8 +243,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = 10, rows: int =
     # documents that lose nothing stay out of the join
     joined = whole.where("among").join(gone, "row_key", "left").unionByName(whole.where("NOT among").withColumn("gone", F.lit(None).cast("array<int>"))).drop("among")
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("gone", i))
-    solid = lambda lines: F.size(F.filter(lines, lambda x: F.regexp_replace(x, r"[\x20\x09-\x0D]+", "") != ""))
-    result = joined.withColumns({"n_lines": solid(F.split("text", "\n", -1)), "n_gone": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))})
+    # a match runs from a line's first visible character to its end
+    result = joined.withColumns({"n_lines": F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("int"),
+                                 "n_gone": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))})
     return result.select("document", "n_lines", (F.col("n_lines") - F.col("n_gone")).alias("n_kept"),
                          F.when(F.col("gone").isNull(), F.col("text")).when(F.col("n_lines") == F.col("n_gone"), "").otherwise(F.array_join(kept, "\n")).alias("text"))
 
