@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +97,14 @@ def key_filter(keys: DataFrame, column: str) -> Callable[[str], Column]:
 
     may = F.pandas_udf(test, "boolean")
     return lambda name: may(_spread(F.col(name)))
+
+
+def rows_among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` (64-bit key) can be among ``keys``: the filter above for frames that are little else than texts."""
+    bits, at = key_bits(keys, column), df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bits.among(batch.column(at).to_numpy())))
+
+    return df.mapInArrow(run, df.schema)

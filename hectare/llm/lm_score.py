@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import prepare, remainder, staged, text_of
 from .ctw import Level, keys_of, levels, log10_of, summed
-from .hashing import BLANKS, CHUNK, LOWER, mixed, words
+from .hashing import BLANKS, LOWER, mixed, words
 
+CHUNK = 1 << 20
 GRAM, WORD = 0, 1
 END = b"\n"
 END_WORD = np.uint64(0)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import key_filter, prepare, staged, text_of, with_row_key
+from .common import prepare, rows_among, staged, text_of, with_row_key
 from .graph import components
 from .hashing import LOWER, MinHash, chunks, common_size, shingle_sets
 
@@ -131,8 +131,7 @@ def crowded_pairs(reps: DataFrame, sketches: DataFrame, label: DataFrame, percen
     start = F.expr(f"substring(signature, tree * {4 * depth} + 1, {4 * least_depth})")
     rows = reps.select("node", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "signature").select(F.xxhash64("tree", start).alias("region"), "node")
     full = staged(rows.groupBy("region").agg(F.count("*").alias("n")).where(f"n > {reach + 1}"), "full-regions")
-    among = key_filter(full, "region")
-    rows = rows.where(among("region")).join(full, "region").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows_among(rows, full, "region").join(full, "region").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # one component holds all of it: nothing to compare
     mixed_regions = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("region")
     rows = rows.join(mixed_regions, "region", "left_semi").join(sketches, "node")
@@ -165,9 +164,8 @@ def crowded_pairs(reps: DataFrame, sketches: DataFrame, label: DataFrame, percen
 def _texts(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
     """node, sorted shingle set (binary), its size and its sketch, of the wanted (node, text_key)."""
     text = text_of(text_col)
-    among = key_filter(wanted.select(F.xxhash64("text_key").alias("key")), "key")
     rows = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).withColumn("key", F.xxhash64("text_key"))
-    rows = rows.where(among("key")).join(wanted, "text_key").select("node", "text")
+    rows = rows_among(rows, wanted.select(F.xxhash64("text_key").alias("key")), "key").join(wanted, "text_key").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = MinHash(SKETCH_BITS, seed=53)
