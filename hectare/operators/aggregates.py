@@ -185,19 +185,26 @@ def yearly_mean(df: DataFrame, year: str, value: str, where: Column | None = Non
 
 def group_summary(df: DataFrame, key: str, type_col: str, value: str) -> DataFrame:
     """Per group: rows, median, mean and the sorted list of its types."""
-    s = group_agg(df, [key], [n_rows("n_rows"), F.avg(value).alias("mean_price"),
+    return group_agg(df, [key], [n_rows("n_rows"), F.avg(value).alias("mean_price"),
                               F.concat_ws(", ", F.sort_array(F.collect_set(type_col))).alias("types")],
-                  {"median_price": (value, 0.5)})
-    return s.orderBy(F.desc("median_price"), key)
+                     {"median_price": (value, 0.5)})
 
 
 def spread_table(asking: DataFrame, deals: DataFrame, keys: list[str], ask_value: str, deal_value: str,
                  cap_lo: float = -50, cap_hi: float = 300) -> DataFrame:
-    """Asking versus paid medians per key and their capped spread in percent."""
+    """Asking versus paid medians per key of either side and their capped spread in percent.
+
+    A key with one side only takes the median of the keys' spreads, and ``fallback`` is 1; the missing side stays null and
+    its count is 0.
+    """
     a = group_agg(asking, keys, [F.count(ask_value).alias("asking_n")], {"asking_median": (ask_value, 0.5)})
     t = group_agg(deals, keys, [F.count(deal_value).alias("deal_n")], {"deal_median": (deal_value, 0.5)})
     spread = F.round((F.col("asking_median") / F.col("deal_median") - 1) * 100, 1)
-    return a.join(t, keys).withColumn("spread_pct", F.greatest(F.lit(float(cap_lo)), F.least(F.lit(float(cap_hi)), spread)))
+    both = a.join(t, keys, "full").withColumn("_own", F.when(spread.isNotNull(), F.greatest(F.lit(float(cap_lo)), F.least(F.lit(float(cap_hi)), spread))))
+    typical = group_agg(both.select("_own"), [], [], {"m": ("_own", 0.5)}).scalar()
+    return both.withColumns({
+        "asking_n": F.coalesce("asking_n", F.lit(0)), "deal_n": F.coalesce("deal_n", F.lit(0)),
+        "fallback": spread.isNull().cast("int"), "spread_pct": F.when(spread.isNull(), typical).otherwise(F.col("_own"))}).drop("_own")
 
 
 def corr_with(df: DataFrame, columns: list[str], target: str) -> DataFrame:

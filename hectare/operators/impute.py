@@ -53,11 +53,15 @@ def fill_chain(df: DataFrame, column: str, by: list[list[str]], default: float |
     return out.withColumn(column, F.coalesce(*steps)).drop(*[f"_m{i}" for i in range(len(by))])
 
 
-def quality_rules(df: DataFrame, area: str, floors: str, age: str, score: str, far: str, building: str, borough: str) -> DataFrame:
-    """Area and floors from their class in the borough, age capped at 200, score from the borough, missing FAR 0."""
-    out = fill_chain(df, area, [[building, borough]])
-    out = fill_chain(out, floors, [[building, borough]])
-    out = fill_chain(out, score, [[borough]])
+def quality_rules(df: DataFrame, area: str, floors: str, age: str, score: str, far: str, building: str, borough: str, work: DataFrame | None = None) -> DataFrame:
+    """Area and floors from their class in the borough, age capped at 200, score from the borough, missing FAR 0.
+
+    Medians come from ``work`` (all rows, if it is not given).
+    """
+    fit = df if work is None else work
+    out = fill_chain(df, area, [[building, borough]], work=fit)
+    out = fill_chain(out, floors, [[building, borough]], work=fit)
+    out = fill_chain(out, score, [[borough]], work=fit)
     return out.withColumns({age: clip(age, 0, 200), far: F.coalesce(F.col(far), F.lit(0.0))})
 
 

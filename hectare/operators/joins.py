@@ -6,8 +6,6 @@ No side is forced to broadcast: dimension sides are aggregates or tables whose s
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,25 +53,25 @@ def join_monthly(df: DataFrame, series: DataFrame, ts: str, series_ts: str, valu
     return df.withColumn("_month", F.trunc(ts, "MM")).join(monthly, "_month", "left").drop("_month")
 
 
-def asof_last(df: DataFrame, series: DataFrame, ts: str, series_ts: str, value: str, bucket: str = "MM") -> DataFrame:
+def asof_last(df: DataFrame, series: DataFrame, ts: str, series_ts: str, value: str, bucket: str = "DD") -> DataFrame:
     """Latest series value at or before the row's time.
 
-    The time axis is cut into buckets, so no task orders the whole table: inside a bucket the values are carried
-    forward, and the value that enters a bucket comes from the short table of the buckets' last values.
-    ``series`` must have one value per instant.
+    Facts and series are ordered together by time in slices of the axis (``bucket``: a date part), and inside a slice the
+    last value is carried on; the value that enters a slice comes from the short table of the slices' last values. A fact
+    row never holds more than one value. ``series`` must have one value per instant.
     """
     s = series.filter(F.col(value).isNotNull()).select(
         F.col(series_ts).cast("timestamp").alias("_t"), F.col(value).alias("_v")).withColumn("_b", F.date_trunc(bucket, "_t"))
     ends = s.groupBy("_b").agg(F.max_by("_v", "_t").alias("_end"))
-    fact = df.withColumn("_t", F.col(ts).cast("timestamp")).withColumn("_b", F.date_trunc(bucket, "_t"))
-    # value that was last known before each bucket in use (one row per bucket)
-    order = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    entry = fact.select("_b").distinct().join(ends, "_b", "full").withColumn("_entry", F.last("_end", True).over(order)).select("_b", "_entry")
-    spells = s.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_t", "_v"))).alias("_in"))
-    past = F.filter("_in", lambda e: e["_t"] <= F.col("_t"))
-    carried = F.get(past, F.size(past) - 1)["_v"]
-    return (fact.join(entry, "_b", "left").join(spells, "_b", "left")
-            .withColumn(value, F.coalesce(carried, F.col("_entry"))).drop("_b", "_t", "_entry", "_in"))
+    fact = df.drop(value).withColumn("_t", F.col(ts).cast("timestamp")).withColumn("_b", F.date_trunc(bucket, "_t"))
+    # one row per slice in use
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    entry = fact.select("_b").distinct().join(ends, "_b", "full").withColumn("_entry", F.last("_end", True).over(before)).select("_b", "_entry")
+    both = fact.withColumn("_v", F.lit(None).cast(s.schema["_v"].dataType)).withColumn("_fact", F.lit(1)).unionByName(
+        s.withColumn("_fact", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy("_b").orderBy("_t", "_fact").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("_c", F.last("_v", True).over(upto)).filter("_fact = 1")
+    return carried.join(entry, "_b", "left").withColumn(value, F.coalesce("_c", "_entry")).drop("_b", "_t", "_v", "_fact", "_c", "_entry")
 
 
 def latest_value(series: DataFrame, ts: str, value: str) -> DataFrame:
@@ -81,18 +79,26 @@ def latest_value(series: DataFrame, ts: str, value: str) -> DataFrame:
     return series.filter(F.col(value).isNotNull()).agg(F.max_by(value, ts).alias(value))
 
 
-def nearest_key(df: DataFrame, dim: DataFrame, key: str, values: list[str]) -> DataFrame:
+def nearest_key(df: DataFrame, dim: DataFrame, key: str, values: list[str], slices: int = 1024) -> DataFrame:
     """Values of the closest available key (earlier key on a tie).
 
-    Both sides are reduced to their distinct keys first; on that short list the nearest key below and above comes from
-    one ordered pass, then the rows join back by key.
+    Both sides are reduced to their distinct keys. The keys are ordered in slices of equal width (``slices`` of them over the
+    dimension's range); the nearest keys beyond a slice come from the slices' ends. Rows join back by key.
     """
     have = dim.select(F.col(key).alias("_k"), F.struct(*values).alias("_v")).filter(F.col("_k").isNotNull())
     asked = df.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
-    line = asked.join(have, "_k", "full").withColumn("_own", F.when(F.col("_v").isNotNull(), F.struct("_k", "_v")))
-    up = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy("_k").rowsBetween(0, Window.unboundedFollowing)
+    ends = have.agg(F.struct(F.min("_k").cast("double").alias("low"), F.max("_k").cast("double").alias("high"))).scalar()
+    at = F.floor((F.col("_k") - ends["low"]) / F.greatest(ends["high"] - ends["low"], F.lit(1e-300)) * slices)
+    line = asked.join(have, "_k", "full").withColumns({
+        "_own": F.when(F.col("_v").isNotNull(), F.struct("_k", "_v")), "_s": F.coalesce(F.greatest(F.lit(-1), F.least(F.lit(slices + 1), at)), F.lit(0)).cast("int")})
+    up = Window.partitionBy("_s").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_s").orderBy("_k").rowsBetween(0, Window.unboundedFollowing)
     line = line.withColumns({"_lo": F.last("_own", True).over(up), "_hi": F.first("_own", True).over(down)})
+    # at most slices + 3 rows
+    edge = line.groupBy("_s").agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("_k"))).alias("_last"), F.min_by("_own", F.when(F.col("_own").isNotNull(), F.col("_k"))).alias("_first"))
+    before, after = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_s").rowsBetween(1, Window.unboundedFollowing)
+    edge = edge.select("_s", F.last("_last", True).over(before).alias("_below"), F.first("_first", True).over(after).alias("_above"))
+    line = line.join(edge, "_s").withColumns({"_lo": F.coalesce("_lo", "_below"), "_hi": F.coalesce("_hi", "_above")})
     below, above = F.col("_k") - F.col("_lo._k"), F.col("_hi._k") - F.col("_k")
     pick = F.when(below.isNull(), F.col("_hi")).when(above.isNull() | (below <= above), F.col("_lo")).otherwise(F.col("_hi"))
     found = line.withColumn("_p", pick).select(F.col("_k").alias(key), *[F.col(f"_p._v.{v}").alias(v) for v in values])
@@ -163,7 +169,3 @@ def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def unseen_periods(df: DataFrame, panel: DataFrame, period: str) -> DataFrame:
     """Rows whose period the panel does not hold yet."""
     return df.join(panel.select(period).distinct(), period, "left_anti")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

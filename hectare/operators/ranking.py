@@ -69,11 +69,11 @@ def stratified_sample(df: DataFrame, stratum: list[str], ids: list[str], n: int,
     return top_per_key(df, stratum, [by, *ids], n)
 
 
-def top_k_per_row(df: DataFrame, array_col: str, k: int, magnitude: str) -> DataFrame:
-    """Keep the k structs with the largest absolute ``magnitude`` in each row's array, largest first."""
+def top_k_per_row(df: DataFrame, array_col: str, k: int, magnitude: str, name: str = "feature") -> DataFrame:
+    """Keep the k structs with the largest absolute ``magnitude`` in each row's array, largest first; ties by ``name``."""
     def bigger_first(a, b):
         x, y = F.abs(a[magnitude]), F.abs(b[magnitude])
-        return F.when(x > y, -1).when(x < y, 1).otherwise(0)
+        return F.when(x > y, -1).when(x < y, 1).when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(0)
 
     return df.withColumn(array_col, F.slice(F.array_sort(F.col(array_col), bigger_first), 1, k))
 

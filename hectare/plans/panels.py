@@ -172,13 +172,15 @@ def group_summary(t: Tables):
 
 
 @query("spread_table", "A20", """
-    WITH a AS (SELECT region, count(price) AS asking_n, median(price) AS asking_median FROM sales WHERE id % 2 = 0 GROUP BY region),
-    d AS (SELECT region, count(price) AS deal_n, median(price) AS deal_median FROM sales WHERE id % 2 = 1 GROUP BY region)
-    SELECT region, asking_n, round(asking_median, 4) AS asking_median, deal_n, round(deal_median, 4) AS deal_median,
-           greatest(-50, least(300, round((asking_median / deal_median - 1) * 100, 1))) + 0.0 AS spread_pct FROM a JOIN d USING (region)""")
+    WITH a AS (SELECT region, count(price) AS asking_n, median(price) AS asking_median FROM sales WHERE id % 2 = 0 AND region <> 3 GROUP BY region),
+    d AS (SELECT region, count(price) AS deal_n, median(price) AS deal_median FROM sales WHERE id % 2 = 1 AND region <> 5 GROUP BY region),
+    b AS (SELECT region, coalesce(asking_n, 0) AS asking_n, asking_median, coalesce(deal_n, 0) AS deal_n, deal_median,
+           CASE WHEN asking_median / deal_median IS NOT NULL THEN greatest(-50, least(300, round((asking_median / deal_median - 1) * 100, 1))) END AS own FROM a FULL JOIN d USING (region))
+    SELECT region, asking_n, round(asking_median, 4) AS asking_median, deal_n, round(deal_median, 4) AS deal_median, (own IS NULL)::int AS fallback,
+           round(coalesce(own, (SELECT median(own) FROM b)), 4) + 0.0 AS spread_pct FROM b""")
 def spread_table(t: Tables):
     s = t.sales
-    out = A.spread_table(s.filter("id % 2 = 0"), s.filter("id % 2 = 1"), ["region"], "price", "price")
+    out = A.spread_table(s.filter("id % 2 = 0 AND region <> 3"), s.filter("id % 2 = 1 AND region <> 5"), ["region"], "price", "price")
     return rounded(out, 4, "asking_median", "deal_median", "spread_pct")
 
 

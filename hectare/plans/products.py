@@ -99,26 +99,29 @@ def asking_overlay(t: Tables):
     return out.select("id", "asking_psqm", "asking_total", "asking_spread_pct")
 
 
+def recent(t: Tables):
+    return layers.recent_sales(t.sales.select("region", "id", "ts", "price", "area"), F.to_date(F.lit("2001-06-30")), "ts", "price", "area")
+
+
 AREA = "r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY ts DESC, id) AS k FROM sales WHERE ts::date >= DATE '2001-06-30' - 548 AND price > 100000)"
 
 
 @query("area_comps", "V5", f"""WITH {AREA} SELECT region, k AS rank, id, price, round_even(price / area, 0) AS psf FROM r WHERE k <= 5""")
 def area_comps(t: Tables):
-    out = layers.area_comps(t.sales.select("region", "id", "ts", "price", "area"), "region", F.to_date(F.lit("2001-06-30")), "ts", "price", "area", ["id"])
+    out = layers.area_comps(recent(t), "region", "ts", ["id"])
     return out.select("region", F.col("rank").cast("bigint").alias("rank"), "id", "price", "psf")
 
 
-@query("area_summary", "V5", f"""WITH {AREA} SELECT region, count(*) AS n_comps, trunc(median(price))::bigint AS median_price, trunc(median(round_even(price / area, 0)))::bigint AS median_psf FROM r WHERE k <= 5 GROUP BY region""")
+@query("area_summary", "V5", f"""WITH {AREA} SELECT region, count(*) AS n_comps, trunc(median(price))::bigint AS median_price, trunc(median(round_even(price / area, 0)))::bigint AS median_psf FROM r GROUP BY region""")
 def area_summary(t: Tables):
-    comps = layers.area_comps(t.sales.select("region", "id", "ts", "price", "area"), "region", F.to_date(F.lit("2001-06-30")), "ts", "price", "area", ["id"])
-    return layers.area_summary(comps, "region", "price")
+    return layers.area_summary(recent(t), "region", "price")
 
 
 @query("area_trend", "V5, A15", """
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY ts, id) AS k FROM sales WHERE ts::date >= DATE '2001-06-30' - 730 AND price > 100000)
-    SELECT region, strftime(ts, '%Y-%m') AS month, count(*) AS n_sales, round(median(price), 4) AS median_price FROM r WHERE k <= 300 GROUP BY 1, 2 HAVING count(*) >= 2""")
+    SELECT region, strftime(ts, '%Y-%m') AS month, count(*) AS n_sales, round(median(price), 4) AS median_price
+    FROM sales WHERE ts::date >= DATE '2001-06-30' - 730 AND price > 100000 GROUP BY 1, 2 HAVING count(*) >= 2""")
 def area_trend(t: Tables):
-    out = layers.area_trend(t.sales.select("region", "id", "ts", "price", "area"), "region", F.to_date(F.lit("2001-06-30")), "ts", "price", "area", ["id"])
+    out = layers.area_trend(t.sales.select("region", "id", "ts", "price", "area"), "region", F.to_date(F.lit("2001-06-30")), "ts", "price", "area")
     return rounded(out, 4, "median_price")
 
 
@@ -167,15 +170,14 @@ def compare_pairs(t: Tables):
     return rounded(valuation.compare_pairs(pairs, values, "id", "value").select("id_a", "id_b", "diff", "diff_pct", "higher"), 4, "diff", "diff_pct")
 
 
-@query("append_stream", "R1, U2", """SELECT o_orderkey AS id, o_totalprice AS price FROM orders""")
+@query("append_stream", "R1, U2", """SELECT o_orderkey AS id, o_totalprice + CASE WHEN o_orderdate < DATE '2000-01-01' THEN 0 ELSE 1 END AS price FROM orders""")
 def append_stream(t: Tables):
     from ..streaming.append import append_stream as start
 
     base = scratch_path(t.spark, "stream")
     rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("ts"))
-    # two deliveries that overlap by one year
-    rows.filter("ts < DATE'2000-01-01'").coalesce(1).write.parquet(f"{base}/landing/first")
-    rows.filter("ts >= DATE'1999-01-01'").coalesce(1).write.parquet(f"{base}/landing/second")
-    run = start(t.spark, f"{base}/landing/*", rows.schema, f"{base}/table", f"{base}/progress", ["id"], ["ts", "id"], max_files=1)
-    run.awaitTermination()
+    # two deliveries that overlap by one year; the second has other prices, of which only those of new keys may come in
+    for name, part in (("first", rows.filter("ts < DATE'2000-01-01'")), ("second", rows.filter("ts >= DATE'1999-01-01'").withColumn("price", F.col("price") + 1))):
+        part.write.parquet(f"{base}/landing/{name}")
+        start(t.spark, f"{base}/landing/*", rows.schema, f"{base}/table", f"{base}/progress", ["id"], ["ts", "id"]).awaitTermination()
     return t.spark.read.parquet(f"{base}/table").select("id", "price")

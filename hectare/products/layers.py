@@ -13,7 +13,6 @@ from ..sources.places import geojson_lines, point_geometry, polygon_geometry
 
 # ---- fixed values: windows and sizes of the area page ----
 COMP_DAYS, TREND_DAYS = 548, 730
-COMP_ROWS, COMP_SHOWN, TREND_ROWS = 20, 5, 300
 MIN_COMP_PRICE = 100_000
 # ---- end of fixed values ----
 
@@ -38,24 +37,27 @@ def listings_layer(listings: DataFrame, lat: str, lon: str, inside: Column, psqm
     return geojson_lines(listings.filter(inside & (F.col(psqm) > 0)), point_geometry(lat, lon), props)
 
 
-def area_comps(sales: DataFrame, area_key: str, as_of: Column, ts: str, price: str, sqft: str, ids: list[str]) -> DataFrame:
-    """Per area: the newest comparable sales of the last 18 months with price per square foot, numbered."""
+def recent_sales(sales: DataFrame, as_of: Column, ts: str, price: str, sqft: str) -> DataFrame:
+    """All comparable sales of the last 18 months with price per square foot."""
     recent = sales.filter((F.to_date(ts) >= F.date_sub(as_of, COMP_DAYS)) & (F.col(price) > MIN_COMP_PRICE))
-    shown = top_per_key(recent, [area_key], [F.desc(ts), *ids], COMP_SHOWN, rank="rank")
-    return shown.withColumn("psf", F.when(F.col(sqft) > 0, F.bround(F.col(price) / F.col(sqft))))
+    return recent.withColumn("psf", F.when(F.col(sqft) > 0, F.bround(F.col(price) / F.col(sqft))))
 
 
-def area_summary(comps: DataFrame, area_key: str, price: str) -> DataFrame:
-    """Number of comparables, median price and median price per square foot (whole units)."""
-    s = group_agg(comps, [area_key], [F.count(F.lit(1)).alias("n_comps")], {"median_price": (price, 0.5), "median_psf": ("psf", 0.5)})
+def area_comps(recent: DataFrame, area_key: str, ts: str, ids: list[str], n: int = 5) -> DataFrame:
+    """Per area the ``n`` newest of the recent sales, numbered."""
+    return top_per_key(recent, [area_key], [F.desc(ts), *ids], n, rank="rank")
+
+
+def area_summary(recent: DataFrame, area_key: str, price: str) -> DataFrame:
+    """Per area over all recent sales: their number, median price and median price per square foot (whole units)."""
+    s = group_agg(recent, [area_key], [F.count(F.lit(1)).alias("n_comps")], {"median_price": (price, 0.5), "median_psf": ("psf", 0.5)})
     return s.withColumns({c: F.col(c).cast("bigint") for c in ("median_price", "median_psf")})
 
 
-def area_trend(sales: DataFrame, area_key: str, as_of: Column, ts: str, price: str, sqft: str, ids: list[str]) -> DataFrame:
-    """Monthly medians over the oldest rows of the last 24 months; months with one sale are left out."""
+def area_trend(sales: DataFrame, area_key: str, as_of: Column, ts: str, price: str, sqft: str) -> DataFrame:
+    """Monthly medians over the last 24 months; months with one sale are left out."""
     window = sales.filter((F.to_date(ts) >= F.date_sub(as_of, TREND_DAYS)) & (F.col(price) > MIN_COMP_PRICE) & (F.col(sqft) > 0))
-    oldest = top_per_key(window, [area_key], [F.asc(ts), *ids], TREND_ROWS)
-    return monthly_trend(oldest, [area_key], ts, price)
+    return monthly_trend(window, [area_key], ts, price)
 
 
 def quality_report(df: DataFrame, actual: str, predicted: str, segments: dict[str, Column], stratum: str, ids: list[str],
