@@ -237,11 +237,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = 10, rows: int =
     gone = lined.where(again("node")).join(repeated, "node").where(~(here[0] & here[1] & here[2]))
     gone = staged(gone.groupBy("row_key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "lines-gone")
 
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
-    among = key_filter(gone, "row_key")
-    whole = whole.withColumn("among", among("row_key"))
-    # documents that lose nothing stay out of the join
-    joined = whole.where("among").join(gone, "row_key", "left").unionByName(whole.where("NOT among").withColumn("gone", F.lit(None).cast("array<int>"))).drop("among")
+    # the text travels once: in the struct
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.xxhash64(F.col(id_col), text).alias("row_key"))
+    joined = whole.join(gone, "row_key", "left").withColumn("text", text_of(F.col("document").getField(text_col)))
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("gone", i))
     # a match runs from a line's first visible character to its end
     result = joined.withColumns({"n_lines": F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("int"),
