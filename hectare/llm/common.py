@@ -99,12 +99,13 @@ def key_filter(keys: DataFrame, column: str) -> Callable[[str], Column]:
     return lambda name: may(_spread(F.col(name)))
 
 
-def rows_among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` (64-bit key) can be among ``keys``: the filter above for frames that are little else than texts."""
-    bits, at = key_bits(keys, column), df.columns.index(column)
+def rows_among(df: DataFrame, keys: DataFrame | KeyBits, column: str, among: bool = True) -> DataFrame:
+    """Rows of ``df`` whose ``column`` (64-bit key) can be among ``keys``, or surely is not: for frames that are mostly texts, whose rows
+    the filter above would hold back while it waits for Python."""
+    bits, at = keys if isinstance(keys, KeyBits) else key_bits(keys, column), df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(bits.among(batch.column(at).to_numpy())))
+            yield batch.filter(pa.array(bits.among(batch.column(at).to_numpy()) == among))
 
     return df.mapInArrow(run, df.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_filter, prepare, staged, text_of
+from .common import key_bits, prepare, rows_among, staged, text_of
 from .hashing import chunks, shingles, words
 from .order import neighbours_in_order
 
@@ -122,8 +122,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
 
     # word hashes of the documents that are in a pair, once per document
     nodes = staged(pairs.select(F.col("a").alias("row_key")).union(pairs.select(F.col("b").alias("row_key"))).distinct(), "suffix-documents")
-    among = key_filter(nodes, "row_key")
-    needed = staged(body.where(among("row_key")).join(nodes, "row_key", "left_semi").dropDuplicates(["row_key"]), "suffix-texts")
+    needed = staged(rows_among(body, nodes, "row_key").join(nodes, "row_key", "left_semi").dropDuplicates(["row_key"]), "suffix-texts")
     one, other = needed.select(F.col("row_key").alias("a"), F.col("text").alias("x")), needed.select(F.col("row_key").alias("b"), F.col("text").alias("y"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +149,15 @@ def marked(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     text = text_of(text_col)
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
     spans = staged(spans, "spans")
-    among = key_filter(spans, "row_key")
-    flagged = docs.select(columns, F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text")).withColumn("among", among("row_key"))
+    bits = key_bits(spans, "row_key")
+    whole = docs.select(columns, F.xxhash64(F.col(id_col), text).alias("row_key"))
     # most documents have no passages and stay out of the join
-    joined = flagged.where("among").join(spans, "row_key", "left")
+    own_text = text_of(F.col("document").getField(text_col)).alias("text")
+    joined = rows_among(whole, bits, "row_key").join(spans, "row_key", "left").select("document", own_text, "spans")
+    apart = rows_among(whole, bits, "row_key", among=False).select("document", own_text)
     passage = "struct<start:int,end:int,n_words:int,later:boolean>"
     nothing = F.lit(None).cast(f"array<{passage}>").alias("passages")
-    plain = flagged.where("NOT among").select("document", "text", nothing).unionByName(joined.where("spans IS NULL").select("document", "text", nothing))
+    plain = apart.select("document", "text", nothing).unionByName(joined.where("spans IS NULL").select("document", "text", nothing))
     cut = joined.where("spans IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
