@@ -13,7 +13,8 @@ from .common import staged
 
 
 def neighbours_in_order(df: DataFrame, keys: list[str], back: int, label: str) -> DataFrame:
-    """Pairs of rows (structs one, other) that agree in ``keys[0]`` (long) and stand up to ``back`` rows apart in the order of ``keys``.
+    """Pairs of rows (structs one, other) that agree in ``keys[0]`` (long) and stand up to ``back`` rows apart in the order of ``keys``;
+    ``one`` comes first.
 
     ``df`` is read twice (for the ranges and for the rows), so it should be stored. Equal keys may be split over partitions: no task gets
     all rows of a frequent key.
@@ -32,8 +33,8 @@ def neighbours_in_order(df: DataFrame, keys: list[str], back: int, label: str) -
             first = rows.column(names.index(keys[0])).to_numpy()
             here, there = [], []
             for k in range(1, back + 1):
-                at = np.flatnonzero(first[k:] == first[:-k]) + k if len(first) > k else np.zeros(0, np.int64)
-                at = at[at >= old]
+                at = np.arange(max(k, old), len(first))
+                at = at[first[at] == first[at - k]]
                 here.append(at)
                 there.append(at - k)
             here, there = pa.array(np.concatenate(here)), pa.array(np.concatenate(there))

@@ -1,8 +1,9 @@
 """Repeated passages by a sparse suffix array.
 
 Only suffixes that start at a minimiser are kept: the word position whose following block of words has the smallest hash in a window. Two
-equal passages choose the same positions, wherever they stand. Suffixes are sorted by the hashes of their next two blocks (and once more
-by the block before them); neighbours that share the first block are matched, and every match is extended word by word to both sides.
+equal passages choose the same positions, wherever they stand. Suffixes are sorted by the hashes of their next three blocks (and once
+more by the first and the two before it); neighbours that share the first block are matched, and every match is extended word by word to
+both sides.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_bits, prepare, rows_among, staged, text_of
+from .common import key_bits, key_filter, prepare, rows_among, staged, text_of
 from .hashing import chunks, shingles, words
 from .order import neighbours_in_order
 
@@ -28,18 +29,21 @@ def minimisers(blocks: np.ndarray, window: int) -> np.ndarray:
     return np.unique(least + np.arange(len(least)))
 
 
+CONTEXT = ["following", "further", "before", "farther"]
+
+
 def suffixes_of(text_words: np.ndarray, block: int, window: int) -> tuple[np.ndarray, ...]:
-    """Per kept suffix: position, hash of its first block, of the next block, and of the block before it (0 where there is none)."""
+    """Per kept suffix: position, hash of its first block, of the two blocks after it and of the two before it, nearest first (0 for none)."""
     if len(text_words) < block:
-        return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 3
+        return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 5
     blocks = shingles(text_words, block)
     at = minimisers(blocks, window)
-    following, before = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    ahead = at + block < len(blocks)
-    following[ahead] = blocks[at[ahead] + block]
-    back = at >= block
-    before[back] = blocks[at[back] - block]
-    return at, blocks[at], following, before
+    around = []
+    for away in (block, 2 * block, -block, -2 * block):
+        there = at + away
+        inside = (there >= 0) & (there < len(blocks))
+        around.append(np.where(inside, blocks[np.where(inside, there, 0)], np.uint64(0)))
+    return at, blocks[at], *around
 
 
 def extended(one: np.ndarray, other: np.ndarray, starts: list[tuple[int, int]], block: int, least: int, same: bool) -> list[tuple[int, int, int]]:
@@ -84,12 +88,33 @@ def _kept_suffixes(body: DataFrame, id_kind: str, block: int, window: int) -> Da
                 hashes, _, _, bounds = words(part)
                 found = [suffixes_of(hashes[a:b], block, window) for a, b in zip(bounds[:-1], bounds[1:])]
                 source = pa.array(np.repeat(np.arange(first, first + len(part)), [len(x[0]) for x in found]))
-                at, own, following, before = (np.concatenate(x) for x in zip(*found))
+                at, *hashed = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(source), batch.column(1).take(source), pa.array(at.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (own, following, before))],
-                    names=["doc_id", "row_key", "pos", "own", "following", "before"])
+                    [batch.column(0).take(source), batch.column(1).take(source), pa.array(at.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in hashed)],
+                    names=["doc_id", "row_key", "pos", "own", *CONTEXT])
+
+    return body.mapInArrow(run, f"doc_id {id_kind}, row_key bigint, pos int, own bigint, " + ", ".join(f"{c} bigint" for c in CONTEXT))
 
-    return body.mapInArrow(run, f"doc_id {id_kind}, row_key bigint, pos int, own bigint, following bigint, before bigint")
+
+def sorted_neighbours(kept: DataFrame, context: list[str], label: str) -> DataFrame:
+    """Places (a, p) and (b, q), the first one earlier, of suffixes next to each other in the array.
+
+    Suffixes that agree in all blocks of the ``context`` are ordered by place and matched with the one before. The first of each such run
+    stands for it among the runs that agree in one block less, and so on: every suffix meets an earlier one of the longest context that
+    has one. Runs are range-partitioned; a passage that a third of all documents hold is dealt over many tasks.
+    """
+    place = ["no_id", "doc_id", "row_key", "pos"]
+    rows, out = kept.select(*context, *place), None
+    for n in range(len(context), 0, -1):
+        own = context[:n]
+        keyed = staged(rows.select(F.xxhash64(*own).alias("key"), *place), f"{label}-{n}")
+        pairs = neighbours_in_order(keyed, ["key", *place], 1 if n == len(context) else 2, f"{label}-neighbours-{n}").select(
+            F.col("one.row_key").alias("a"), F.col("one.pos").alias("p"), F.col("other.row_key").alias("b"), F.col("other.pos").alias("q"))
+        out = pairs if out is None else out.union(pairs)
+        if n > 1:
+            rows = rows.groupBy(*own).agg(F.min(F.struct(*place)).alias("first")).select(*context[: n - 1], "first.*")
+    # equal rows are one document
+    return out.where("NOT (a = b AND p = q)")
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,17 +133,11 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
     kind = docs.schema[id_col].dataType.simpleString()
     body = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
     kept = staged(_kept_suffixes(body, kind, block, window), "suffixes")
-    order = ["doc_id", "row_key", "pos"]
-    right = neighbours_in_order(kept.select("own", "following", *order), ["own", "following", *order], 2, "right-neighbours")
-    left = neighbours_in_order(kept.select("own", "before", *order), ["own", "before", *order], 2, "left-neighbours")
-    place = lambda x: F.struct(*[F.col(f"{x}.{c}").alias(c) for c in order]).alias(x)
-    pairs = right.select(place("one"), place("other")).union(left.select(place("one"), place("other")))
-    # the earlier place first
-    early = lambda x: F.struct(F.col(f"{x}.doc_id").isNull().alias("no_id"), F.col(x).alias("place"))
-    low, high = F.least(early("one"), early("other")), F.greatest(early("one"), early("other"))
-    pairs = pairs.where("NOT (one <=> other)").select(low["place"].alias("one"), high["place"].alias("other"))
-    pairs = staged(pairs.groupBy(F.col("one.row_key").alias("a"), F.col("other.row_key").alias("b")).agg(
-        F.collect_set(F.struct(F.col("one.pos").alias("p"), F.col("other.pos").alias("q"))).alias("starts")), "suffix-pairs")
+    # blocks that stand once go no further
+    repeated = key_filter(kept.groupBy("own").agg(F.count("*").alias("n")).where("n > 1"), "own")
+    kept = staged(kept.where(repeated("own")).withColumn("no_id", F.col("doc_id").isNull()), "repeated-suffixes")
+    pairs = sorted_neighbours(kept, ["own", *CONTEXT[:2]], "right").union(sorted_neighbours(kept, ["own", *CONTEXT[2:]], "left"))
+    pairs = staged(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("starts")), "suffix-pairs")
 
     # word hashes of the documents that are in a pair, once per document
     nodes = staged(pairs.select(F.col("a").alias("row_key")).union(pairs.select(F.col("b").alias("row_key"))).distinct(), "suffix-documents")
