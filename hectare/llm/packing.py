@@ -211,7 +211,8 @@ def assign_sequences(pieces: DataFrame, limit: int = 1024, region_pieces: int =
                     blobs.append(zlib.compress(pickle.dumps(bred(have, guests, hash((seed, row.region, row.island, epoch)), limit, size, generations)), 1))
                 yield pdf[["region", "island", "counts"]].assign(people=blobs)
 
-        lands = people.select("region", "island", "counts", "guests").repartition(F.col("region"), F.col("island"))
+        # a fixed number of islands per task: their rows are small, the work on them is not
+        lands = people.select("region", "island", "counts", "guests").repartition(parts_for(regions * islands, 8), F.col("region"), F.col("island"))
         grown = staged(lands.mapInPandas(epoch_of, bred_schema), "bred")
         if epoch + 1 < epochs:
             # the best packing of each island goes to the next one; its own people stay
