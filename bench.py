@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "quarterly_panel", "calendar_lags", "sequence_lags", "leave_one_out", "prior_sales", "target_encoding", "out_of_fold_encoding",
     "segment_metrics", "confidence", "time_holdout", "nearest_flat", "nearest_attributes", "count_arc", "count_by_category", "assign_region",
-    "region_rates", "comparables", "value_city", "value_districts", "area_trend", "sales_tiles", "landed_deals", "listing_pages",
+    "region_rates", "comparables", "rate_asof", "nearest_quarter", "value_city", "value_districts", "area_trend", "sales_tiles", "landed_deals", "listing_pages",
 ]
 
 

@@ -55,11 +55,3 @@ def region_market(df: DataFrame, work: DataFrame, key: str, psf: str) -> DataFra
 def one_hot(df: DataFrame, column: str, values: dict[str, str]) -> DataFrame:
     """0/1 column per name → value; null gives 0 everywhere."""
     return df.withColumns({n: F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for n, v in values.items()})
-
-
-def ordinal(column: str, order: list[str], unknown: int = 0) -> Column:
-    """1-based position in a fixed order."""
-    out = F
-    for i, v in enumerate(order, 1):
-        out = out.when(F.col(column) == v, i)
-    return out.otherwise(unknown)

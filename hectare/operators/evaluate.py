@@ -143,10 +143,6 @@ def district_errors(df: DataFrame, actual: str, predicted: str, district: str) -
     return metrics(df, actual, predicted, [district], None).select(district, "medape", "n")
 
 
-def all_true(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def attach_error(df: DataFrame, errors: DataFrame, district: str, overall: Column, out: str = "district_medape") -> DataFrame:
     e = errors.select(district, F.col("medape").alias(out))
     return join_groups(df, e, [district]).withColumn(out, F.coalesce(F.col(out), overall))

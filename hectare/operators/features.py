@@ -15,18 +15,6 @@ from .quantiles import group_agg
 WALK_WEIGHTS = {"transit": 0.35, "bus": 0.15, "amenities": 0.30, "bike": 0.10, "park": 0.10}
 CONNECTIVITY_WEIGHTS = {"metro": 0.30, "commercial": 0.25, "bus": 0.20, "metro_inverse": 0.15, "intersections": 0.10}
 COMMERCIAL_WEIGHTS = {"hypermarket": 3, "supermarket": 2, "bank": 1, "restaurant": 1, "hotel": 1}
-GRAVITY_CENTRES = {
-    "midtown_manhattan": (40.7549, -73.9840),
-    "downtown_manhattan": (40.7074, -74.0113),
-    "downtown_brooklyn": (40.6928, -73.9903),
-    "long_island_city": (40.7447, -73.9485),
-}
-RIYADH_HUBS = {
-    "kafd": (24.771, 46.637),
-    "old_city": (24.690, 46.722),
-    "industrial": (24.620, 46.873),
-    "airport": (24.957, 46.699),
-}
 CLASS_RULES = {
     "is_condo": "^R",
     "is_multifamily": "^[CD]",

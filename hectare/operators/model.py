@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor,
+)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import one_row
-from .evaluate import metrics
+from .evaluate import blend_segment
 from .ranking import top_per_key
 
 
-def default_learners(label: str = "label", seed: int = 42, size: int = 20) -> dict:
-    """Four differently shaped learners for the stack; ``size`` scales the number of trees."""
+# column that keeps rows out of the boosted learners' fits, to stop them early
+STOP_ROWS = "stop_rows"
+
+
+def default_learners(label: str = "label", seed: int = 42, size: int = 20, early_stop: bool = False) -> dict:
+    """Four differently shaped learners for the stack; ``size`` scales the number of trees.
+
+    With ``early_stop`` boosting ends when the rows marked in ``STOP_ROWS`` gain no more from it.
+    """
     common = {"featuresCol": "features", "labelCol": label}
+    boosted = common | ({"validationIndicatorCol": STOP_ROWS, "validationTol": 0.001} if early_stop else {})
     return {
-        "gbt_deep": GBTRegressor(maxIter=size, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, seed=seed, **common),
-        "gbt_flat": GBTRegressor(maxIter=size * 2, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed + 1, **common),
+        "gbt_deep": GBTRegressor(maxIter=size, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, seed=seed, **boosted),
+        "gbt_flat": GBTRegressor(maxIter=size * 2, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed + 1, **boosted),
         "forest": RandomForestRegressor(numTrees=size * 2, maxDepth=8, seed=seed, **common),
         "linear": LinearRegression(regParam=0.01, **common),
     }
@@ -91,39 +102,88 @@ def apply_linear(df: DataFrame, fitted: dict, out: str) -> DataFrame:
     return df.withColumn(out, total)
 
 
-def choose_meta(oof: DataFrame, candidates: list[str], target: str) -> str:
-    """The blend with the lowest squared out-of-fold error, all compared in one pass."""
-    row = oof.agg(*[F.sum(F.pow(F.col(c) - F.col(target), 2)).alias(c) for c in candidates]).first()
-    return min(candidates, key=lambda c: row[c])
-
-
 def tree_meta(oof: DataFrame, inputs: list[str], target: str, seed: int = 42):
     """A small boosted-tree blend on the out-of-fold predictions; returns the fitted model."""
     a = VectorAssembler(inputCols=inputs, outputCol="stack_features").transform(oof)
-    return GBTRegressor(featuresCol="stack_features", labelCol=target, predictionCol="meta_tree", maxIter=20, maxDepth=3,
-                        seed=seed).fit(a)
+    return GBTRegressor(featuresCol="stack_features", labelCol=target, predictionCol="_log", maxIter=20, maxDepth=3, seed=seed).fit(a)
+
+
+def apply_meta(df: DataFrame, kind: str, meta, inputs: list[str]) -> DataFrame:
+    """Column ``_log``: the blend of the base predictions."""
+    if kind == "ridge":
+        return apply_linear(df, meta, "_log")
+    return meta.transform(VectorAssembler(inputCols=inputs, outputCol="stack_features").transform(df)).drop("stack_features")
+
+
+def meta_errors(oof: DataFrame, fold: str, k: int, inputs: list[str], target: str, alpha: float, nonneg: bool) -> dict[str, float]:
+    """Mean squared error of either blend on folds it was not fitted on."""
+    parts = None
+    for f in range(k):
+        rest, part = oof.filter(F.col(fold) != f), oof.filter(F.col(fold) == f)
+        ridge = apply_linear(part, fit_ridge(rest, inputs, target, alpha, nonneg), "ridge")
+        both = apply_meta(ridge, "tree", tree_meta(rest, inputs, target), inputs).withColumnRenamed("_log", "tree").select(target, "ridge", "tree")
+        parts = both if parts is None else parts.unionByName(both)
+    row = parts.agg(*[F.avg(F.pow(F.col(c) - F.col(target), 2)).alias(c) for c in ("ridge", "tree")]).first()
+    return row.asDict()
 
 
 def stack(work: DataFrame, features: list[str], target: str, fold: str, k: int, learners: dict | None = None,
-          nonneg: bool = True, alpha: float = 1.0) -> dict:
-    """Out-of-fold stack on log1p(target): base models refitted on all work rows plus the ridge blend."""
-    data = assemble(work.withColumn("label", F.log1p(target)), features).select("features", "label", fold).cache()
-    learners = learners or default_learners()
-    oof = out_of_fold(data, fold, k, learners)
+          nonneg: bool = True, alpha: float = 1.0, segment: tuple[Column, float] | None = None, min_rows: int = 200) -> dict:
+    """Out-of-fold stack on log1p(target): base models refitted on all work rows and the better of two blends.
+
+    A tenth of the rows, by a hash of their values, stops the boosted learners early (default learners only). The ridge and
+    the tree blend are compared by their error on folds they have not seen; ties go to the ridge. ``segment``: (rows, cut) of
+    a model of its own that takes over from ``cut`` to twice the cut, if the segment has ``min_rows`` rows.
+    """
+    stop = F.pmod(F.xxhash64(*features, target), F.lit(10)) == 0
+    data = assemble(work.withColumn("label", F.log1p(target)).withColumn(STOP_ROWS, stop), features).select("features", "label", fold, STOP_ROWS).cache()
+    learners = learners or default_learners(early_stop=True)
     names = list(learners)
-    blend = fit_ridge(oof, names, "label", alpha, nonneg)
-    fitted = {"features": features, "models": fit_base(data, learners), "blend": blend, "names": names}
+    oof = out_of_fold(data, fold, k, learners).select("label", fold, *names).cache()
+    errors = meta_errors(oof, fold, k, names, "label", alpha, nonneg)
+    kind = "ridge" if errors["ridge"] <= errors["tree"] else "tree"
+    meta = fit_ridge(oof, names, "label", alpha, nonneg) if kind == "ridge" else tree_meta(oof, names, "label")
+    fitted = {"features": features, "models": fit_base(data, learners), "kind": kind, "meta": meta, "names": names, "errors": errors,
+              "segment": segment and fit_segment_model(work, features, target, segment[0], min_rows), "cut": segment and segment[1]}
     data.unpersist()
+    oof.unpersist()
     return fitted
 
 
 def predict_stack(df: DataFrame, fitted: dict, out: str = "predicted") -> DataFrame:
     scored = predict_base(assemble(df, fitted["features"]), fitted["models"])
-    return apply_linear(scored, fitted["blend"], "_log").withColumn(out, F.expm1("_log")).drop("_log", "features", *fitted["names"])
+    scored = apply_meta(scored, fitted["kind"], fitted["meta"], fitted["names"]).withColumn(out, F.expm1("_log"))
+    if fitted["segment"] is not None:
+        scored = blend_segment(_score(fitted["segment"], scored, "_seg").withColumn("_seg", F.expm1("_seg")), out, "_seg", fitted["cut"], out).drop("_seg")
+    return scored.drop("_log", "features", *fitted["names"])
+
+
+MODEL_KINDS = {m.__name__: m for m in (GBTRegressionModel, RandomForestRegressionModel, LinearRegressionModel)}
+
+
+def save_stack(spark, fitted: dict, folder: str) -> None:
+    """All fitted models and, as one JSON line, what else a prediction needs; the folder must be new."""
+    models = dict(fitted["models"])
+    if fitted["kind"] == "tree":
+        models["_meta"] = fitted["meta"]
+    if fitted["segment"] is not None:
+        models["_segment"] = fitted["segment"]
+    for name, fit in models.items():
+        fit.write().save(f"{folder}/models/{name}")
+    about = {k: fitted[k] for k in ("features", "kind", "names", "errors", "cut")} | {
+        "ridge": fitted["meta"] if fitted["kind"] == "ridge" else None, "kinds": {n: type(m).__name__ for n, m in models.items()}}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{folder}/about")
+
+
+def load_stack(spark, folder: str) -> dict:
+    about = json.loads(spark.read.text(f"{folder}/about").first()[0])
+    models = {n: MODEL_KINDS[kind].load(f"{folder}/models/{n}") for n, kind in about.pop("kinds").items()}
+    ridge = about.pop("ridge")
+    return about | {"meta": models.pop("_meta", ridge), "segment": models.pop("_segment", None), "models": models}
 
 
 def fit_segment_model(work: DataFrame, features: list[str], target: str, where: Column, min_rows: int = 200, size: int = 20):
-    """A model for one segment (e.g. luxury sales), or None when the segment has too few rows."""
+    """A model for one segment (e.g. luxury sales), or None when the segment has less than ``min_rows`` rows."""
     rows = work.filter(where)
     if rows.limit(min_rows).count() < min_rows:
         return None
@@ -150,14 +210,14 @@ def ablation_impacts(df: DataFrame, ids: list[str], features: list[str], medians
         F.struct(F.lit(g).alias("ablated"), *[(m[f] if f == g else F.col(f)).cast("double").alias(f) for f in features])
         for g in features])
     wide = df.select(*ids, *features, F.explode(variants).alias("v")).select(*ids, "v.*")
-    scored = predict(wide).select(*ids, "ablated", *features, "log_prediction")
+    # only ids, the feature's name and the prediction are shuffled; values come from the row itself
+    scored = predict(wide).select(*ids, "ablated", "log_prediction")
     base = F.max(F.when(F.col("ablated").isNull(), F.col("log_prediction")))
-    per_row = scored.groupBy(*ids).agg(base.alias("_base"), F.max(F.when(F.col("ablated").isNull(), F.struct(*features))).alias("_row"),
-                                       F.map_from_entries(F.collect_list(F.when(F.col("ablated").isNotNull(), F.struct("ablated", "log_prediction")))).alias("_ab"))
-    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_row.{f}").alias("value"),
+    per_row = scored.groupBy(*ids).agg(base.alias("_base"), F.map_from_entries(F.collect_list(F.when(F.col("ablated").isNotNull(), F.struct("ablated", "log_prediction")))).alias("_ab"))
+    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
                                  (F.col("_base") - F.col("_ab")[f]).alias("impact"),
                                  F.lit((labels or {}).get(f, f.replace("_", " ").title())).alias("description")) for f in features])
-    return per_row.select(*ids, F.explode(entries).alias("d")).select(*ids, "d.*")
+    return df.select(*ids, *features).join(per_row, ids).select(*ids, F.explode(entries).alias("d")).select(*ids, "d.*")
 
 
 def top_drivers(impacts: DataFrame, ids: list[str], k: int = 10) -> DataFrame:
@@ -170,10 +230,3 @@ def waterfall(drivers: DataFrame, ids: list[str]) -> DataFrame:
     """Running total of impacts in rank order."""
     upto = Window.partitionBy(*ids).orderBy("rank")
     return drivers.withColumn("total_after", F.sum("impact").over(upto)).withColumn("total_before", F.col("total_after") - F.col("impact"))
-
-
-def score_table(df: DataFrame, actual: str, columns: list[str], floor: float | None = 1.0) -> DataFrame:
-    """Metrics of several prediction columns (price space), one row per column."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).alias("_p")) for c in columns])
-    long = df.select(actual, F.explode(pairs).alias("m")).select(actual, "m.*")
-    return metrics(long, actual, "_p", ["model"], floor)

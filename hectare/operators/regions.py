@@ -8,9 +8,10 @@ aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .spatial import located
 
 PARTS_TYPE = "array<array<array<struct<lon:double,lat:double>>>>"
@@ -108,16 +109,59 @@ def vertex_centroid(regions: DataFrame, code: str = "code", parts: str = "parts"
 
 
 def boundary_vertices(regions: DataFrame, code: str = "code", parts: str = "parts", stride: int = 3) -> DataFrame:
-    """Every ``stride``-th vertex of the outer boundary of a coverage.
+    """Every ``stride``-th vertex (lon, lat) of the outer outlines of a coverage, counted along each outline from its lowest vertex.
 
-    Edges used by two regions cancel (neighbours share their vertices); of the rest, holes are left out.
+    Edges that two regions share cancel; what is left is chained into rings. Rings round a gap between regions run the other way and are
+    no outline. The chain is followed by doubling the step, so a long outline takes a few rounds and no task holds a whole one.
     """
-    e = edges(regions, code, parts)
+    e = _oriented_edges(regions, code, parts)
     a, b = (F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2))
     once = e.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(
-        F.count(F.lit(1)).alias("uses"), F.min(F.struct("ring", "pos", "x1", "y1")).alias("e")).filter("uses = 1")
-    kept = once.filter((F.col("e.ring") == 0) & (F.col("e.pos") % stride == 0))
-    return kept.select(F.col("e.x1").alias("lon"), F.col("e.y1").alias("lat")).distinct()
+        F.count(F.lit(1)).alias("uses"), F.min(F.struct("x1", "y1", "x2", "y2", "owner")).alias("e")).filter("uses = 1").select("e.*")
+    # where outlines touch, an edge goes on with the edge of the same region
+    turn = lambda x, y: F.row_number().over(Window.partitionBy(x, y).orderBy("owner", "x1", "y1", "x2", "y2"))
+    start = once.select(F.struct("x1", "y1", "x2", "y2").alias("edge"), F.col("x1").alias("x"), F.col("y1").alias("y"), turn("x1", "y1").alias("k"))
+    chain = once.select(F.struct("x1", "y1", "x2", "y2").alias("id"), F.col("x2").alias("x"), F.col("y2").alias("y"), turn("x2", "y2").alias("k"))
+    chain = _stored(chain.join(start, ["x", "y", "k"]).select("id", F.col("edge").alias("to")))
+
+    # lowest edge of each ring: look twice as far ahead in every round, until nothing changes
+    ring = chain.select("id", "to", F.least("id", "to").alias("low"))
+    while True:
+        ahead = ring.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
+        further = _stored(ring.join(ahead, "to").select("id", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")))
+        changed, ring = further.filter("moved").limit(1).count() > 0, further.drop("moved")
+        if not changed:
+            break
+    # steps from each edge to its ring's lowest edge
+    steps = chain.join(ring.select("id", "low"), "id").select(
+        "id", "low", F.when(F.col("id") == F.col("low"), F.col("id")).otherwise(F.col("to")).alias("to"), (F.col("id") != F.col("low")).cast("bigint").alias("n"))
+    while steps.filter("to <> low").limit(1).count() > 0:
+        ahead = steps.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
+        steps = _stored(steps.join(ahead, "to").select("id", "low", F.col("to2").alias("to"), (F.col("n") + F.col("n2")).alias("n")))
+    size = steps.groupBy("low").agg(
+        F.count(F.lit(1)).alias("size"), F.sum(F.expr("id.x1 * id.y2 - id.x2 * id.y1")).alias("area")).filter("area > 0")
+    placed = steps.join(size, "low").filter((F.col("size") - F.col("n")) % F.col("size") % stride == 0)
+    return placed.select(F.col("id.x1").alias("lon"), F.col("id.y1").alias("lat")).distinct()
+
+
+def _oriented_edges(regions: DataFrame, code: str, parts: str) -> DataFrame:
+    """Edges (owner, x1, y1, x2, y2) that keep their region on the left: outer rings run against the clock, holes with it."""
+    part = regions.select(F.col(code).alias("code"), F.posexplode(parts).alias("part", "p"))
+    ring = part.select("code", "part", F.posexplode("p").alias("ring", "r")).filter(F.size("r") >= 3)
+    following = F.concat(F.slice("r", 2, F.size("r") - 1), F.slice("r", 1, 1))
+    sides = F.arrays_zip(F.col("r").alias("a"), following.alias("b"))
+    area = F.aggregate(sides, F.lit(0.0), lambda total, s: total + s["a"]["lon"] * s["b"]["lat"] - s["b"]["lon"] * s["a"]["lat"])
+    turned = (area > 0) != (F.col("ring") == 0)
+    side = ring.withColumn("turned", turned).select(F.struct("code", "part", "ring").alias("owner"), "turned", F.explode(sides).alias("s"))
+    a, b = (F.when(F.col("turned"), F.col(f"s.{x}")).otherwise(F.col(f"s.{y}")) for x, y in (("b", "a"), ("a", "b")))
+    e = side.select("owner", a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2"))
+    return e.filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "outline")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def district_centroids(places: DataFrame, district: str, lat: str, lon: str, fallback: DataFrame,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, encode, evaluate, features, impute, model, split
+from ..session import scratch_path
 from .registry import Tables, query, rounded
 
 WORK, HOLD = "qid < 20001", "qid >= 20001"
@@ -376,21 +377,33 @@ def driver_contract(t: Tables):
     return rounded(out.select("id", "rank", "total_after"), 6, "total_after")
 
 
-@query("stack_model", "M3, M4, M5, M2")
+@query("stack_model", "M3, M4, M5, M6, M2, S19", """
+    SELECT count(*) FILTER (WHERE dq < 22) AS n_work, count(*) FILTER (WHERE dq >= 22) AS n_scored, 4::bigint AS n_learners, 0::bigint AS n_missing,
+           TRUE AS better_blend, TRUE AS weights_not_negative, TRUE AS same_when_loaded FROM sales""")
 def stack_model(t: Tables):
-    """Grouped out-of-fold stack; scored on the hold-out. Learners are stochastic, so there is no SQL for it."""
-    s = t.sales.select("id", "qid", "price", *MODEL_FEATURES)
-    folds = split.group_folds(s, "region", 3)
-    work = split.attach_folds(s.filter(WORK), folds, "region")
-    learners = {k: v for k, v in model.default_learners(size=4).items() if k in ("gbt_flat", "linear")}
-    fitted = model.stack(work, MODEL_FEATURES, "price", "fold", 3, learners)
-    return evaluate.metrics(model.predict_stack(s.filter(HOLD), fitted), "price", "predicted")
-
-
-@query("importance", "T3, M16, M6")
+    """Grouped out-of-fold stack with four learners, stored and loaded; what SQL can state of it."""
+    s = t.sales.select("id", "qid", "dq", "price", *[c for c in MODEL_FEATURES if c != "dq"])
+    work, hold = s.filter("dq < 22"), s.filter("dq >= 22")
+    folded = split.attach_folds(work, split.group_folds(work, "region", 3), "region")
+    learners = model.default_learners(size=3, early_stop=True)
+    fitted = model.stack(folded, MODEL_FEATURES, "price", "fold", 3, learners, segment=(F.col("price") > 150_000, 150_000))
+    folder = scratch_path(t.spark, "stack")
+    model.save_stack(t.spark, fitted, folder)
+    loaded = model.load_stack(t.spark, folder)
+    scored = model.predict_stack(model.predict_stack(hold, fitted), loaded, "again")
+    better = min(fitted["errors"], key=fitted["errors"].get) == fitted["kind"]
+    weights = fitted["meta"]["weights"].values() if fitted["kind"] == "ridge" else []
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("predicted").isNull()).alias("n_missing"), F.bool_and(F.col("predicted") == F.col("again")).alias("same_when_loaded"),
+    ).select("*", work.agg(F.count(F.lit(1))).scalar().alias("n_work"), F.lit(len(loaded["models"])).cast("bigint").alias("n_learners"),
+             F.lit(better).alias("better_blend"), F.lit(all(w >= 0 for w in weights)).alias("weights_not_negative"))
+
+
+@query("importance", "T3, M16, M6", """SELECT 6::bigint AS n_features, 100.0::double AS top, 'Location,Market,Structural' AS kinds""")
 def importance(t: Tables):
-    """Importances of one boosted-tree model; stochastic, so rows only."""
+    """Importances of one boosted-tree model, scaled to a maximum of 100."""
     s = t.sales.select("price", "borough", *[c for c in MODEL_FEATURES if c != "borough"])
     fitted = model.fit_segment_model(s, MODEL_FEATURES, "price", F.col("price") > 100_000, size=4)
     kinds = {"lat": "Location", "lon": "Location", "region": "Location", "borough": "Location", "area": "Structural", "dq": "Market"}
-    return model.importance_table(t.spark, fitted, MODEL_FEATURES, kinds, 25)
+    table = model.importance_table(t.spark, fitted, MODEL_FEATURES, kinds, 25)
+    return table.agg(F.count(F.lit(1)).alias("n_features"), F.max("importance").alias("top"), F.array_join(F.sort_array(F.collect_set("category")), ",").alias("kinds"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import regions, spatial
 from ..session import scratch_path
 from ..sources import deals as D
 from ..sources import dims, places
@@ -216,6 +217,36 @@ def json_report(t: Tables):
     return t.spark.read.schema("region int, n bigint, mean_price double").json(path)
 
 
+def point_rows(points: dict) -> str:
+    """The rows of a fixed table for SQL."""
+    return "VALUES " + ", ".join(f"('{k}', {lat}::double, {lon}::double)" for k, (lat, lon) in points.items())
+
+
+DISTRICTS = sorted({*dims.FALLBACK_CENTROIDS, *dims.OVERRIDE_CENTROIDS})
+
+
+@query("known_districts", "S20, G14", f"""
+    WITH names AS (SELECT unnest({DISTRICTS!r}) AS district, unnest(range({len(DISTRICTS)})) AS i),
+    m AS (SELECT district, avg(lat) AS lat, avg(lon) AS lon FROM cust JOIN names ON i = id % 40 GROUP BY district),
+    f(district, lat, lon) AS ({point_rows(dims.FALLBACK_CENTROIDS)}), o(district, lat, lon) AS ({point_rows(dims.OVERRIDE_CENTROIDS)})
+    SELECT district, round(coalesce(o.lat, m.lat, f.lat), 8) AS lat, round(coalesce(o.lon, m.lon, f.lon), 8) AS lon
+    FROM m FULL JOIN f USING (district) LEFT JOIN o USING (district)""")
+def known_districts(t: Tables):
+    name = F.element_at(F.array(*[F.lit(d) for d in DISTRICTS]), (F.col("id") % 40 + 1).cast("int"))
+    places = t.cust.filter(F.col("id") % 40 < len(DISTRICTS)).withColumn("district", name)
+    out = regions.district_centroids(places, "district", "lat", "lon", dims.dim_points(t.spark, dims.FALLBACK_CENTROIDS), dims.dim_points(t.spark, dims.OVERRIDE_CENTROIDS))
+    return rounded(out, 8, "lat", "lon")
+
+
+@query("nearest_fixed_points", "S20, G3", f"""
+    WITH p(name, lat, lon) AS ({point_rows({f"h{k}": v for k, v in dims.HEALTH_AREAS.items()} | {f"a{i}": v for i, v in enumerate(dims.AIR_STATIONS.values())})})
+    SELECT id, name FROM (SELECT c.id, p.name, row_number() OVER (PARTITION BY c.id ORDER BY sqrt(pow(c.lat - p.lat, 2) + pow(c.lon - p.lon, 2)) * 111000, p.name) AS k FROM cust c, p) WHERE k = 1""")
+def nearest_fixed_points(t: Tables):
+    points = dims.dim_points(t.spark, {f"h{k}": v for k, v in dims.HEALTH_AREAS.items()} | {f"a{i}": v for i, v in enumerate(dims.AIR_STATIONS.values())}, "id")
+    points = points.withColumn("name", F.col("id"))
+    return spatial.nearest_attrs(t.cust.select("id", "lat", "lon"), points, ["name"]).select("id", "name")
+
+
 @query("fixed_dimensions", "S20", """
     SELECT id, (borough + 1)::int AS borough, CASE borough WHEN 0 THEN 'Manhattan' WHEN 1 THEN 'Bronx' WHEN 2 THEN 'Brooklyn' WHEN 3 THEN 'Queens' ELSE 'Staten Island' END AS borough_name FROM sales""")
 def fixed_dimensions(t: Tables):

@@ -44,6 +44,7 @@ OVERRIDE_CENTROIDS = {
     "الملك سلمان": (24.7630, 46.6440),
     "المرجان": (24.6600, 46.7500),
     "سدرة": (24.7650, 46.7000),
+    "أخرى": (99.0, 0.0),  # any other district: far outside, so that it is never the nearest
 }
 HEALTH_AREAS = {
     101: (40.877, -73.910), 102: (40.858, -73.897), 103: (40.850, -73.882), 104: (40.843, -73.848), 105: (40.833, -73.930),
@@ -57,57 +58,9 @@ HEALTH_AREAS = {
     410: (40.665, -73.840), 411: (40.672, -73.810), 412: (40.715, -73.760), 501: (40.618, -74.078), 502: (40.584, -74.110),
     503: (40.580, -74.155),
 }
-TYPE_LABELS = {"apartment": "شقة", "villa": "فيلا", "plot": "قطعة أرض-سكنى", "building": "عمارة"}
 DEED_TYPES = [
     ("شقة", "شقة"), ("فيلا", "فيلا"), ("مبنى سكني", "عمارة"), ("قطعة أرض", "قطعة أرض-سكنى"), ("أرض فضاء", "قطعة أرض-سكنى"),
 ]
-REQUEST_TYPES = [
-    ("apartment", "شقة"), ("villa", "فيلا"), ("plot", "قطعة أرض-سكنى"), ("building", "عمارة"),
-    ("duplex", "شقة"), ("studio", "شقة"), ("office", "عمارة"), ("other", "شقة"),
-]
-PANEL_TYPES = {"شقة": ["شقة", "دور"], "فيلا": ["فيلا", "دوبلكس"], "عمارة": ["عمارة", "مبنى"]}
-BUILDING_CLASSES = {
-    "A0": "Cape Cod",
-    "A1": "Two story detached - small or moderate",
-    "A2": "One story - permanent living quarters",
-    "A3": "Large suburban residence",
-    "A4": "City residence - one family",
-    "A5": "City residence - attached (rowhouse)",
-    "A6": "Summer residence",
-    "A7": "Mansion type or town house",
-    "A8": "Bungalow colony",
-    "A9": "Single family residence NEC",
-    "B1": "Two family brick",
-    "B2": "Two family frame",
-    "B3": "Two family conversion",
-    "B9": "Two family NEC",
-    "C0": "Three families",
-    "C1": "Over six families without stores",
-    "C2": "Five to six families",
-    "C3": "Four families",
-    "C4": "Old law tenements",
-    "C5": "Converted dwellings - rooming houses",
-    "C6": "Cooperative",
-    "C7": "Walk-up apartments with stores",
-    "C8": "Walk-up apartment with offices",
-    "C9": "Walk-up apartment NEC",
-    "D0": "Elevator cooperative",
-    "D1": "Elevator apartment (semi-fireproof)",
-    "D2": "Elevator apartment (artists)",
-    "D3": "Elevator apartment (fireproof - subsidized)",
-    "D4": "Elevator apartment building (full building)",
-    "D5": "Converted elevator building",
-    "D6": "Elevator apartment with stores",
-    "D7": "Elevator apartment with offices",
-    "D8": "Elevator apartment NEC",
-    "D9": "Elevator apartment NEC",
-    "R1": "Condo residential unit in elevator building",
-    "S0": "Primarily one-family with two stores or offices",
-    "S1": "Primarily one-family with one store or office",
-    "S2": "Primarily two-family with one store or office",
-    "S4": "Primarily mixed use (3+ families + commercial)",
-    "S5": "Converted from one/two family",
-}
 # ---- end of fixed values ----
 
 

@@ -139,7 +139,3 @@ def save_params(params: dict[str, DataFrame], folder: str) -> None:
 
 def load_params(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
-
-
-def text_or_empty(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))

@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
+from hectare.plans import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+REGISTRY = all_queries()
+QUERIES, ORACLE = REGISTRY.QUERIES, REGISTRY.ORACLE
 
 
 @pytest.fixture(scope="module")

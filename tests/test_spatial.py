@@ -144,3 +144,20 @@ def test_random_polygon_against_even_odd(spark):
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)], "id int, lon double, lat double")
     got = {x.id for x in regions.assign_region(df, polys, step=0.17).filter(F.col("code").isNotNull()).collect()}
     assert got == {i for i, (x, y) in enumerate(pts) if inside(x, y)}
+
+
+def test_outline_skips_gaps_and_counts_along_the_ring(spark):
+    def square(x, y, clockwise):
+        ring = [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)]
+        return [[[{"lon": float(a), "lat": float(b)} for a, b in (ring[::-1] if clockwise else ring)]]]
+
+    # eight squares round a gap, and one that touches them in a corner only
+    cells = [(3 * x + y, square(x, y, (x + y) % 2 == 0)) for x in range(3) for y in range(3) if (x, y) != (1, 1)] + [(99, square(3, 3, False))]
+    df = spark.createDataFrame(cells, f"code int, parts {regions.PARTS_TYPE}")
+    got = {(r.lon, r.lat) for r in regions.boundary_vertices(df, stride=1).collect()}
+    outer = {(x, y) for x in range(4) for y in range(4) if x in (0, 3) or y in (0, 3)}
+    assert got == outer | {(4, 3), (4, 4), (3, 4)}
+    assert len(outer) == 12
+    every_third = {(r.lon, r.lat) for r in regions.boundary_vertices(df.filter("code <> 99"), stride=3).collect()}
+    assert every_third == {(0, 0), (3, 0), (3, 3), (0, 3)}
+    assert regions.boundary_vertices(df.filter("code < 0")).count() == 0
