@@ -58,8 +58,8 @@ def best_segments(df: DataFrame, metric: str, n: int, tie: list[str]) -> DataFra
 
 
 def stable_hash(id_cols: list[str], seed: int) -> Column:
-    """Repeatable pseudo-random order of rows that does not depend on partitioning."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])
+    """Repeatable pseudo-random order of rows that does not depend on partitioning: 60 bits of a digest other engines know too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def stratified_sample(df: DataFrame, stratum: list[str], ids: list[str], n: int, order: Column | None = None,

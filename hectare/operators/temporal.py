@@ -39,14 +39,19 @@ def sequence_numbers(df: DataFrame, period: str) -> DataFrame:
         "seq", F.row_number().over(Window.orderBy(period)))
 
 
-def lag_by_sequence(df: DataFrame, keys: list[str], period: str, value: str, ks: list[int], stat: str = "median") -> DataFrame:
-    """Attach a statistic of the k-th previous period of the whole table's period list; null where the key had none."""
-    seq = sequence_numbers(df, period)
+def lag_by_sequence(df: DataFrame, keys: list[str], period: str, value: str, ks: list[int], stat: str = "median",
+                    work: DataFrame | None = None) -> DataFrame:
+    """Attach a statistic of the k-th previous period of the period list; null where the key had none.
+
+    Periods and statistics come from ``work`` (all rows, if it is not given); rows of other periods get nulls.
+    """
+    fit = df if work is None else work
+    seq = sequence_numbers(fit, period)
     if stat == "median":
-        stats = group_agg(df.select(*keys, period, value), [*keys, period], [], {"_s": (value, 0.5)})
+        stats = group_agg(fit.select(*keys, period, value), [*keys, period], [], {"_s": (value, 0.5)})
     else:
         fn = {"std": F.stddev_samp, "mean": F.avg, "count": F.count}[stat]
-        stats = df.groupBy(*keys, period).agg(fn(value).alias("_s"))
+        stats = fit.groupBy(*keys, period).agg(fn(value).alias("_s"))
     numbered = stats.join(seq, period).select(*keys, "seq", "_s")
     out = df.join(seq, period, "left")
     for k in ks:

@@ -15,7 +15,6 @@ from .registry import Tables, query, rounded
 def parcel_attributes(t: Tables):
     sales = t.sales.select("id", F.col("parcel").alias("key"), F.when(F.col("id") % 3 != 0, F.col("kind")).alias("kind"))
     dim = t.cust.filter("id % 4 <> 0").select(F.col("id").alias("key"), "kind", F.when(F.col("id") % 10 != 0, F.col("bal")).alias("bal"))
-    sales = sales.withColumn("kind", F.col("kind"))
     out = joins.attach_attributes(sales, dim, "key", coalesce_cols=["kind"], flags={"has_parcel": "bal"}, zero=["bal"])
     return out.drop("key")
 
@@ -151,9 +150,9 @@ def deed_history(t: Tables):
 
 @query("key_sets", "U3", """
     SELECT coalesce(a, b) AS qid, (a IS NOT NULL)::int AS in_first, (b IS NOT NULL)::int AS in_second
-    FROM (SELECT DISTINCT qid AS a FROM sales) x FULL JOIN (SELECT DISTINCT qid AS b FROM deals WHERE kind = 'R') y ON a = b""")
+    FROM (SELECT DISTINCT qid AS a FROM sales) x FULL JOIN (SELECT DISTINCT qid AS b FROM deals) y ON a = b""")
 def key_sets(t: Tables):
-    return joins.key_sets(t.sales.select("qid"), t.deals.filter("kind = 'R'").select("qid"), "qid")
+    return joins.key_sets(t.sales.select("qid"), t.deals.select("qid"), "qid")
 
 
 @query("union_sources", "U1", """

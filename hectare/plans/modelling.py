@@ -218,17 +218,17 @@ def group_folds(t: Tables):
 
 
 @query("hash_split", "M2b", """
-    SELECT id, (id * 7919 % 10000 < 1200)::int AS picked FROM sales""")
+    SELECT id, (('0x' || substr(md5('42:' || id), 1, 15))::bigint % 10000 < 1200)::int AS picked FROM sales""")
 def hash_split(t: Tables):
-    return split.hash_split(t.sales.select("id"), ["id"], 0.12, bucket=F.col("id") * 7919 % 10000)
+    return split.hash_split(t.sales.select("id"), ["id"], 0.12)
 
 
 @query("stratified_split", "M2b", """
-    WITH n AS (SELECT borough, id * 7919 % 1000 AS b, count(*) AS c FROM sales GROUP BY ALL),
+    WITH h AS (SELECT borough, ('0x' || substr(md5('42:' || id), 1, 15))::bigint % 10000 AS b FROM sales), n AS (SELECT borough, b, count(*) AS c FROM h GROUP BY ALL),
     u AS (SELECT borough, b, (sum(c) OVER (PARTITION BY borough ORDER BY b) <= sum(c) OVER (PARTITION BY borough) * 0.2)::int AS picked FROM n)
-    SELECT s.borough, count(*) AS n_rows, sum(picked)::bigint AS n_picked FROM sales s JOIN u ON s.borough = u.borough AND s.id * 7919 % 1000 = u.b GROUP BY s.borough""")
+    SELECT s.borough, count(*) AS n_rows, sum(picked)::bigint AS n_picked FROM h s JOIN u ON s.borough = u.borough AND s.b = u.b GROUP BY s.borough""")
 def stratified_split(t: Tables):
-    out = split.stratified_split(t.sales.select("borough", "id"), ["borough"], ["id"], 0.2, bucket=F.col("id") * 7919 % 1000)
+    out = split.stratified_split(t.sales.select("borough", "id"), ["borough"], ["id"], 0.2)
     return out.groupBy("borough").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("picked").alias("n_picked"))
 
 

@@ -116,9 +116,9 @@ def stats_by_year(t: Tables):
 
 
 @query("stats_by_type", "A13, V9", """
-    SELECT kind, count(*) AS n_rows, round(median(price), 4) AS median_price FROM sales WHERE borough = 3 GROUP BY kind HAVING count(*) > 5""")
+    SELECT kind, count(*) AS n_rows, round(median(price), 4) AS median_price FROM sales GROUP BY kind HAVING count(*) > 5""")
 def stats_by_type(t: Tables):
-    return rounded(A.stats_by_type(t.sales.filter("borough = 3"), "kind", "price"), 4, "median_price")
+    return rounded(A.stats_by_type(t.sales, "kind", "price"), 4, "median_price")
 
 
 @query("overview", "A13, V9", """
@@ -230,11 +230,13 @@ def calendar_lags(t: Tables):
     WITH p AS (SELECT * FROM sales WHERE dq % 3 <> 1), q AS (SELECT dq, row_number() OVER (ORDER BY dq) AS seq FROM (SELECT DISTINCT dq FROM p)),
     c AS (SELECT region, seq, median(price) AS m, stddev_samp(price) AS sd FROM p JOIN q USING (dq) GROUP BY ALL)
     SELECT p.id, round(a.m, 4) AS price_lag1_median, round(b.m, 4) AS price_lag2_median, round(a.sd, 4) AS price_lag1_std
-    FROM p JOIN q USING (dq) LEFT JOIN c a ON a.region = p.region AND a.seq = q.seq - 1 LEFT JOIN c b ON b.region = p.region AND b.seq = q.seq - 2""")
+    FROM sales p LEFT JOIN q USING (dq) LEFT JOIN c a ON a.region = p.region AND a.seq = q.seq - 1 LEFT JOIN c b ON b.region = p.region AND b.seq = q.seq - 2""")
 def sequence_lags(t: Tables):
-    p = t.sales.filter("dq % 3 <> 1").select("id", "region", "dq", "price")
-    out = temporal.lag_by_sequence(p, ["region"], "dq", "price", [1, 2])
-    out = temporal.lag_by_sequence(out, ["region"], "dq", "price", [1], "std")
+    # statistics from two thirds of the periods; every sale is kept
+    p = t.sales.select("id", "region", "dq", "price")
+    work = p.filter("dq % 3 <> 1")
+    out = temporal.lag_by_sequence(p, ["region"], "dq", "price", [1, 2], work=work)
+    out = temporal.lag_by_sequence(out, ["region"], "dq", "price", [1], "std", work=work)
     cols = ["price_lag1_median", "price_lag2_median", "price_lag1_std"]
     return rounded(out.select("id", *cols), 4, *cols)
 
@@ -251,11 +253,12 @@ def lookback_mean(t: Tables):
 
 
 @query("index_changes", "W6", """
-    WITH i AS (SELECT dq, avg(psf) AS v FROM sales WHERE dq <> 9 GROUP BY dq)
+    WITH i AS (SELECT dq, avg(psf) AS v FROM sales GROUP BY dq HAVING dq <> 9)
     SELECT i.dq, round(coalesce(v / lag(v, 1) OVER (ORDER BY i.dq) - 1, 0), 8) AS qoq, round(coalesce(v / lag(v, 4) OVER (ORDER BY i.dq) - 1, 0), 8) AS yoy,
            round(v / o.ov - 1, 8) AS yoy_calendar FROM i LEFT JOIN (SELECT dq + 4 AS dq, v AS ov FROM i) o ON i.dq = o.dq""")
 def index_changes(t: Tables):
-    index = t.sales.filter("dq <> 9").groupBy("dq").agg(F.avg("psf").alias("v"))
+    # the series, not the sales, has a gap
+    index = t.sales.groupBy("dq").agg(F.avg("psf").alias("v")).filter("dq <> 9")
     out = temporal.index_change(index, "dq", "v", {"qoq": 1, "yoy": 4})
     out = temporal.index_change_calendar(out, "dq", "v", {"yoy_calendar": 4})
     return rounded(out.select("dq", "qoq", "yoy", "yoy_calendar"), 8, "qoq", "yoy", "yoy_calendar")
@@ -327,9 +330,9 @@ def top_factors_per_row(t: Tables):
 
 
 @query("stratified_sample", "T4, V10", """
-    SELECT borough, id FROM (SELECT borough, id, row_number() OVER (PARTITION BY borough ORDER BY id * 7919 % 10007, id) AS k FROM sales) WHERE k <= 400""")
+    SELECT borough, id FROM (SELECT borough, id, row_number() OVER (PARTITION BY borough ORDER BY ('0x' || substr(md5('42:' || id), 1, 15))::bigint, id) AS k FROM sales) WHERE k <= 400""")
 def stratified_sample(t: Tables):
-    return ranking.stratified_sample(t.sales.select("borough", "id"), ["borough"], ["id"], 400, F.col("id") * 7919 % 10007)
+    return ranking.stratified_sample(t.sales.select("borough", "id"), ["borough"], ["id"], 400)
 
 
 @query("hashed_sample_sizes", "T4", """

@@ -143,11 +143,11 @@ OFFERS = """o AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN (p_part
     CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_partkey % 30 END::int AS age_years, p_brand AS district, ('24.7' || (p_partkey % 10))::double AS lat, 46.6::double AS lon FROM part)"""
 
 
-@query("listing_texts", "F13", f"WITH {OFFERS} SELECT * FROM o")
+@query("listing_texts", "F13", f"""WITH {OFFERS} SELECT *, CASE id % 3 WHEN 0 THEN 'فيلا دوبلكس' WHEN 1 THEN 'شقة' ELSE 'محل' END AS property_type_ar, 'الرياض' AS city FROM o""")
 def listing_texts(t: Tables):
     from ..functions.text import parse_listing_text
 
-    return parse_listing_text(listing_text(t), "text").drop("text", "property_type_ar", "city")
+    return parse_listing_text(listing_text(t), "text").drop("text")
 
 
 @query("listing_pages", "S13, F13, F14, P7", f"""
