@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import parts_for, staged
 
 
 def _local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,13 +32,18 @@ def _local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, edges_per_task: int = 250_000) -> DataFrame:
     """``edges`` (a, b: long) to (node, root): for every node that has an edge to another one the smallest node it reaches.
 
-    Edges are first contracted inside each partition, then the large-star and small-star steps alternate until nothing changes; the
-    number of rounds grows with the logarithm of the longest chain. Self-loops, repeated edges and an empty table are fine.
+    Edges are first contracted in parts of about ``edges_per_task``, whatever nodes they join; if there is more than one part, the
+    large-star and small-star steps then alternate until nothing changes (the rounds grow with the logarithm of the longest chain).
+    Self-loops, repeated edges and an empty table are fine.
     """
     edges = staged(edges.select("a", "b").where("a <> b").mapInPandas(_local, "a bigint, b bigint"), "edges")
+    parts = parts_for(edges.count(), edges_per_task)
+    edges = staged(edges.repartition(parts).mapInPandas(_local, "a bigint, b bigint"), "contracted")
+    if parts == 1:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     while True:
         # a: any node, b: smaller neighbour. Large star: every larger neighbour goes to the smallest node next to the centre.
