@@ -131,7 +131,11 @@ def _bounds(metric: str) -> tuple[Column, Column]:
             inner = a * a + F.cos(F.radians(y)) * c * b * b
             return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), inner)))
 
-        lo, hi = arc(near_y, near_x, F.least(c0, c1)), arc(far_y, far_x, widest)
+        # across the border at 180 degrees the shorter way counts
+        way = lambda dx: F.least(dx, 360 - dx)
+        shortest = F.greatest(zero, F.least(way(near_x), way(far_x)))
+        longest = F.when((near_x <= 180) & (far_x >= 180), F.lit(180.0)).otherwise(F.greatest(way(near_x), way(far_x)))
+        lo, hi = arc(near_y, shortest, F.least(c0, c1)), arc(far_y, longest, widest)
     return lo * (1 - SLACK), hi * (1 + SLACK)
 
 
@@ -253,12 +257,16 @@ def count_within(subjects: DataFrame, points: DataFrame, radius_m: float, counts
     while start < grid.depth and grid.size_deg(start + 1) >= reach_x:
         start += 1
 
-    def span(value: str, origin: float, reach: float):
-        return F.sequence(grid.row(F.col(value) - reach, origin, start), grid.row(F.col(value) + reach, origin, start))
+    def span(value: str, origin: float, reach: float, turn: float = 0.0):
+        return F.sequence(grid.row(F.col(value) + turn - reach, origin, start), grid.row(F.col(value) + turn + reach, origin, start))
 
+    across = span("_sx", grid.lon0, reach_x)
+    if metric != "flat":  # subjects near the border at 180 degrees look on its other side too
+        both = F.array_union(across, F.array_union(span("_sx", grid.lon0, reach_x, 360.0), span("_sx", grid.lon0, reach_x, -360.0)))
+        across = F.when(F.abs("_sx") + reach_x > 180, both).otherwise(across)
     cand = (
         places.withColumn("iy", F.explode(span("_sy", grid.lat0, reach_y)))
-        .withColumn("ix", F.explode(span("_sx", grid.lon0, reach_x)))
+        .withColumn("ix", F.explode(across))
         .select("_sy", "_sx", "iy", "ix", F.lit(None).cast(_counts_type(names)).alias("_done"))
     )
     total = F.struct(*[F.col(n) for n in names])

@@ -161,3 +161,15 @@ def test_outline_skips_gaps_and_counts_along_the_ring(spark):
     every_third = {(r.lon, r.lat) for r in regions.boundary_vertices(df.filter("code <> 99"), stride=3).collect()}
     assert every_third == {(0, 0), (3, 0), (3, 3), (0, 3)}
     assert regions.boundary_vertices(df.filter("code < 0")).count() == 0
+
+
+def test_distances_wrap_at_180_degrees(spark):
+    r = random.Random(12)
+    lon = lambda: r.choice([179.99, -179.99, 179.5, -179.6, 0.0]) + r.random() * 0.009
+    subjects, points = [(r.random() * 0.01, lon()) for _ in range(40)], [(r.random() * 0.01, lon()) for _ in range(160)]
+    s, p = frames(spark, subjects, points)
+    got = {x.sid: x.n_within for x in spatial.count_within(s, p, 3000.0, metric="haversine", leaf_size=4).collect()}
+    assert got == {i: sum(DISTANCE["haversine"](a, b) <= 3000 for b in points) for i, a in enumerate(subjects)}
+    near = {(x.lat, x.lon): x.distance_m for x in spatial.nearest_k(s, p, 1, "haversine", leaf_size=4).collect()}
+    for a in subjects:
+        assert abs(near[a] - min(DISTANCE["haversine"](a, b) for b in points)) < 1e-6
