@@ -52,6 +52,29 @@ def value_city(t: Tables):
                       "confidence_low", "confidence_high", "price_per_sqft", sparse, "asking_total")
 
 
+KINDS = ["ECONOMY", "PROMO", "STANDARD"]
+NEAR = ", ".join(f"min({FLAT}) FILTER (WHERE p.kind = '{k}') AS d{i}, count(*) FILTER (WHERE p.kind = '{k}' AND {FLAT} <= 2000) AS n{i}" for i, k in enumerate(KINDS))
+SCALED = " + ".join(f"{w} * (p{i} - min(p{i}) OVER ()) / (max(p{i}) OVER () - min(p{i}) OVER ())" for i, w in enumerate((0.35, 0.15, 0.30, 0.10, 0.10)))
+
+
+@query("city_features", "V1, C1, G3, G5, G6, W1, E1, J1", f"""
+    WITH w AS (SELECT * FROM sales WHERE qid < 20001), d AS (SELECT c.id, {NEAR} FROM cust c, poi p GROUP BY c.id),
+    n AS (SELECT id, region, m, comps FROM (SELECT c.id, p.region, {FLAT} AS m, row_number() OVER (PARTITION BY c.id ORDER BY {FLAT}, p.id) AS k, count(*) FILTER (WHERE {FLAT} <= 800) OVER (PARTITION BY c.id) AS comps FROM cust c, w p) WHERE k = 1),
+    e AS (SELECT region, avg(ln(1 + price)) AS e FROM w GROUP BY region), l AS (SELECT region, avg(price) AS lag4 FROM w WHERE dq = 16 GROUP BY region),
+    o AS (SELECT parcel, count(*) AS own_sales, avg(area) AS own_area FROM w GROUP BY parcel),
+    x AS (SELECT d.*, n.region, m, comps, e.e, coalesce(lag4, (SELECT median(lag4) FROM l)) AS lag4, coalesce(own_sales, 0) AS own_sales, own_area,
+            1 / greatest(d0, 1.0) AS p0, 1 / greatest(d1, 1.0) AS p1, n0::double AS p2, 1 / greatest(d2, 1.0) AS p3, 1 / greatest(m, 1.0) AS p4
+          FROM d JOIN n USING (id) LEFT JOIN e ON e.region = n.region LEFT JOIN l ON l.region = n.region LEFT JOIN o ON o.parcel = d.id)
+    SELECT id, round(d0, 4) AS dist_economy_m, round(d1, 4) AS dist_promo_m, round(d2, 4) AS dist_standard_m, round(ln(1 + d0), 6) AS log_dist_economy_m, round(ln(1 + d1), 6) AS log_dist_promo_m, round(ln(1 + d2), 6) AS log_dist_standard_m,
+      n0 AS "ECONOMY_count", n1 AS "PROMO_count", n2 AS "STANDARD_count", region, round(m, 4) AS nearest_sale_m, comps, round(e, 6) AS region_encoded, round(lag4, 4) AS price_lag4, own_sales, round(own_area, 4) AS own_area,
+      round(100 * ({SCALED}), 4) AS walk_score FROM x""")
+def city_features(t: Tables):
+    work = t.sales.filter(WORK)
+    out = valuation.city_features(t.cust.select("id", "lat", "lon"), t.poi, "kind", KINDS, work, 20).drop("lat", "lon")
+    out = rounded(out, 4, "dist_economy_m", "dist_promo_m", "dist_standard_m", "nearest_sale_m", "price_lag4", "own_area", "walk_score")
+    return rounded(out, 6, "log_dist_economy_m", "log_dist_promo_m", "log_dist_standard_m", "region_encoded")
+
+
 @query("value_districts", "V2, V3, M10, J7, J8, W8, C10", f"""
     WITH {SUBJ}, w AS (SELECT region AS district, kind, qid, psqm FROM deals WHERE qid < 20001), ct AS (SELECT region AS district, avg(lat) AS lat, avg(lon) AS lon FROM cust GROUP BY region),
     c1 AS (SELECT district, m, row_number() OVER (PARTITION BY district ORDER BY qid DESC) AS k FROM (SELECT district, qid, median(psqm) AS m FROM w GROUP BY ALL)),

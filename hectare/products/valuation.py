@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import unit_rates
 from ..functions.text import map_type
-from ..operators import encode, evaluate, spatial
+from ..operators import encode, evaluate, features, spatial
 from ..operators.clean import validate_batch
 from ..operators.joins import lookup_chain
 from ..operators.quantiles import group_agg, join_groups
@@ -89,6 +89,35 @@ def value_nyc(subjects: DataFrame, ctx: CityContext, predict: Predict, rules: di
     return out.drop("letter", "region_encoded", "mix_encoded").unionByName(bad, allowMissingColumns=True)
 
 
+def city_features(subjects: DataFrame, places: DataFrame, kind: str, kinds: list[str], work: DataFrame, as_of: int, radius_m: float = 2000,
+                  comps_m: float = 800, price: str = "price") -> DataFrame:
+    """The model's columns for a table of subjects (id, lat, lon).
+
+    Distance and log distance to the nearest place of each kind and the places of each kind in the radius; the region of the
+    nearest past sale with its encoded price and its mean price a year before quarter ``as_of`` (the median region's where it
+    had no sale then); number of comparable sales, past sales and their mean area of the subject's own parcel (0 and null where
+    it has none); a walk score from the distances, scaled over the subjects. ``work`` (id, lat, lon, region, parcel, dq, area,
+    price) is all that prices are taken from.
+    """
+    out = subjects
+    for k in kinds:
+        out = spatial.nearest_distance(out, places, f"dist_{k.lower()}_m", log=True, where=F.col(kind) == k)
+    out = spatial.count_within_by_category(out, places, kind, kinds, radius_m, metric="flat")
+    sales = work.select(F.col("id").alias("sale_id"), "lat", "lon", "region")
+    out = spatial.nearest_attrs(out, sales, ["region"], "nearest_sale_m", p_id="sale_id")
+    out = spatial.count_within(out, sales, comps_m, {"comps": F.lit(True)}, metric="flat")
+    lp = F.log1p(price)
+    out = encode.apply_encoding(out, encode.fit_target_encoding(work, ["region"], lp), ["region"], "region_encoded", encode.global_mean(work, lp))
+    before = work.filter(F.col("dq") == as_of - 4).groupBy("region").agg(F.avg(price).alias("price_lag4"))
+    usual = group_agg(before, [], [], {"m": ("price_lag4", 0.5)}).scalar()
+    out = out.join(before, "region", "left").withColumn("price_lag4", F.coalesce("price_lag4", usual))
+    own = work.groupBy(F.col("parcel").alias("id")).agg(F.count(F.lit(1)).alias("own_sales"), F.avg("area").alias("own_area"))
+    out = out.join(own, "id", "left").withColumn("own_sales", F.coalesce("own_sales", F.lit(0)))
+    first, second, third = (f"dist_{k.lower()}_m" for k in kinds[:3])
+    parts = features.walk_parts(first, second, f"{kinds[0]}_count", third, "nearest_sale_m", 1.0)
+    return features.apply_score(out, features.fit_score(out, parts), parts, features.WALK_WEIGHTS, "walk_score")
+
+
 @dataclass
 class DistrictContext:
     """Fitted tables for district valuation; centroids are (district, lat, lon)."""
