@@ -23,7 +23,7 @@ from .common import prepare, rows_among, staged, text_of, with_row_key
 from .graph import components
 from .hashing import LOWER, MinHash, chunks, common_size, shingle_sets
 
-SKETCH_BITS = 1024
+SKETCH_BITS = 2048
 SIGNED_SCHEMA = "n_shingles bigint, set_a bigint, set_b bigint, signature binary"
 
 
