@@ -118,7 +118,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard
 
     Ties go to the smaller vec_id, then to the earlier row. Fewer rows than k: all of them. Rows that repeat an id are rows of their
     own; null ids are dropped, as are null vectors and vectors with null or non-finite components. Vectors of another length than the
-    query's are no candidates; empty vectors take no part. An empty table gives no rows. ``shard_rows`` and ``queries_per_part`` bound what
+    query's are no candidates; empty vectors take no part. An empty table gives no rows. Scores must fit 64 bits. ``shard_rows`` and ``queries_per_part`` bound what
     one task holds and do not change the result.
     """
     spark = vectors.sparkSession
