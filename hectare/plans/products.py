@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, clean, evaluate
+from ..operators import aggregates, clean, evaluate, spatial
 from ..products import layers, valuation
 from ..session import scratch_path
 from .registry import Tables, query, rounded
@@ -111,6 +111,32 @@ def value_districts(t: Tables):
     return rounded(out, 4, "conf_pct")
 
 
+ENCODED = {"district_encoded": "TRUE", "district_type_encoded": "kind = s.kind", "district_recent_encoded": "qid >= 19994", "district_apt_encoded": "kind = 'A'", "district_apt_recent_encoded": "kind = 'A' AND qid >= 19994"}
+MEANS = ", ".join(f"round(coalesce((SELECT avg(ln(1 + psqm)) FROM w WHERE w.district = s.district AND {rule.replace('kind', 'w.kind', 1) if 'kind' in rule else rule}), (SELECT avg(ln(1 + psqm)) FROM w)), 6) AS {name}" for name, rule in ENCODED.items())
+
+
+@query("district_features", "V2, E1, J11, G3, G6", f"""
+    WITH {SUBJ}, w AS (SELECT region AS district, CASE WHEN region % 4 = 1 AND kind = 'A' THEN 'N' ELSE kind END AS kind, qid, psqm FROM deals WHERE qid < 20001 AND (region % 5 <> 0 OR qid < 19994)),
+    ct AS (SELECT region AS district, avg(lat) AS lat, avg(lon) AS lon FROM cust GROUP BY region), b AS (SELECT region AS district, avg(bal) AS served, count(*) AS places FROM cust GROUP BY region),
+    v AS (SELECT c.id, CASE WHEN c.id % 3 <> 0 THEN count(*) FILTER (WHERE {FLAT} <= 800) END AS places FROM q c, poi p GROUP BY c.id),
+    n AS (SELECT id, district FROM (SELECT c.id, p.district, row_number() OVER (PARTITION BY c.id ORDER BY {FLAT}, p.district) AS k FROM q c, ct p) WHERE k = 1),
+    s AS (SELECT q.id, n.district, CASE WHEN q.id % 2 = 0 THEN 'A' ELSE 'R' END AS kind, q.id % 4 + 1 AS quarter, round(b.served, 4) AS served, coalesce(v.places, b.places) AS places FROM q JOIN n USING (id) JOIN b USING (district) JOIN v USING (id))
+    SELECT id, district, served, places, (kind = 'A')::int AS is_flat, (kind = 'R')::int AS is_villa, round(sin(pi() * quarter / 2), 6) + 0.0 AS quarter_sin, round(cos(pi() * quarter / 2), 6) + 0.0 AS quarter_cos, {MEANS} FROM s""")
+def district_features(t: Tables):
+    # some districts have no recent deals, some none of the main type; a third of the subjects has no look-up of its own
+    kind = F.when((F.col("region") % 4 == 1) & (F.col("kind") == "A"), "N").otherwise(F.col("kind"))
+    work = t.deals.filter(WORK).filter("region % 5 <> 0 OR qid < 19994").select(F.col("region").alias("district"), kind.alias("kind"), "qid", "psqm")
+    by_region = t.cust.groupBy(F.col("region").alias("district"))
+    centres = by_region.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    baseline = by_region.agg(F.avg("bal").alias("served"), F.count(F.lit(1)).alias("places"))
+    i = F.col("id")
+    rows = t.stations.select("id", "lat", "lon", F.when(i % 2 == 0, "A").otherwise("R").alias("kind"), (i % 4 + 1).cast("int").alias("quarter"))
+    live = spatial.count_within(rows.select("id", "lat", "lon"), t.poi, 800, {"places": F.lit(True)}, metric="flat").filter("id % 3 <> 0").select("id", F.lit(None).cast("double").alias("served"), "places")
+    out = valuation.district_features(rows, centres, baseline, live, ["served", "places"], work, {"is_flat": "A", "is_villa": "R"}, "A", 19994)
+    out = out.drop("lat", "lon", "kind", "quarter", "centroid_m")
+    return rounded(rounded(out, 4, "served"), 6, "quarter_sin", "quarter_cos", *ENCODED)
+
+
 @query("asking_overlay", "V3, J8", """
     WITH s AS (SELECT borough, median(psf) * 1.1 AS ask FROM sales WHERE borough <> 2 GROUP BY borough)
     SELECT id, round_even(coalesce(ask, psf * (1 + 8.25 / 100)), 0)::bigint AS asking_psqm, round_even(coalesce(ask, psf * (1 + 8.25 / 100)) * area, 0)::bigint AS asking_total,

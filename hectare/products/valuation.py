@@ -6,6 +6,7 @@ table, of any size. The predictor is a function table → table with ``log_predi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -148,6 +149,29 @@ def fit_districts(work: DataFrame, centroids: DataFrame, index: DataFrame, error
                            group_agg(work, [], [], {"m": ("psqm", 0.5)}).scalar(), index, newest, errors, overall_error, spreads, spread_pct, types)
 
 
+def district_features(subjects: DataFrame, centroids: DataFrame, baseline: DataFrame, live: DataFrame, columns: list[str], work: DataFrame,
+                      kinds: dict[str, str], main_kind: str, recent_from: int) -> DataFrame:
+    """The model's columns for a table of subjects (id, lat, lon, kind, quarter).
+
+    A subject takes the columns of the nearest district (``baseline``: district and ``columns``); what was looked up at its own
+    point (``live``: id and ``columns``) wins wherever it is not null. Encodings are means of the log unit price by district, by
+    district and type, by district since ``recent_from``, and the same two for ``main_kind`` alone; a district without such
+    deals takes the mean over all. ``work``: district, kind, qid, psqm.
+    """
+    out = spatial.nearest_attrs(subjects, centroids, ["district"], "centroid_m", p_id="district")
+    base = baseline.select("district", *[F.col(c).alias(f"_b_{c}") for c in columns])
+    own = live.select("id", *[F.col(c).alias(f"_l_{c}") for c in columns])
+    out = out.join(base, "district", "left").join(own, "id", "left")
+    out = out.withColumns({c: F.coalesce(f"_l_{c}", f"_b_{c}") for c in columns}).drop(*[f"_{x}_{c}" for c in columns for x in "bl"])
+    lp, recent, main = F.log1p("psqm"), F.col("qid") >= recent_from, F.col("kind") == main_kind
+    overall = encode.global_mean(work, lp)
+    for name, keys, where in (("district_encoded", ["district"], None), ("district_type_encoded", ["district", "kind"], None), ("district_recent_encoded", ["district"], recent),
+                              ("district_apt_encoded", ["district"], main), ("district_apt_recent_encoded", ["district"], main & recent)):
+        out = encode.apply_encoding(out, encode.fit_target_encoding(work, keys, lp, where=where), keys, name, overall)
+    angle = F.col("quarter") * (2 * math.pi / 4)
+    return encode.one_hot(out, "kind", kinds).withColumns({"quarter_sin": F.sin(angle), "quarter_cos": F.cos(angle)})
+
+
 def value_riyadh(subjects: DataFrame, ctx: DistrictContext, predict: Predict, rules: dict[str, Column], last_year: int) -> DataFrame:
     """Value a table of subjects (id, lat, lon, property_type, area, year, quarter) by district, type and period.
 
