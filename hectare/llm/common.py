@@ -34,7 +34,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing unfinished reads: all that was made from them is stored itself."""
+    for frame in frames:
+        sc = frame.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str | Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, staged
+from .common import discard, parts_for, staged
 
 
 def _local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,9 +39,10 @@ def components(edges: DataFrame, edges_per_task: int = 250_000) -> DataFrame:
     large-star and small-star steps then alternate until nothing changes (the rounds grow with the logarithm of the longest chain).
     Self-loops, repeated edges and an empty table are fine.
     """
-    edges = staged(edges.select("a", "b").where("a <> b").mapInPandas(_local, "a bigint, b bigint"), "edges")
-    parts = parts_for(edges.count(), edges_per_task)
-    edges = staged(edges.repartition(parts).mapInPandas(_local, "a bigint, b bigint"), "contracted")
+    first = staged(edges.select("a", "b").where("a <> b").mapInPandas(_local, "a bigint, b bigint"), "edges")
+    parts = parts_for(first.count(), edges_per_task)
+    edges = staged(first.repartition(parts).mapInPandas(_local, "a bigint, b bigint"), "contracted")
+    discard(first)
     if parts == 1:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
@@ -54,7 +55,8 @@ def components(edges: DataFrame, edges_per_task: int = 250_000) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-        edges = staged(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
+        old, edges = edges, staged(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
+        discard(old, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

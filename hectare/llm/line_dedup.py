@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_bits, key_filter, prepare, staged, text_of
+from .common import discard, key_bits, key_filter, prepare, staged, text_of
 from .graph import components
 from .hashing import CHUNK, LOWER, MinHash, common_size, distinct, mixed
 
@@ -222,7 +222,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = 10, rows: int =
     edges = staged(_candidates(body, bands, rows, parts), "line-edges")
     nodes = staged(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct(), "line-nodes")
     lines = staged(_texts_of(body, nodes), "line-texts")
-    roots = staged(components(staged(similar(edges, lines, percent), "line-links")), "line-roots")
+    links = staged(similar(edges, lines, percent), "line-links")
+    discard(edges, nodes, lines)
+    roots = staged(components(links), "line-roots")
 
     occurrence = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"), F.col("pos"))
     classes = lined.groupBy("node").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last"))
@@ -236,6 +238,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = 10, rows: int =
     again = key_filter(repeated, "node")
     gone = lined.where(again("node")).join(repeated, "node").where(~(here[0] & here[1] & here[2]))
     gone = staged(gone.groupBy("row_key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "lines-gone")
+    discard(lined, links, roots, classes, repeated)
 
     # the text travels once: in the struct
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.xxhash64(F.col(id_col), text).alias("row_key"))

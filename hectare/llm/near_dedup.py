@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, rows_among, staged, text_of, with_row_key
+from .common import discard, prepare, rows_among, staged, text_of, with_row_key
 from .graph import components
 from .hashing import LOWER, MinHash, chunks, common_size, shingle_sets
 
@@ -231,14 +231,17 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 5, trees: i
     prepare(docs.sparkSession)
     rows = staged(with_row_key(signed(docs, id_col, text_col, words, trees, depth)), "signed")
     classes = staged(rows.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id")), "classes")
-    reps = staged(rows.join(classes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "text_key", "signature"), "nodes")
+    signed_rows, rows = rows, staged(rows.drop("signature"), "documents")
+    reps = staged(signed_rows.join(classes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "text_key", "signature"), "nodes")
+    discard(signed_rows)
     pairs = staged(neighbours(reps.select("node", "signature"), trees, depth, least_depth, reach), "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = staged(reps.select("node", "text_key").join(nodes, "node"), "wanted")
     sets = staged(_texts(docs, text_col, wanted, words), "sets")
 
     sketches = sets.select("node", "n_shingles", "sketch")
-    pairs = staged(likely_pairs(pairs, sketches, percent), "likely-pairs")
+    candidates, pairs = pairs, staged(likely_pairs(pairs, sketches, percent), "likely-pairs")
+    discard(candidates, wanted)
 
     # first every node with the neighbour it shares most with; what these links leave in different components is checked after that
     def closest(node: str, other: str) -> DataFrame:
@@ -257,7 +260,8 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 5, trees: i
         return df.where("root_a <> root_b").select("a", "b")
 
     rest = apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"))
-    links = staged(links.union(linked(rest, sets, percent)), "more-links")
+    first, links = links, staged(links.union(linked(rest, sets, percent)), "more-links")
+    discard(first)
     label = components(links)
     # regions too full for an order's neighbours to be all pairs
     crowded = crowded_pairs(reps.select("node", "signature"), sketches, label, percent, trees, depth, least_depth, reach)
@@ -267,6 +271,7 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 5, trees: i
     found = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     merged = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
     settled = staged(found.join(merged, "root").select("set_a", "set_b", "component_id"), "settled")
+    discard(classes, reps, sets, pairs, best, links, crowded)
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     joined = rows.where("n_shingles > 0").join(settled, ["set_a", "set_b"])
     columns = ["doc_id", "n_shingles", "component_id", "text_key"]

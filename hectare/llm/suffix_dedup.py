@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_bits, key_filter, prepare, rows_among, staged, text_of
+from .common import discard, key_bits, key_filter, prepare, rows_among, staged, text_of
 from .hashing import chunks, shingles, words
 from .order import neighbours_in_order
 
@@ -30,6 +30,7 @@ def minimisers(blocks: np.ndarray, window: int) -> np.ndarray:
 
 
 CONTEXT = ["following", "further", "before", "farther"]
+PLACE = ["no_id", "doc_id", "row_key", "pos"]
 
 
 def suffixes_of(text_words: np.ndarray, block: int, window: int) -> tuple[np.ndarray, ...]:
@@ -96,16 +97,17 @@ def _kept_suffixes(body: DataFrame, id_kind: str, block: int, window: int) -> Da
     return body.mapInArrow(run, f"doc_id {id_kind}, row_key bigint, pos int, own bigint, " + ", ".join(f"{c} bigint" for c in CONTEXT))
 
 
-def sorted_neighbours(kept: DataFrame, context: list[str], label: str) -> DataFrame:
+def sorted_neighbours(kept: DataFrame, context: list[str], label: str, levels: int | None = None) -> DataFrame:
     """Places (a, p) and (b, q), the first one earlier, of suffixes next to each other in the array.
 
     Suffixes that agree in all blocks of the ``context`` are ordered by place and matched with the one before. The first of each such run
     stands for it among the runs that agree in one block less, and so on: every suffix meets an earlier one of the longest context that
-    has one. Runs are range-partitioned; a passage that a third of all documents hold is dealt over many tasks.
+    has one (``levels``: only so many of the context lengths, longest first). Runs are range-partitioned; a passage that a third of all
+    documents hold is dealt over many tasks.
     """
-    place = ["no_id", "doc_id", "row_key", "pos"]
+    place = PLACE
     rows, out = kept.select(*context, *place), None
-    for n in range(len(context), 0, -1):
+    for n in range(len(context), len(context) - (levels or len(context)), -1):
         own = context[:n]
         keyed = staged(rows.select(F.xxhash64(*own).alias("key"), *place), f"{label}-{n}")
         pairs = neighbours_in_order(keyed, ["key", *place], 1 if n == len(context) else 2, f"{label}-neighbours-{n}").select(
@@ -135,8 +137,12 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
     kept = staged(_kept_suffixes(body, kind, block, window), "suffixes")
     # blocks that stand once go no further
     repeated = key_filter(kept.groupBy("own").agg(F.count("*").alias("n")).where("n > 1"), "own")
-    kept = staged(kept.where(repeated("own")).withColumn("no_id", F.col("doc_id").isNull()), "repeated-suffixes")
-    pairs = sorted_neighbours(kept, ["own", *CONTEXT[:2]], "right").union(sorted_neighbours(kept, ["own", *CONTEXT[2:]], "left"))
+    every, kept = kept, staged(kept.where(repeated("own")).withColumn("no_id", F.col("doc_id").isNull()), "repeated-suffixes")
+    discard(every)
+    # suffixes that agree on both sides are chained once; the first of each such group goes into the two orders
+    alike = sorted_neighbours(kept, ["own", *CONTEXT], "alike", levels=1)
+    heads = staged(kept.groupBy("own", *CONTEXT).agg(F.min(F.struct(*PLACE)).alias("first")).select("own", *CONTEXT, "first.*"), "heads")
+    pairs = alike.union(sorted_neighbours(heads, ["own", *CONTEXT[:2]], "right")).union(sorted_neighbours(heads, ["own", *CONTEXT[2:]], "left"))
     pairs = staged(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("starts")), "suffix-pairs")
 
     # word hashes of the documents that are in a pair, once per document
@@ -159,7 +165,9 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
 
     matches = pairs.join(one, "a").join(other, "b").select("a", "b", "starts", "x", "y").mapInArrow(match, "row_key bigint, start int, end int, later boolean")
     # what one document takes part in is bounded by its own suffixes
-    return matches.distinct().groupBy("row_key").agg(F.collect_list(F.struct("start", "end", "later")).alias("spans"))
+    spans = staged(matches.distinct().groupBy("row_key").agg(F.collect_list(F.struct("start", "end", "later")).alias("spans")), "spans")
+    discard(kept, heads, pairs, nodes, needed)
+    return spans
 
 
 def marked(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +175,6 @@ def marked(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     structs (start, end in code points, n_words, later) of merged stretches."""
     text = text_of(text_col)
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
-    spans = staged(spans, "spans")
     bits = key_bits(spans, "row_key")
     whole = docs.select(columns, F.xxhash64(F.col(id_col), text).alias("row_key"))
     # most documents have no passages and stay out of the join
