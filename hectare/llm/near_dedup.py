@@ -165,7 +165,8 @@ def _texts(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> Dat
     """node, sorted shingle set (binary), its size and its sketch, of the wanted (node, text_key)."""
     text = text_of(text_col)
     rows = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).withColumn("key", F.xxhash64("text_key"))
-    rows = rows_among(rows, wanted.select(F.xxhash64("text_key").alias("key")), "key").join(wanted, "text_key").select("node", "text")
+    # merge: the shuffle keeps the two Python steps in stages of their own, and so half as many workers in memory
+    rows = rows_among(rows, wanted.select(F.xxhash64("text_key").alias("key")), "key").join(wanted.hint("merge"), "text_key").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = MinHash(SKETCH_BITS, seed=53)
@@ -266,12 +267,13 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 5, trees: i
     # regions too full for an order's neighbours to be all pairs
     crowded = crowded_pairs(reps.select("node", "signature"), sketches, label, percent, trees, depth, least_depth, reach)
     crowded = staged(crowded.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "crowded-pairs")
-    roots = components(links.union(linked(crowded, sets, percent)))
+    final = staged(links.union(linked(crowded, sets, percent)), "all-links")
+    roots = components(final)
 
     found = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     merged = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
     settled = staged(found.join(merged, "root").select("set_a", "set_b", "component_id"), "settled")
-    discard(classes, reps, sets, pairs, best, links, crowded)
+    discard(classes, reps, sets, pairs, best, links, crowded, final)
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     joined = rows.where("n_shingles > 0").join(settled, ["set_a", "set_b"])
     columns = ["doc_id", "n_shingles", "component_id", "text_key"]

@@ -16,6 +16,7 @@ import zlib
 from bisect import insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,12 +41,10 @@ class Tokens:
 
     def __init__(self, json_path: str, rank_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(rank_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-        self.exact = Tokenizer.from_file(json_path)
-        self.special = self.exact.token_to_id(SPECIAL)
+        self.json_path = json_path
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
@@ -54,6 +53,13 @@ class Tokens:
             cls._open[paths] = cls(*paths)
         return cls._open[paths]
 
+    @cached_property
+    def exact(self):
+        """Loaded with the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def ids(self, text: str) -> list[int]:
         if SPECIAL in text or (not text.isascii() and max(text) >= STABLE_BELOW):
             return self.exact.encode(text, add_special_tokens=False).ids

@@ -179,7 +179,8 @@ def marked(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     whole = docs.select(columns, F.xxhash64(F.col(id_col), text).alias("row_key"))
     # most documents have no passages and stay out of the join
     own_text = text_of(F.col("document").getField(text_col)).alias("text")
-    joined = rows_among(whole, bits, "row_key").join(spans, "row_key", "left").select("document", own_text, "spans")
+    # merge: see the texts of near-duplicates; one Python step per stage
+    joined = rows_among(whole, bits, "row_key").join(spans.hint("merge"), "row_key", "left").select("document", own_text, "spans")
     apart = rows_among(whole, bits, "row_key", among=False).select("document", own_text)
     passage = "struct<start:int,end:int,n_words:int,later:boolean>"
     nothing = F.lit(None).cast(f"array<{passage}>").alias("passages")
