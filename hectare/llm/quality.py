@@ -59,8 +59,8 @@ class Voters:
         idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
         rows = _unit(_damped(counts) * idf)
         # singular directions from the smaller square matrix of the sample
-        values, vectors = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
-        axes = vectors[:, ::-1][:, : max(1, min(dims, int((values > 1e-9).sum())))].astype(np.float32)
+        values, vectors = np.linalg.eigh((rows.T @ rows).astype(np.float64))
+        axes = vectors[:, ::-1][:, : max(1, min(dims, int((values > 1e-6).sum())))].astype(np.float32)
         return cls(idf, axes, _unit(rows @ axes), labels.astype(np.float32), nearest)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
@@ -104,9 +104,9 @@ def fit_voters(docs: DataFrame, labels: DataFrame, label_col: str = "quality", f
     # one row per labelled id, also where the documents repeat it
     fields = chosen.schema["known_id"].dataType.simpleString()
     rows = texts.mapInArrow(run, f"known_id {fields}, label int, terms binary").groupBy("known_id").agg(F.max("label").alias("label"), F.min("terms").alias("terms"))
-    rows = rows.orderBy(*order).limit(2 * sample_rows).collect()
-    counts = np.array([np.frombuffer(r.terms, np.float32) for r in rows], np.float32).reshape(len(rows), columns)
-    return Voters.fit(counts, np.array([r.label for r in rows], np.float32), dims, nearest)
+    found = rows.orderBy(*order).limit(2 * sample_rows).select("label", "terms").toPandas()
+    counts = np.frombuffer(b"".join(found.pop("terms")), np.float32).reshape(len(found), columns)
+    return Voters.fit(counts, found["label"].to_numpy(np.float32), dims, nearest)
 
 
 def score_quality(docs: DataFrame, voters: Voters, cut: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text",
