@@ -44,15 +44,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def running(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash: entry i covers the first i bytes."""
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(LETTER[data] * _powers_of("up", len(data)), out=out[1:])
+def running(values: np.ndarray) -> np.ndarray:
+    """Running polynomial hash: entry i covers the first i values."""
+    out = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * _powers_of("up", len(values)), out=out[1:])
     return out
 
 
 def ranges_hashed(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes start to end; equal bytes give equal hashes wherever they stand."""
+    """Hash of the values start to end; equal values give equal hashes wherever they stand."""
     return mixed((run[end] - run[start]) * _powers_of("down", len(run))[start] + (end - start).astype(U64) * FACTORS[-1])
 
 
@@ -78,7 +78,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if len(data) and not blank[0]:
         edge = np.concatenate([[0], edge])
     start, end = edge[::2], edge[1::2]
-    hashes = ranges_hashed(running(data), start, end)
+    hashes = ranges_hashed(running(LETTER[data]), start, end)
     bounds = np.searchsorted(start, begins)
     base = np.repeat(begins[:-1], np.diff(bounds))
     return hashes, start - base, end - base, bounds

@@ -1,9 +1,9 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by their windows.
 
-Only suffixes that start at a minimiser are kept: the word position whose following block of words has the smallest hash in a window. Two
-equal passages choose the same positions, wherever they stand. Suffixes are sorted by the hashes of their next three blocks (and once
-more by the first and the two before it); neighbours that share the first block are matched, and every match is extended word by word to
-both sides.
+A passage of ``least`` words is a window. Its minimiser is the smallest hash of a block of words in it, so equal windows have the same one,
+wherever they stand. Windows in a row with the same minimiser are one stretch; stretches whose minimiser stands once go no further. Of
+equal stretches all but the first are repeats as a whole; the windows of the first ones are sorted by their hash, and a window whose
+predecessor is equal is a repeat. Nothing depends on what stands around a window: every repeat is found.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, key_bits, key_filter, prepare, rows_among, staged, text_of
-from .hashing import chunks, shingles, words
+from .common import KeyBits, discard, key_bits, prepare, rows_among, staged, text_of
+from .hashing import chunks, ranges_hashed, running, words
 from .order import neighbours_in_order
 
 
@@ -29,45 +29,37 @@ def minimisers(blocks: np.ndarray, window: int) -> np.ndarray:
     return np.unique(least + np.arange(len(least)))
 
 
-CONTEXT = ["following", "further", "before", "farther"]
 PLACE = ["no_id", "doc_id", "row_key", "pos"]
 
 
-def suffixes_of(text_words: np.ndarray, block: int, window: int) -> tuple[np.ndarray, ...]:
-    """Per kept suffix: position, hash of its first block, of the two blocks after it and of the two before it, nearest first (0 for none)."""
-    if len(text_words) < block:
-        return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 5
-    blocks = shingles(text_words, block)
-    at = minimisers(blocks, window)
-    around = []
-    for away in (block, 2 * block, -block, -2 * block):
-        there = at + away
-        inside = (there >= 0) & (there < len(blocks))
-        around.append(np.where(inside, blocks[np.where(inside, there, 0)], np.uint64(0)))
-    return at, blocks[at], *around
-
-
-def extended(one: np.ndarray, other: np.ndarray, starts: list[tuple[int, int]], block: int, least: int, same: bool) -> list[tuple[int, int, int]]:
-    """Maximal equal stretches (start in one, start in other, words) of at least ``least`` words through the given starts.
-
-    ``same``: both are one text, and a start lies before its match.
-    """
-    out, done = [], {}
-    for p, q in sorted(starts, key=lambda x: (x[1] - x[0], x[0])):
-        if done.get(q - p, -1) >= p + block:
-            continue
-        if not np.array_equal(one[p : p + block], other[q : q + block]):
-            continue
-        left = min(p, q)
-        differ = np.flatnonzero(one[p - left : p][::-1] != other[q - left : q][::-1])
-        left = int(differ[0]) if len(differ) else left
-        right = min(len(one) - p, len(other) - q)
-        differ = np.flatnonzero(one[p : p + right] != other[q : q + right])
-        right = int(differ[0]) if len(differ) else right
-        done[q - p] = p + right
-        if left + right >= least:
-            out.append((p - left, q - left, left + right))
-    return out
+class Stretches:
+    """The stretches of some texts: ``text``, ``pos`` (first window), ``n`` (windows), ``own`` (minimiser) and ``whole`` (hash of all its words)."""
+
+    def __init__(self, texts: list[bytes], least: int, block: int, window: int):
+        hashes, _, _, bounds = words(texts)
+        self.least, self.run = least, running(hashes)
+        at = np.arange(max(0, len(hashes) - block + 1))
+        low, wide = ranges_hashed(self.run, at, at + block), 1
+        while wide < window:
+            step = min(wide, window - wide)
+            low = np.minimum(low[:-step], low[step:])
+            wide += step
+        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        start = np.arange(max(0, len(hashes) - least + 1))
+        start = start[start + least <= bounds[text[: len(start)] + 1]]
+        text, low = text[start], low[start]
+        first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (text[1:] != text[:-1])])) if len(start) else start
+        self.begin, self.n = start[first], np.diff(np.append(first, len(start)))
+        self.text, self.own = text[first], low[first].view(np.int64)
+        self.pos = self.begin - bounds[self.text]
+        self.whole = ranges_hashed(self.run, self.begin, self.begin + self.n + least - 1).view(np.int64)
+
+    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, position and hash of every window of the stretches ``of``."""
+        n = self.n[of]
+        away = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.repeat(self.begin[of], n) + away
+        return np.repeat(self.text[of], n), np.repeat(self.pos[of], n) + away, ranges_hashed(self.run, begin, begin + self.least).view(np.int64)
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -81,42 +73,68 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _kept_suffixes(body: DataFrame, id_kind: str, block: int, window: int) -> DataFrame:
+def _place_key(row_key, pos):
+    """A number for a place, the same in SQL and in numpy; it need not be unique."""
+    return row_key ^ (pos.astype(np.int64) << 32) if isinstance(pos, np.ndarray) else row_key.bitwiseXOR(F.shiftleft(pos.cast("bigint"), 32))
+
+
+def _stretches(body: DataFrame, id_kind: str, least: int, block: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for first, part in chunks(texts):
-                hashes, _, _, bounds = words(part)
-                found = [suffixes_of(hashes[a:b], block, window) for a, b in zip(bounds[:-1], bounds[1:])]
-                source = pa.array(np.repeat(np.arange(first, first + len(part)), [len(x[0]) for x in found]))
-                at, *hashed = (np.concatenate(x) for x in zip(*found))
+            for first, part in chunks(batch.column(2).cast(pa.binary()).to_pylist()):
+                own = Stretches(part, least, block, window)
+                source = pa.array(own.text + first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(source), batch.column(1).take(source), pa.array(at.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in hashed)],
-                    names=["doc_id", "row_key", "pos", "own", *CONTEXT])
+                    [batch.column(0).take(source), batch.column(1).take(source), pa.array(own.pos.astype(np.int32)), pa.array(own.n.astype(np.int32)), pa.array(own.own), pa.array(own.whole)],
+                    names=["doc_id", "row_key", "pos", "n", "own", "whole"])
 
-    return body.mapInArrow(run, f"doc_id {id_kind}, row_key bigint, pos int, own bigint, " + ", ".join(f"{c} bigint" for c in CONTEXT))
+    return body.mapInArrow(run, f"doc_id {id_kind}, row_key bigint, pos int, n int, own bigint, whole bigint")
 
 
-def sorted_neighbours(kept: DataFrame, context: list[str], label: str, levels: int | None = None) -> DataFrame:
-    """Places (a, p) and (b, q), the first one earlier, of suffixes next to each other in the array.
+def _windows(body: DataFrame, id_kind: str, repeated: KeyBits, heads: KeyBits, least: int, block: int, window: int) -> DataFrame:
+    """key and place of all windows of the stretches among ``heads``; the few others that the bitmaps let through do no harm."""
 
-    Suffixes that agree in all blocks of the ``context`` are ordered by place and matched with the one before. The first of each such run
-    stands for it among the runs that agree in one block less, and so on: every suffix meets an earlier one of the longest context that
-    has one (``levels``: only so many of the context lengths, longest first). Runs are range-partitioned; a passage that a third of all
-    documents hold is dealt over many tasks.
-    """
-    place = PLACE
-    rows, out = kept.select(*context, *place), None
-    for n in range(len(context), len(context) - (levels or len(context)), -1):
-        own = context[:n]
-        keyed = staged(rows.select(F.xxhash64(*own).alias("key"), *place), f"{label}-{n}")
-        pairs = neighbours_in_order(keyed, ["key", *place], 1 if n == len(context) else 2, f"{label}-neighbours-{n}").select(
-            F.col("one.row_key").alias("a"), F.col("one.pos").alias("p"), F.col("other.row_key").alias("b"), F.col("other.pos").alias("q"))
-        out = pairs if out is None else out.union(pairs)
-        if n > 1:
-            rows = rows.groupBy(*own).agg(F.min(F.struct(*place)).alias("first")).select(*context[: n - 1], "first.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row_key = batch.column(1).to_numpy()
+            for first, part in chunks(batch.column(2).cast(pa.binary()).to_pylist()):
+                own = Stretches(part, least, block, window)
+                wanted = np.flatnonzero(repeated.among(own.own) & heads.among(_place_key(row_key[own.text + first], own.pos)))
+                text, pos, key = own.windows(wanted)
+                source = pa.array(text + first)
+                doc_id = batch.column(0).take(source)
+                yield pa.RecordBatch.from_arrays([pa.array(key), doc_id.is_null(), doc_id, batch.column(1).take(source), pa.array(pos.astype(np.int32))], names=["key", *PLACE])
+
+    return body.mapInArrow(run, f"key bigint, no_id boolean, doc_id {id_kind}, row_key bigint, pos int")
+
+
+def _marks(rows: DataFrame, label: str) -> DataFrame:
+    """row_key and code (first window, number of windows, whether later) of both rows of each pair of neighbours with the same key."""
+    pairs = neighbours_in_order(rows, ["key", *PLACE], 1, label)
     # equal rows are one document
-    return out.where("NOT (a = b AND p = q)")
+    pairs = pairs.where("NOT (one.row_key = other.row_key AND one.pos = other.pos)")
+    n = "{}.n" if "n" in rows.columns else "1"
+
+    def side(of: str, later: int) -> DataFrame:
+        return pairs.selectExpr(f"{of}.row_key", f"shiftleft(cast({of}.pos AS bigint), 32) + 2L * {n.format(of)} + {later} AS code")
+
+    return side("one", 0).union(side("other", 1))
+
+
+def _spans_of(codes: np.ndarray, least: int) -> list[dict]:
+    """Stretches of words of a document from the codes of its repeated windows; a window that is later anywhere is not a first one."""
+    start, n, later = codes >> 32, (codes & 0xFFFFFFFF) >> 1, codes & 1 == 1
+    end = int((start + n).max())
+    marks = np.zeros((2, end + 1), np.int64)
+    for row in (0, 1):
+        np.add.at(marks[row], start[later == row], 1)
+        np.add.at(marks[row], (start + n)[later == row], -1)
+    first, again = np.cumsum(marks, axis=1) > 0
+    out = []
+    for kind, windows in ((False, first & ~again), (True, again)):
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], windows, [False]]).astype(np.int8)))
+        out += [{"start": a, "end": b, "later": kind} for a, b in merged_spans([(int(a), int(b) + least - 1) for a, b in zip(edges[::2], edges[1::2])])]
+    return out
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +144,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
     remove; where it is false the passage is the first of its kind. Passages are compared by words, so blanks do not count. Repeats inside
     one document count. Rows that agree in id and text are one document. Null and short texts give nothing, an empty table no rows.
 
-    ``window + block - 1`` may not exceed ``least``: then every repeat of ``least`` words holds a common kept suffix.
+    A minimiser is the smallest of ``window`` hashes of ``block`` words; ``window + block - 1`` may not exceed ``least``, so that it lies
+    inside a passage. Every repeat is found; passages are told apart by 64-bit hashes.
     """
     if window + block - 1 > least:
         raise ValueError("window + block - 1 may not exceed least")
@@ -134,39 +153,26 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
     text = text_of(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     body = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
-    kept = staged(_kept_suffixes(body, kind, block, window), "suffixes")
-    # blocks that stand once go no further
-    repeated = key_filter(kept.groupBy("own").agg(F.count("*").alias("n")).where("n > 1"), "own")
-    every, kept = kept, staged(kept.where(repeated("own")).withColumn("no_id", F.col("doc_id").isNull()), "repeated-suffixes")
+    every = staged(_stretches(body, kind, least, block, window), "stretches")
+    # minimisers that stand once go no further
+    repeated = key_bits(every.groupBy("own").agg(F.count("*").alias("n")).where("n > 1"), "own")
+    kept = rows_among(every, repeated, "own").select(F.col("whole").alias("key"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "pos", "n")
+    kept = staged(kept, "repeated-stretches")
     discard(every)
-    # suffixes that agree on both sides are chained once; the first of each such group goes into the two orders
-    alike = sorted_neighbours(kept, ["own", *CONTEXT], "alike", levels=1)
-    heads = staged(kept.groupBy("own", *CONTEXT).agg(F.min(F.struct(*PLACE)).alias("first")).select("own", *CONTEXT, "first.*"), "heads")
-    pairs = alike.union(sorted_neighbours(heads, ["own", *CONTEXT[:2]], "right")).union(sorted_neighbours(heads, ["own", *CONTEXT[2:]], "left"))
-    pairs = staged(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("starts")), "suffix-pairs")
-
-    # word hashes of the documents that are in a pair, once per document
-    nodes = staged(pairs.select(F.col("a").alias("row_key")).union(pairs.select(F.col("b").alias("row_key"))).distinct(), "suffix-documents")
-    needed = staged(rows_among(body, nodes, "row_key").join(nodes, "row_key", "left_semi").dropDuplicates(["row_key"]), "suffix-texts")
-    one, other = needed.select(F.col("row_key").alias("a"), F.col("text").alias("x")), needed.select(F.col("row_key").alias("b"), F.col("text").alias("y"))
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    heads = kept.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first")).select(_place_key(F.col("first.row_key"), F.col("first.pos")).alias("place"))
+    windows = staged(_windows(body, kind, repeated, key_bits(heads, "place"), least, block, window), "windows")
+    codes = _marks(kept, "equal-stretches").union(_marks(windows, "equal-windows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, starts = (batch.column(i).to_pylist() for i in range(3))
-            one, other = (batch.column(i).cast(pa.binary()).to_pylist() for i in (3, 4))
-            rows = []
-            for i in range(len(a)):
-                x = words([one[i]])[0]
-                y = x if a[i] == b[i] else words([other[i]])[0]
-                for p, q, n in extended(x, y, [(s["p"], s["q"]) for s in starts[i]], block, least, a[i] == b[i]):
-                    rows += [(a[i], p, p + n, False), (b[i], q, q + n, True)]
-            columns = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=["row_key", "start", "end", "later"])
-
-    matches = pairs.join(one, "a").join(other, "b").select("a", "b", "starts", "x", "y").mapInArrow(match, "row_key bigint, start int, end int, later boolean")
-    # what one document takes part in is bounded by its own suffixes
-    spans = staged(matches.distinct().groupBy("row_key").agg(F.collect_list(F.struct("start", "end", "later")).alias("spans")), "spans")
-    discard(kept, heads, pairs, nodes, needed)
+            spans = [_spans_of(x.values.to_numpy(), least) for x in batch.column(1)]
+            struct = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("later", pa.bool_())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(struct))], names=["row_key", "spans"])
+
+    # what one document takes part in is bounded by its own windows
+    spans = codes.groupBy("row_key").agg(F.collect_set("code").alias("codes")).mapInArrow(run, "row_key bigint, spans array<struct<start:int,end:int,later:boolean>>")
+    spans = staged(spans, "spans")
+    discard(kept, windows)
     return spans
 
 

@@ -300,3 +300,28 @@ def test_key_filter_rejects_no_key(spark):
 
 def test_lower_table():
     assert bytes(range(256)).translate(LOWER).count(b"a") == 2
+
+
+@pytest.mark.parametrize("members", [3, 30, 200])
+def test_passages_of_families_that_share_less(spark, members):
+    """Cores of just under 50 words with different words around them hide no repeat that goes on to one side."""
+    r = random.Random(members)
+    rows = []
+    for family in range(4):
+        core = [f"f{family}c{i}" for i in range(45 + family + family // 3)]
+        sides = [([f"l{family}v{v}w{i}" for i in range(40)], [f"r{family}v{v}w{i}" for i in range(40)]) for v in range(members)]
+        for left, right in sides:
+            rows.append(" ".join(left + core + right))
+        for left, right in r.sample(sides, max(2, members // 4)):
+            n = r.randint(1, 12)
+            fresh = [f"x{r.randint(0, 10**9)}" for _ in range(60)]
+            rows.append(" ".join(fresh[:30] + left[-n:] + core + fresh[30:] if r.random() < 0.5 else fresh[:30] + core + right[:n] + fresh[30:]))
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    texts, later, _ = brute_passages(rows, 50)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {x.doc_id: x.text.split() for x in marked(df, repeated_passages(df)).select("document.doc_id", "text").collect()}
+    assert sum(map(len, later.values())) > 0
+    for t, ((_, i), text) in enumerate(texts):
+        w = text.split()
+        assert got[i] == [w[k] for k in range(len(w)) if k not in later[t]]
