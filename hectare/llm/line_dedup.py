@@ -2,12 +2,14 @@
 
 A line is compared as its lower-case words with one blank between them; shingles are its eight-byte stretches in UTF-8. Every task first
 joins equal lines and, per band value, keeps one line and links its others to it, so a line that a third of all documents repeat (or
-vary) leaves a task once per band.
+vary) leaves a task once per band. Lines of one band value that these links leave in different components are then compared exactly, in
+blocks inside the tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, key_bits, key_filter, prepare, staged, text_of
+from .common import discard, key_bits, key_filter, prepare, rows_among, staged, text_of
 from .graph import components
 from .hashing import CHUNK, LOWER, MinHash, common_size, distinct, mixed
 
@@ -202,6 +204,69 @@ def similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def links_among(lines: list[bytes], root: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between lines of ``left`` and of ``right`` (positions) that join all their components that a similar pair joins: every pair
+    of different components is compared exactly."""
+    values, starts = stretches(lines)
+    sets = [distinct(x) for x in np.split(values, starts[1:])]
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    has, root = np.zeros(int(ids.max()) + 1, np.uint8), root.copy()
+    theirs, starts = np.concatenate([ids[begin[j] : begin[j + 1]] for j in right]), np.concatenate([[0], np.cumsum(size[right])[:-1]])
+    for i in left:
+        if (root[right] == root[i]).all():
+            continue
+        own = ids[begin[i] : begin[i + 1]]
+        has[own] = 1
+        both = np.add.reduceat(has[theirs], starts, dtype=np.int64)
+        has[own] = 0
+        for j in right[100 * both >= percent * (size[i] + size[right] - both)]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                yield i, j
+
+
+def crowded_links(lines: DataFrame, label: DataFrame, percent: int, bands: int, rows: int, block: int = 2048) -> DataFrame:
+    """Links (a, b) between components of ``label`` (node, root) that have similar lines with a common band value.
+
+    The lines of a band value are compared in blocks of about ``block`` inside the tasks; what leaves them is at most one link per line.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = MinHash(bands * rows, seed=31)
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_values(batch.column(1).to_pylist(), hashed, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["key", "node"])
+
+    signs = lines.select("node", "line").mapInArrow(sign, "key bigint, node bigint").join(label, "node", "left")
+    signs = staged(signs.select("key", "node", F.coalesce("root", "node").alias("root")), "line-bands")
+    # two lines have met already
+    full = signs.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low <> high")
+    full = staged(full.select("key", "n"), "line-crowded")
+    blocks = F.ceil(F.col("n") / block)
+    members = rows_among(signs, full, "key").join(full, "key").join(lines, "node")
+    members = members.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    members = members.select("key", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own", "node", "root", "line")
+    members = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (_, low, high), group in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["key"], r["low"], r["high"])):
+            group = list(group)
+            own, root = np.array([r["own"] for r in group]), np.array([r["root"] for r in group])
+            left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            if len(left) and len(right):
+                out += [(group[i]["node"], group[j]["node"]) for i, j in links_among([r["line"] for r in group], root, left, right, percent)]
+        a, b = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    found = staged(members.mapInArrow(run, "a bigint, b bigint").distinct(), "line-crowded-links")
+    discard(signs, full)
+    return found
+
+
 def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = 10, rows: int = 3, parts: int | None = None, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """Every input row with its columns as the struct ``document`` and n_lines, n_kept and the deduplicated ``text``.
@@ -209,8 +274,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = 10, rows: int =
     Lines end at a line feed. Of each component of similar lines the occurrence with the smallest id (null last), then the smallest row
     hash and position, stays; all others go with their line feed. Blank lines are never compared and stay where another line stays.
     Rows that agree in id and text count as one document and get the same result. Null texts count as empty; an empty table gives no
-    rows. A pair at the threshold is found with probability 1 - (1 - 0.8^rows)^bands (0.9992 with the defaults); lines are told apart by
-    64-bit keys.
+    rows. A pair at the threshold has a common band value with probability 1 - (1 - 0.8^rows)^bands (0.9992 with the defaults), and every
+    pair of different components that has one is checked exactly, however crowded the value is; lines are told apart by 64-bit keys.
     """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
@@ -223,8 +288,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = 10, rows: int =
     nodes = staged(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct(), "line-nodes")
     lines = staged(_texts_of(body, nodes), "line-texts")
     links = staged(similar(edges, lines, percent), "line-links")
-    discard(edges, nodes, lines)
-    roots = staged(components(links), "line-roots")
+    discard(edges, nodes)
+    first = staged(components(links), "line-first-roots")
+    more = crowded_links(lines, first, percent, bands, rows)
+    # links between the first components join their roots
+    roots = staged(components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "line-roots")
+    discard(lines, first, more)
 
     occurrence = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"), F.col("pos"))
     classes = lined.groupBy("node").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last"))

@@ -325,3 +325,28 @@ def test_passages_of_families_that_share_less(spark, members):
     for t, ((_, i), text) in enumerate(texts):
         w = text.split()
         assert got[i] == [w[k] for k in range(len(w)) if k not in later[t]]
+
+
+def test_crowded_bands_lose_no_line(spark):
+    """Lines of one template, most pairs below the threshold: the components are those of brute force over all pairs with a common band."""
+    r = random.Random(6)
+    template = [r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(160)]
+
+    def varied(line, n):
+        line = list(line)
+        for at in r.sample(range(len(line)), n):
+            line[at] = r.choice("0123456789")
+        return line
+
+    lines = [varied(template, 3) for _ in range(150)]
+    lines += [varied(x, 1) for x in lines]
+    rows = list(enumerate("".join(x) for x in lines))
+    r.shuffle(rows)
+    occurrences, found, g = line_groups(rows)
+    first = {}
+    for i, line in enumerate(found):
+        first[g.root(i)] = min(first.get(g.root(i), (True, 0)), min(occurrences[line])[0])
+    assert len(first) > 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = {x.doc_id for x in dedup_lines(df, bands=40).where("n_kept = 1").select("document.doc_id").collect()}
+    assert got == {i for _, i in first.values()}
