@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import discard, prepare, rows_among, staged, text_of, with_row_key
 from .graph import components
-from .hashing import LOWER, MinHash, chunks, common_size, shingle_sets
+from .hashing import LOWER, MinHash, chunks, common_size, mixed, shingle_sets
 
 SKETCH_BITS = 2048
+# candidates with fewer shingles are cheap to check on the full sets
+SMALL_SET = 64
 SIGNED_SCHEMA = "n_shingles bigint, set_a bigint, set_b bigint, signature binary"
 
 
@@ -113,6 +115,12 @@ def neighbours(reps: DataFrame, trees: int, depth: int, least_depth: int, reach:
     return pairs.unionByName(across).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
+def sketched(minima: np.ndarray) -> np.ndarray:
+    """One bit per minimum, packed; each permutation mixes on its own, so that the bits of two different elements agree independently."""
+    own = np.arange(minima.shape[1], dtype=np.uint64) << np.uint64(32)
+    return np.packbits((mixed(minima.astype(np.uint64) | own) & np.uint64(1)).astype(bool), axis=1)
+
+
 def likely(one: np.ndarray, other: np.ndarray, one_size: np.ndarray, other_size: np.ndarray, percent: int) -> np.ndarray:
     """Whether rows of sketches can be linked: the sizes allow it and the estimate is within five deviations of the threshold."""
     least = percent / 100
@@ -176,7 +184,7 @@ def _texts(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> Dat
                 own = list(shingle_sets(part, words))
                 starts = np.concatenate([[0], np.cumsum([len(x) for x in own])[:-1]]).astype(np.int64)
                 minima = hashed.of(np.concatenate(own) >> np.uint64(32), starts)
-                sketches += [x.tobytes() for x in np.packbits((minima & 1).astype(bool), axis=1)]
+                sketches += [x.tobytes() for x in sketched(minima)]
                 sets += own
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "items": pa.array([x.tobytes() for x in sets], pa.binary()),
                                               "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "sketch": pa.array(sketches, pa.binary())})
@@ -186,12 +194,13 @@ def _texts(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> Dat
 
 
 def likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches do not rule a link out."""
+    """The pairs whose sketches do not rule a link out, and all of small sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 6))
-            keep = likely(x, y, batch.column(3).to_numpy(), batch.column(5).to_numpy(), percent) if batch.num_rows else np.zeros(0, bool)
+            one, other = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            keep = likely(x, y, one, other, percent) | (np.minimum(one, other) < SMALL_SET) if batch.num_rows else np.zeros(0, bool)
             yield batch.select([0, 1, 2]).filter(pa.array(keep))
 
     def of(node: str) -> DataFrame:

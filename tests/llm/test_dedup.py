@@ -15,6 +15,7 @@ from hectare.llm.graph import components
 from hectare.llm.hashing import LOWER, MinHash, common_size, shingle_sets, words
 from hectare.llm.line_dedup import compared_lines, dedup_lines, starred, stretches
 from hectare.llm.near_dedup import near_components, without_near_duplicates
+from hectare.llm.near_dedup import SKETCH_BITS, likely, sketched
 from hectare.llm.suffix_dedup import marked, merged_spans, minimisers, repeated_passages
 from hectare.session import scratch_path
 
@@ -350,3 +351,34 @@ def test_crowded_bands_lose_no_line(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
     got = {x.doc_id for x in dedup_lines(df, bands=40).where("n_kept = 1").select("document.doc_id").collect()}
     assert got == {i for _, i in first.values()}
+
+
+def test_sketches_of_short_texts_rule_no_link_out():
+    r = random.Random(9)
+    hashed = MinHash(SKETCH_BITS, seed=53)
+    for percent, n, m in ((85, 7, 6), (85, 14, 12), (85, 20, 17), (80, 5, 4), (80, 10, 8), (80, 20, 16)):
+        for _ in range(60):
+            x = np.array([r.randrange(1 << 32) for _ in range(n)], np.uint64)
+            one, other = sketched(hashed.of(np.concatenate([x, x[:m]]), np.array([0, n]))).view(np.uint64)
+            assert likely(one, other, np.array(n), np.array(m), percent)
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_of_short_texts(spark, percent):
+    r = random.Random(percent)
+    texts = []
+    for _ in range(150):
+        w = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(5, 30))]
+        texts += [" ".join(w), " ".join(w[:-1] if r.random() < 0.5 else w[1:]), " ".join([*w, "more"])]
+    sets = [shingle_set(t) for t in texts]
+    g = Groups(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                g.join(i, j)
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(g.root(i), i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in near_components(df, percent=percent, least_depth=2).collect()}
+    assert got == {i: least[g.root(i)] for i in range(len(texts))}
