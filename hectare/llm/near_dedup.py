@@ -235,7 +235,8 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 5, trees: i
     keeps its smallest id. Empty and null texts have no shingles and are linked with nothing. Equal sets are one node, so copies need no
     pairs. Rows that repeat an id keep it together; null ids count only where a component has no other. An empty table gives no rows.
 
-    A pair at the threshold shares a region with probability 1 - (1 - 0.85^least_depth)^trees (0.999993 with the defaults); every pair
+    A pair at the threshold shares a region with probability 1 - (1 - 0.85^least_depth)^trees (0.999993 with the defaults; with
+    percent 80 1 - (1 - 0.8^least_depth)^trees = 0.99978); every pair
     of different components that shares a region is checked exactly.
     """
     prepare(docs.sparkSession)
