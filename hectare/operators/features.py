@@ -46,9 +46,9 @@ def fit_score(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
 
 def apply_score(df: DataFrame, params: DataFrame, parts: dict[str, Column], weights: dict[str, float], out: str) -> DataFrame:
     """100 × weighted sum of the min-max scaled parts; new data are clipped to the fitted range."""
-    p = one_row(params)
+    p = F.col("_ends")
     total = sum((minmax(parts[n], p, n) * w for n, w in weights.items()), F.lit(0.0))
-    return df.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(100.0), total * 100)))
+    return df.withColumn("_ends", one_row(params)).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(100.0), total * 100))).drop("_ends")
 
 
 def air_score(df: DataFrame, params: DataFrame, pollutants: list[str], out: str = "air_quality_score") -> DataFrame:

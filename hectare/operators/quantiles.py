@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import col
+from ..functions.numbers import one_row
 
 # Cells per factor of e, and the size from which the scale is logarithmic.
 CELLS, FINEST = 4096, 2.0**-20
@@ -30,48 +31,57 @@ def cell_of(value: Column) -> Column:
 
 
 def group_agg(df: DataFrame, keys: list[str], aggs: list[Column] = (), quantiles: dict | None = None) -> DataFrame:
-    """``groupBy(keys).agg(*aggs)`` plus exact linear-interpolated quantiles ``{out: (value, p)}``.
+    """``groupBy(keys).agg(*aggs)`` plus exact linear-interpolated quantiles ``{out: (value, p)}``, all of them from one ranking.
 
     ``keys`` may be empty (one row). Null and NaN values are ignored by the quantiles; groups without values get null.
     """
-    quantiles = {name: (col(v), p) for name, (v, p) in (quantiles or {}).items()}
     out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct() if keys else None
     by_value: dict[str, tuple[Column, dict[str, float]]] = {}
-    for name, (value, p) in quantiles.items():
-        by_value.setdefault(str(value), (value, {}))[1][name] = p
-    for value, ps in by_value.values():
-        found = quantiles_by_rank(df, keys, value, ps)
-        if keys:
-            out = join_groups(out, found, keys)
-        else:  # one row
-            out = found if out is None else out.withColumns({name: found.select(name).scalar() for name in ps})
-    return out
-
-
-def quantiles_by_rank(df: DataFrame, keys: list[str], value: Column, ps: dict[str, float]) -> DataFrame:
-    """Exact quantiles ``{out: p}`` of one value, per group that has a value; one row (of nulls, if need be) without keys."""
-    v = value.cast("double")
-    rows = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counted = rows.groupBy(*keys, cell_of(F.col("_v")).alias("_cell"), "_v").agg(F.count(F.lit(1)).alias("_c"))
-    in_order = Window.partitionBy(*keys).orderBy("_cell")
-    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_in"))
-    cells = cells.withColumns({"_before": F.sum("_in").over(in_order) - F.col("_in"), "_n": F.sum("_in").over(Window.partitionBy(*keys))})
-    positions = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in ps.items()}
-    ranks = F.array_distinct(F.array(*[side(x).cast("bigint") for x in positions.values() for side in (F.floor, F.ceil)]))
+    for name, (v, p) in (quantiles or {}).items():
+        by_value.setdefault(str(col(v)), (col(v), {}))[1][name] = p
+    if not by_value:
+        return out
+    found = quantiles_by_rank(df, keys, list(by_value.values()))
+    if keys:
+        return join_groups(out, found, keys)
+    if out is None:
+        return found.select(*quantiles)
+    # one row beside one row
+    return out.withColumn("_q", one_row(found)).select(*out.columns, *[F.col(f"_q.{name}").alias(name) for name in quantiles])
+
+
+def quantiles_by_rank(df: DataFrame, keys: list[str], values: list[tuple[Column, dict[str, float]]]) -> DataFrame:
+    """Exact quantiles ``(value, {out: p})`` of several values, per group that has a value; one row (of nulls, if need be) without keys.
+
+    The values are stacked as rows (number of the value, group, cell), so one count and one ranking serve them all.
+    """
+    doubles = [v.cast("double") for v, _ in values]
+    stacked = F.posexplode(F.array(*doubles)).alias("_k", "_v")
+    rows = df.select(*keys, stacked) if len(values) > 1 else df.select(*keys, F.lit(0).alias("_k"), doubles[0].alias("_v"))
+    group = [*keys, "_k"]
+    counted = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*group, cell_of(F.col("_v")).alias("_cell"), "_v").agg(F.count(F.lit(1)).alias("_c"))
+    in_order = Window.partitionBy(*group).orderBy("_cell")
+    cells = counted.groupBy(*group, "_cell").agg(F.sum("_c").alias("_in"))
+    cells = cells.withColumns({"_before": F.sum("_in").over(in_order) - F.col("_in"), "_n": F.sum("_in").over(Window.partitionBy(*group))})
+    at = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    wanted = [F.array(*[side(at(p)).cast("bigint") for p in ps.values() for side in (F.floor, F.ceil)]) for _, ps in values]
+    ranks = F.array_distinct(F.array(*wanted)[F.col("_k")])
     here = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
-    needed = cells.withColumn("_ranks", here).filter(F.size("_ranks") > 0).select(*keys, "_cell", "_before", "_n", "_ranks")
-    by_value = Window.partitionBy(*keys, "_cell").orderBy("_v")
+    needed = cells.withColumn("_ranks", here).filter(F.size("_ranks") > 0).select(*group, "_cell", "_before", "_n", "_ranks")
+    by_value = Window.partitionBy(*group, "_cell").orderBy("_v")
     picked = (
-        join_groups(counted, needed, [*keys, "_cell"], "inner")
+        join_groups(counted, needed, [*group, "_cell"], "inner")
         .withColumn("_upto", F.col("_before") + F.sum("_c").over(by_value))
         .withColumn("_rank", F.explode("_ranks"))
         .filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
     )
-    at = {}
-    for name, x in positions.items():
-        low, high = (F.max(F.when(F.col("_rank") == side(x).cast("bigint"), F.col("_v"))) for side in (F.floor, F.ceil))
-        at[name] = low + (high - low) * F.max(x - F.floor(x))
-    return picked.groupBy(*keys).agg(*[x.alias(name) for name, x in at.items()])
+    out = []
+    for k, (_, ps) in enumerate(values):
+        own = F.col("_k") == k
+        for name, p in ps.items():
+            low, high = (F.max(F.when(own & (F.col("_rank") == side(at(p)).cast("bigint")), F.col("_v"))) for side in (F.floor, F.ceil))
+            out.append((low + (high - low) * F.max(F.when(own, at(p) - F.floor(at(p))))).alias(name))
+    return picked.groupBy(*keys).agg(*out)
 
 
 def value_at_rank(rows: DataFrame, value: str, rank: int, weight: str | None = None) -> tuple[int, int] | None:

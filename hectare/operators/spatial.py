@@ -1,11 +1,13 @@
 """Nearest points and counts within a radius, as equi-joins on a pyramid of grid cells.
 
-The points are grouped into cells of a grid that gets four times finer per level and side. Each cell row carries its
-counts and the tight box around its points; the finest level also carries the points. The cell tables are written to the
-shared folder once per call, so the walk's plan stays short and a lost executor does not rebuild them. A query point walks down the
-levels by equi-joins on the cell: cells that cannot matter are dropped, cells that lie wholly inside the radius are
-counted from their totals, only the rest is opened. So a cell that holds a third of all points costs no more than its
-border, copies of one location are merged beforehand, and no task ever sees all pairs of a crowded area.
+``index_points`` stores a point set once: copies of a location are merged, locations are grouped into cells of a grid that gets four
+times finer per level and side, and each coarser level is summed up from the finest one. A cell row carries its counts and the tight box
+around its points; the finest level also carries the points. The tables lie in the shared folder, so a walk's plan stays short and a
+lost executor does not rebuild them; one index serves any number of look-ups, with any metric, radius and stratum.
+
+A query point walks down the levels by equi-joins on the cell: cells that cannot matter are dropped, cells that lie wholly inside the
+radius are counted from their totals, only the rest is opened. So a cell that holds a third of all points costs no more than its
+border, and no task ever sees all pairs of a crowded area.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, METRICS
-from ..session import scratch_path
+from ..session import discard, stored
 
 FAN = 4  # cells per side and level
 LEAF_SIZE = 24  # distinct locations a finest cell should hold at most
 MAX_LEVEL = 13  # about 1 mm for a city: below it, more levels cannot separate locations
 DISTANCE_ONLY = "_one"  # id column of callers that want no attributes
-SLACK = 1e-9  # relative safety margin of cell bounds; exact tests are always made on points
+SLACK = 4e-9  # relative safety margin of cell bounds; exact tests are always made on points
 
 
 @dataclass
@@ -55,8 +57,9 @@ def located(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.filter(ok)
 
 
-def _query_places(subjects: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Distinct query locations, spread over all shuffle partitions.
+def query_places(subjects: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Distinct query locations, spread over all shuffle partitions. Several look-ups for one table can share them (``places``); then
+    each look-up's plan holds the table's own plan once, not all look-ups before it.
 
     The table is small beside the rows the walk makes of it, so adaptive coalescing would put it into a few tasks; a
     repartition by number is left alone.
@@ -65,54 +68,79 @@ def _query_places(subjects: DataFrame, lat: str, lon: str) -> DataFrame:
     return located(subjects, lat, lon).select(F.col(lat).alias("_sy"), F.col(lon).alias("_sx")).distinct().repartition(n, "_sy", "_sx")
 
 
-def fit_grid(points: DataFrame, leaf_size: int = LEAF_SIZE) -> Grid | None:
-    """Choose the depth at which no cell holds more than ``leaf_size`` locations. ``points`` has _y, _x."""
-    e = points.agg(F.count(F.lit(1)).alias("n"), F.min("_y").alias("y0"), F.max("_y").alias("y1"),
-                   F.min("_x").alias("x0"), F.max("_x").alias("x1")).first()
-    if not e["n"]:
-        return None
-    span = max(e["y1"] - e["y0"], e["x1"] - e["x0"], 1e-6) * (1 + 1e-9)
-    lat_abs = max(abs(e["y0"]), abs(e["y1"]))
-    level = min(MAX_LEVEL, max(1, math.ceil(math.log(max(e["n"] / leaf_size, 1), FAN ** 2))))
-    while level < MAX_LEVEL:
-        grid = Grid(e["y0"], e["x0"], span, level, lat_abs)
-        fullest = (
-            points.groupBy(grid.row(F.col("_y"), grid.lat0, level).alias("iy"),
-                           grid.row(F.col("_x"), grid.lon0, level).alias("ix"))
-            .count().agg(F.max("count")).first()[0]
-        )
-        if fullest <= leaf_size:
-            break
-        level = min(MAX_LEVEL, level + max(1, math.ceil(math.log(fullest / leaf_size, FAN ** 2) - 0.5)))
-    return Grid(e["y0"], e["x0"], span, level, lat_abs)
+def _first_depth(n: int, leaf_size: int) -> int:
+    return min(MAX_LEVEL, max(1, math.ceil(math.log(max(n / leaf_size, 1), FAN ** 2))))
+
+
+@dataclass
+class PointIndex:
+    """A stored point set: its pyramid, the names it counts, the id and columns of its points and how many it keeps per location."""
 
+    grid: Grid | None
+    levels: dict[int, DataFrame]
+    names: list[str]
+    p_id: str
+    cols: list[str]
+    keep: int
+    empty: DataFrame
 
-def _stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def index_points(points: DataFrame, counts: dict[str, Column] | None = None, lat: str = "lat", lon: str = "lon", p_id: str | None = None,
+                 cols: list[str] = (), keep: int = 1, leaf_size: int = LEAF_SIZE) -> PointIndex:
+    """Store a point set for ``nearest_k``, ``nearest_strata`` and ``count_within``; three jobs, one more where points crowd.
 
-def _pyramid(spots: DataFrame, grid: Grid, sums: list[str], payload: list[str]) -> dict[int, DataFrame]:
-    """Cell tables per level; the finest also holds its points. Coarser levels come from one pass over the locations."""
+    ``counts``: conditions to count, or to look for the nearest of, by name. With ``p_id`` the points with the ``keep`` smallest ids of
+    each location are kept with their ``cols``. Points without coordinates are left out.
+    """
+    counts, p_id = counts or {}, p_id or DISTANCE_ONLY
+    pts = located(points if p_id != DISTANCE_ONLY else points.withColumn(DISTANCE_ONLY, F.lit(0)), lat, lon).select(
+        F.col(lat).alias("_y"), F.col(lon).alias("_x"), F.struct(F.col(p_id).alias("_id"), F.struct(*cols or [p_id]).alias("_row")).alias("_r"), *[c.alias(n) for n, c in counts.items()])
+    totals = [F.count_if(F.col(n)).alias(n) for n in counts]
+    if keep == 1:  # one partial aggregate
+        spots = pts.groupBy("_y", "_x").agg(F.array(F.min("_r")).alias("rows"), *totals)
+    else:
+        first = pts.withColumn("_rn", F.row_number().over(Window.partitionBy("_y", "_x").orderBy("_r._id"))).filter(F.col("_rn") <= keep)
+        spots = first.groupBy("_y", "_x").agg(F.array_sort(F.collect_list("_r")).alias("rows"))
+        if totals:
+            spots = spots.join(pts.groupBy("_y", "_x").agg(*totals), ["_y", "_x"])
+    spots, e = stored(spots.withColumn("_n", F.size("rows").cast("bigint")), "spots", seen={
+        "n": F.count(F.lit(1)), "y0": F.min("_y"), "y1": F.max("_y"), "x0": F.min("_x"), "x1": F.max("_x")})
+    about = dict(names=list(counts), p_id=p_id, cols=list(cols), keep=keep, empty=spots)
+    if not e["n"]:
+        return PointIndex(None, {}, **about)
+    span = max(e["y1"] - e["y0"], e["x1"] - e["x0"], 1e-6) * (1 + 1e-9)
     box = [F.min("_y").alias("y0"), F.max("_y").alias("y1"), F.min("_x").alias("x0"), F.max("_x").alias("x1")]
-    keyed = spots.withColumns({"iy": grid.row(F.col("_y"), grid.lat0, grid.depth), "ix": grid.row(F.col("_x"), grid.lon0, grid.depth)})
-    finest = keyed.groupBy("iy", "ix").agg(*box, *[F.sum(c).alias(c) for c in sums],
-                                           F.collect_list(F.struct("_y", "_x", *sums, *payload)).alias("pts"))
-    levels = {grid.depth: _stored(finest, "cells")}
-    if grid.depth > 1:
-        up = lambda c: F.floor(F.col(c) / F.pow(F.lit(float(FAN)), F.lit(grid.depth) - F.col("level"))).cast("bigint").alias(c)
-        spread = keyed.select(F.explode(F.sequence(F.lit(1), F.lit(grid.depth - 1))).alias("level"), "iy", "ix", "_y", "_x", *sums)
-        coarse = spread.select("level", up("iy"), up("ix"), "_y", "_x", *sums).groupBy("level", "iy", "ix").agg(
-            *box, *[F.sum(c).alias(c) for c in sums])
-        table = _stored(coarse, "levels", by="level")
-        levels |= {n: table.filter(F.col("level") == n).drop("level") for n in range(1, grid.depth)}
-    return levels
+    sums = ["_n", *counts]
+    depth = _first_depth(e["n"], leaf_size)
+    while True:
+        grid = Grid(e["y0"], e["x0"], span, depth, max(abs(e["y0"]), abs(e["y1"])))
+        cell = [grid.row(F.col("_y"), grid.lat0, depth).alias("iy"), grid.row(F.col("_x"), grid.lon0, depth).alias("ix")]
+        finest = spots.groupBy(*cell).agg(*box, *[F.sum(c).alias(c) for c in sums], F.collect_list(F.struct("_y", "_x", "rows", *counts)).alias("pts"))
+        table, most = stored(finest.withColumns(_cosines()), "cells", seen={"fullest": F.max(F.size("pts"))})
+        if most["fullest"] <= leaf_size or depth == MAX_LEVEL:
+            break
+        discard(table)
+        depth = min(MAX_LEVEL, depth + max(1, math.ceil(math.log(most["fullest"] / leaf_size, FAN ** 2) - 0.5)))
+    discard(spots)
+    levels = {depth: table}
+    if depth > 1:
+        up = lambda c: F.floor(F.col(c) / F.pow(F.lit(float(FAN)), F.lit(depth) - F.col("level"))).cast("bigint").alias(c)
+        spread = table.drop("pts").withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(depth - 1))))
+        ends = [F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1")]
+        coarse = spread.groupBy("level", up("iy"), up("ix")).agg(*ends, *[F.sum(c).alias(c) for c in sums])
+        above, _ = stored(coarse.withColumns(_cosines()), "levels", by="level")
+        levels |= {n: above.filter(F.col("level") == n).drop("level") for n in range(1, depth)}
+    return PointIndex(grid, levels, **about)
+
+
+def _cosines() -> dict[str, Column]:
+    """Smallest and largest cosine of the latitudes of a box."""
+    a, b = F.cos(F.radians("y0")), F.cos(F.radians("y1"))
+    return {"c0": F.least(a, b), "c1": F.when((F.col("y0") <= 0) & (F.col("y1") >= 0), F.lit(1.0)).otherwise(F.greatest(a, b))}
 
 
 def _bounds(metric: str) -> tuple[Column, Column]:
-    """Smallest and largest possible distance from (_sy, _sx) to the box of a cell."""
+    """Smallest and largest possible distance from (_sy, _sx) to the box of a cell, on the scale of ``_on_scale``."""
     y, x = F.col("_sy"), F.col("_sx")
     zero = F.lit(0.0)
     near_y = F.greatest(zero, F.col("y0") - y, y - F.col("y1"))
@@ -120,25 +148,27 @@ def _bounds(metric: str) -> tuple[Column, Column]:
     far_y = F.greatest(F.abs(y - F.col("y0")), F.abs(y - F.col("y1")))
     far_x = F.greatest(F.abs(x - F.col("x0")), F.abs(x - F.col("x1")))
     if metric == "flat":
-        lo = F.sqrt(near_y * near_y + near_x * near_x) * METRES_PER_DEGREE
-        hi = F.sqrt(far_y * far_y + far_x * far_x) * METRES_PER_DEGREE
+        lo, hi = (F.pow(dy, F.lit(2.0)) + F.pow(dx, F.lit(2.0)) for dy, dx in ((near_y, near_x), (far_y, far_x)))
     else:
-        c0, c1 = F.cos(F.radians("y0")), F.cos(F.radians("y1"))
-        widest = F.when((F.col("y0") <= 0) & (F.col("y1") >= 0), F.lit(1.0)).otherwise(F.greatest(c0, c1))
-
-        def arc(dy, dx, c):
-            a, b = F.sin(F.radians(dy) / 2), F.sin(F.radians(dx) / 2)
-            inner = a * a + F.cos(F.radians(y)) * c * b * b
-            return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), inner)))
-
-        # across the border at 180 degrees the shorter way counts
+        half = lambda d: F.pow(F.sin(F.radians(d) / 2), F.lit(2.0))
+        arc = lambda dy, dx, c: half(dy) + F.cos(F.radians(y)) * F.col(c) * half(dx)
+        # only a box that can be reached across the border at 180 degrees needs the shorter way
         way = lambda dx: F.least(dx, 360 - dx)
         shortest = F.greatest(zero, F.least(way(near_x), way(far_x)))
         longest = F.when((near_x <= 180) & (far_x >= 180), F.lit(180.0)).otherwise(F.greatest(way(near_x), way(far_x)))
-        lo, hi = arc(near_y, shortest, F.least(c0, c1)), arc(far_y, longest, widest)
+        straight = far_x <= 180
+        lo = F.when(straight, arc(near_y, near_x, "c0")).otherwise(arc(near_y, shortest, "c0"))
+        hi = F.when(straight, arc(far_y, far_x, "c1")).otherwise(arc(far_y, longest, "c1"))
     return lo * (1 - SLACK), hi * (1 + SLACK)
 
 
+def _on_scale(metric: str, radius_m: float) -> float:
+    """A distance as cell bounds are compared: squared degrees, or the squared sine of half the angle; both grow with the distance."""
+    if metric == "flat":
+        return (radius_m / METRES_PER_DEGREE) ** 2
+    return math.sin(min(math.pi / 2, radius_m / (2 * EARTH_RADIUS_M))) ** 2
+
+
 def _children(iy: Column, ix: Column) -> Column:
     return F.transform(
         F.sequence(F.lit(0), F.lit(FAN * FAN - 1)),
@@ -146,49 +176,57 @@ def _children(iy: Column, ix: Column) -> Column:
     )
 
 
-def nearest_k(subjects: DataFrame, points: DataFrame, k: int = 1, metric: str = "flat",
-              lat: str = "lat", lon: str = "lon", p_lat: str = "lat", p_lon: str = "lon",
-              p_id: str = "id", cols: list[str] = (), leaf_size: int = LEAF_SIZE) -> DataFrame:
-    """The k nearest points of each distinct subject location, ties by point id.
-
-    Returns rows (lat, lon, rank, distance_m, <p_id>, *cols); join them back to the subjects by location.
-    """
-    distance = METRICS[metric]
-    places = _query_places(subjects, lat, lon)
-    pts = located(points, p_lat, p_lon).select(F.col(p_lat).alias("_y"), F.col(p_lon).alias("_x"),
-                                               F.col(p_id).alias("_id"), F.struct(*cols or [p_id]).alias("_row"))
-    # A location gives at most k answers: its k smallest ids. One partial aggregate for k = 1.
-    if k == 1:
-        spots = pts.groupBy("_y", "_x").agg(F.array(F.min(F.struct("_id", "_row"))).alias("rows"))
-    else:
-        w = Window.partitionBy("_y", "_x").orderBy("_id")
-        first = pts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-        spots = first.groupBy("_y", "_x").agg(F.array_sort(F.collect_list(F.struct("_id", "_row"))).alias("rows"))
-    spots = _stored(spots.withColumn("n", F.size("rows").cast("bigint")), "spots")
-    grid = fit_grid(spots.select("_y", "_x"), leaf_size)
-    empty = _nearest_columns(spots.select(F.explode("rows").alias("r"), F.col("_y").alias("_sy"), F.col("_x").alias("_sx"),
-                                          F.lit(0).alias("rank"), F.lit(0.0).alias("d")), lat, lon, p_id, cols)
-    if grid is None:
-        return empty.limit(0)
-    levels = _pyramid(spots, grid, ["n"], ["rows"])
+def _walk_nearest(places: DataFrame, index: PointIndex, metric: str, needs: dict[str, int]) -> DataFrame:
+    """(_sy, _sx, pts) of the cells that can hold, for each name in ``needs``, the so many nearest points that it counts."""
     lo, hi = _bounds(metric)
     mine = Window.partitionBy("_sy", "_sx")
     cand = places.withColumn("_c", F.explode(_children(F.lit(0).cast("bigint"), F.lit(0).cast("bigint")))).select("_sy", "_sx", "_c.*")
-    for level in range(1, grid.depth + 1):
-        cells = cand.join(levels[level], ["iy", "ix"]).withColumns({"_lo": lo, "_hi": hi})
-        if k == 1:
-            limit = F.min("_hi").over(mine)
-        else:
-            # the smallest upper bound under which the cells seen so far hold k points (or all of them)
-            upto = F.sum("n").over(mine.orderBy("_hi").rangeBetween(Window.unboundedPreceding, 0))
-            cells = cells.withColumn("_upto", upto).withColumn("_all", F.sum("n").over(mine))
-            limit = F.min(F.when(F.col("_upto") >= F.least(F.lit(k), F.col("_all")), F.col("_hi"))).over(mine)
-        kept = cells.withColumn("_limit", limit).filter(F.col("_lo") <= F.col("_limit"))
-        if level < grid.depth:
+    for level in range(1, index.grid.depth + 1):
+        cells = cand.join(index.levels[level], ["iy", "ix"]).withColumns({"_lo": lo, "_hi": hi})
+        limits = {}
+        for i, (name, k) in enumerate(needs.items()):
+            if k == 1:
+                limits[name] = F.min(F.when(F.col(name) > 0, F.col("_hi"))).over(mine)
+            else:
+                # the smallest upper bound under which the cells seen so far hold k points (or all of them)
+                upto = F.sum(name).over(mine.orderBy("_hi").rangeBetween(Window.unboundedPreceding, 0))
+                cells = cells.withColumn(f"_upto{i}", upto).withColumn(f"_all{i}", F.sum(name).over(mine))
+                limits[name] = F.min(F.when(F.col(f"_upto{i}") >= F.least(F.lit(k), F.col(f"_all{i}")), F.col("_hi"))).over(mine)
+        cells = cells.withColumns({f"_limit{i}": limit for i, limit in enumerate(limits.values())})
+        matters = [(F.col(name) > 0) & (F.col("_lo") <= F.col(f"_limit{i}")) for i, name in enumerate(needs)]
+        kept = cells.filter(_any(matters))
+        if level < index.grid.depth:
             cand = kept.withColumn("_c", F.explode(_children(F.col("iy"), F.col("ix")))).select("_sy", "_sx", "_c.*")
-    opened = kept.select("_sy", "_sx", F.explode("pts").alias("p"))
-    measured = opened.select("_sy", "_sx", F.explode("p.rows").alias("r"),
-                             distance("_sy", "_sx", F.col("p._y"), F.col("p._x")).alias("d"))
+    return kept.select("_sy", "_sx", F.explode("pts").alias("p"))
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def nearest_k(subjects: DataFrame, points: DataFrame | PointIndex, k: int = 1, metric: str = "flat",
+              lat: str = "lat", lon: str = "lon", p_lat: str = "lat", p_lon: str = "lon",
+              p_id: str = "id", cols: list[str] = (), leaf_size: int = LEAF_SIZE, places: DataFrame | None = None) -> DataFrame:
+    """The k nearest points of each distinct subject location, ties by point id.
+
+    Returns rows (lat, lon, rank, distance_m, <p_id>, *cols); join them back to the subjects by location. ``points`` may be a stored
+    index that keeps k or more points per location.
+    """
+    index = points
+    if not isinstance(points, PointIndex):
+        index = index_points(points, None, p_lat, p_lon, p_id, cols, k, leaf_size)
+    elif index.keep < k:
+        raise ValueError("the index keeps fewer points per location")
+    p_id = index.p_id
+    cols = cols or index.cols
+    if index.grid is None:
+        nobody = index.empty.select(F.explode("rows").alias("r"), F.col("_y").alias("_sy"), F.col("_x").alias("_sx"), F.lit(0).alias("rank"), F.lit(0.0).alias("d"))
+        return _nearest_columns(nobody, lat, lon, p_id, cols).limit(0)
+    opened = _walk_nearest((query_places(subjects, lat, lon) if places is None else places), index, metric, {"_n": k})
+    measured = opened.select("_sy", "_sx", F.explode("p.rows").alias("r"), METRICS[metric]("_sy", "_sx", F.col("p._y"), F.col("p._x")).alias("d"))
     if k == 1 and p_id == DISTANCE_ONLY:
         # no id to break ties with: a plain minimum stays a hash aggregate
         nearest = measured.groupBy("_sy", "_sx").agg(F.min("d").alias("d"))
@@ -203,16 +241,34 @@ def nearest_k(subjects: DataFrame, points: DataFrame, k: int = 1, metric: str =
     return _nearest_columns(ranked, lat, lon, p_id, cols)
 
 
+def nearest_strata(subjects: DataFrame, index: PointIndex, out: dict[str, str], metric: str = "flat", log: bool = False, lat: str = "lat", lon: str = "lon",
+                   places: DataFrame | None = None) -> DataFrame:
+    """Attach, per output column, the distance in metres to the nearest point that a name of the index counts; all in one walk.
+
+    Subjects without coordinates, and names that count no point, get null.
+    """
+    if index.grid is None:
+        found = subjects.withColumns({c: F.lit(None).cast("double") for c in out})
+    else:
+        names = {name: f"_d{i}" for i, name in enumerate(dict.fromkeys(out.values()))}
+        opened = _walk_nearest((query_places(subjects, lat, lon) if places is None else places), index, metric, dict.fromkeys(names, 1))
+        measured = opened.select("_sy", "_sx", "p", METRICS[metric]("_sy", "_sx", F.col("p._y"), F.col("p._x")).alias("d"))
+        best = measured.groupBy("_sy", "_sx").agg(*[F.min(F.when(F.col(f"p.{name}") > 0, F.col("d"))).alias(c) for name, c in names.items()])
+        picked = best.select(F.col("_sy").alias(lat), F.col("_sx").alias(lon), *[F.col(names[name]).alias(c) for c, name in out.items()])
+        found = subjects.join(picked, [lat, lon], "left")
+    return found.withColumns({f"log_{c}": F.log1p(F.greatest(F.col(c), F.lit(0.0))) for c in out}) if log else found
+
+
 def _nearest_columns(ranked: DataFrame, lat: str, lon: str, p_id: str, cols) -> DataFrame:
     return ranked.select(F.col("_sy").alias(lat), F.col("_sx").alias(lon), "rank", F.col("d").alias("distance_m"),
                          F.col("r._id").alias(p_id), *[F.col(f"r._row.{c}").alias(c) for c in cols if c != p_id])
 
 
-def nearest_attrs(subjects: DataFrame, points: DataFrame, cols: list[str], out: str = "distance_m", prefix: str = "",
+def nearest_attrs(subjects: DataFrame, points: DataFrame | PointIndex, cols: list[str], out: str = "distance_m", prefix: str = "",
                   metric: str = "flat", lat: str = "lat", lon: str = "lon", p_lat: str = "lat", p_lon: str = "lon",
-                  p_id: str = "id") -> DataFrame:
+                  p_id: str = "id", places: DataFrame | None = None) -> DataFrame:
     """Attach the distance to, and attributes of, the nearest point; subjects without coordinates keep nulls."""
-    near = nearest_k(subjects, points, 1, metric, lat, lon, p_lat, p_lon, p_id, cols)
+    near = nearest_k(subjects, points, 1, metric, lat, lon, p_lat, p_lon, p_id, cols, places=places)
     picked = near.select(lat, lon, F.col("distance_m").alias(out), *[F.col(c).alias(prefix + c) for c in cols])
     return subjects.join(picked, [lat, lon], "left")
 
@@ -227,28 +283,26 @@ def nearest_distance(subjects: DataFrame, points: DataFrame, out: str, metric: s
     return found.withColumn(f"log_{out}", F.log1p(F.greatest(F.col(out), F.lit(0.0)))) if log else found
 
 
-def count_within(subjects: DataFrame, points: DataFrame, radius_m: float, counts: dict[str, Column] | None = None,
+def count_within(subjects: DataFrame, points: DataFrame | PointIndex, radius_m: float, counts: dict[str, Column] | dict[str, str] | None = None,
                  metric: str = "haversine", lat: str = "lat", lon: str = "lon", p_lat: str = "lat", p_lon: str = "lon",
-                 leaf_size: int = LEAF_SIZE) -> DataFrame:
+                 leaf_size: int = LEAF_SIZE, places: DataFrame | None = None) -> DataFrame:
     """Attach, per name, the number of points within the radius that satisfy the name's condition.
 
     Several conditions (categories, overlapping buckets) are counted in the same walk. Subjects without coordinates,
-    and names without a hit, get 0.
+    and names without a hit, get 0. With a stored index, ``counts`` maps output columns to names of the index (default: all of them).
     """
-    counts = counts or {"n_within": F.lit(True)}
-    names = list(counts)
-    spots = (
-        located(points, p_lat, p_lon)
-        .groupBy(F.col(p_lat).alias("_y"), F.col(p_lon).alias("_x"))
-        .agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
-    )
-    spots = _stored(spots, "spots")
-    places = _query_places(subjects, lat, lon)
-    grid = fit_grid(spots.select("_y", "_x"), leaf_size)
+    if isinstance(points, PointIndex):
+        index, wanted = points, counts or {n: n for n in points.names}
+    else:
+        counts = counts or {"n_within": F.lit(True)}
+        index, wanted = index_points(points, counts, p_lat, p_lon, leaf_size=leaf_size), {n: n for n in counts}
+    names = list(dict.fromkeys(wanted.values()))
+    places = query_places(subjects, lat, lon) if places is None else places
+    grid, levels = index.grid, index.levels
     if grid is None:
-        return subjects.withColumns({n: F.lit(0).cast("bigint") for n in names})
-    levels = _pyramid(spots, grid, names, [])
+        return subjects.withColumns({n: F.lit(0).cast("bigint") for n in wanted})
     lo, hi = _bounds(metric)
+    limit = _on_scale(metric, radius_m)
     reach_y = radius_m / METRES_PER_DEGREE * 1.01
     shrink = 1.0 if metric == "flat" else max(0.01, math.cos(math.radians(min(89.0, grid.lat_abs + reach_y))))
     reach_x = reach_y / shrink
@@ -272,9 +326,9 @@ def count_within(subjects: DataFrame, points: DataFrame, radius_m: float, counts
     total = F.struct(*[F.col(n) for n in names])
     for level in range(start, grid.depth + 1):
         cells = cand.join(levels[level], ["iy", "ix"], "left" if level > start else "inner").withColumns({"_lo": lo, "_hi": hi})
-        state = F.coalesce(F.col("_done"), F.when(F.col("_hi") <= radius_m, total))
+        state = F.coalesce(F.col("_done"), F.when(F.col("_hi") <= limit, total))
         # a child without points finds no cell row (y0 is null): it is dropped here
-        cells = cells.withColumn("_done", state).filter(F.col("_done").isNotNull() | (F.col("y0").isNotNull() & (F.col("_lo") <= radius_m)))
+        cells = cells.withColumn("_done", state).filter(F.col("_done").isNotNull() | (F.col("y0").isNotNull() & (F.col("_lo") <= limit)))
         if level < grid.depth:
             # finished rows travel on under keys that match no cell, spread so that they do not pile up in one task
             parked = F.array(F.struct((-1 - F.pmod(F.xxhash64("_sy", "_sx", "iy", "ix"), F.lit(4096))).alias("iy"),
@@ -289,8 +343,8 @@ def count_within(subjects: DataFrame, points: DataFrame, radius_m: float, counts
     inside = distance("_sy", "_sx", F.col("_p._y"), F.col("_p._x")) <= radius_m
     sums = opened.withColumn("_in", inside).groupBy("_sy", "_sx").agg(*[
         F.sum(F.coalesce(F.col(f"_done.{n}"), F.when(F.col("_in"), F.col(f"_p.{n}")), F.lit(0))).alias(n) for n in names])
-    back = sums.select(F.col("_sy").alias(lat), F.col("_sx").alias(lon), *names)
-    return subjects.join(back, [lat, lon], "left").withColumns({n: F.coalesce(F.col(n), F.lit(0).cast("bigint")) for n in names})
+    back = sums.select(F.col("_sy").alias(lat), F.col("_sx").alias(lon), *[F.col(n).alias(c) for c, n in wanted.items()])
+    return subjects.join(back, [lat, lon], "left").withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in wanted})
 
 
 def _counts_type(names: list[str]) -> str:

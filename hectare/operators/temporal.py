@@ -29,8 +29,9 @@ def lag_by_calendar(df: DataFrame, work: DataFrame, keys: list[str], period: str
     usual = one_row(group_agg(stats, [], [], {n: (n, 0.5) for n in names}))
     for k in ks:
         df = shift_join(df, stats, keys, period, k, {n: f"{n}_lag{k}" for n in names})
-        df = df.withColumns({f"{n}_lag{k}": F.coalesce(F.col(f"{n}_lag{k}").cast("double"), usual[n]) for n in names})
-    return df
+    # one subquery for all columns; its fields are read from a column so that the plan holds it once
+    out = df.withColumn("_usual", usual)
+    return out.withColumns({f"{n}_lag{k}": F.coalesce(F.col(f"{n}_lag{k}").cast("double"), F.col(f"_usual.{n}")) for k in ks for n in names}).drop("_usual")
 
 
 def sequence_numbers(df: DataFrame, period: str) -> DataFrame:

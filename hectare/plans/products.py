@@ -54,7 +54,7 @@ def value_city(t: Tables):
 
 KINDS = ["ECONOMY", "PROMO", "STANDARD"]
 NEAR = ", ".join(f"min({FLAT}) FILTER (WHERE p.kind = '{k}') AS d{i}, count(*) FILTER (WHERE p.kind = '{k}' AND {FLAT} <= 2000) AS n{i}" for i, k in enumerate(KINDS))
-SCALED = " + ".join(f"{w} * (p{i} - min(p{i}) OVER ()) / (max(p{i}) OVER () - min(p{i}) OVER ())" for i, w in enumerate((0.35, 0.15, 0.30, 0.10, 0.10)))
+SCALED = " + ".join(f"{w} * coalesce((p{i} - min(p{i}) OVER ()) / nullif(max(p{i}) OVER () - min(p{i}) OVER (), 0), 0)" for i, w in enumerate((0.35, 0.15, 0.30, 0.10, 0.10)))
 
 
 @query("city_features", "V1, C1, G3, G5, G6, W1, E1, J1", f"""

@@ -18,8 +18,8 @@ ARC = """2 * 6371000 * asin(sqrt(pow(sin((radians(p.lat) - radians(c.lat)) / 2),
     SELECT c.id, round(min({FLAT}), 3) AS dist_m, round(ln(1 + min({FLAT})), 6) AS log_dist_m, round(min({FLAT}) FILTER (WHERE p.size >= 40), 3) AS dist_large_m,
            round(ln(1 + min({FLAT}) FILTER (WHERE p.size >= 40)), 6) AS log_dist_large_m FROM cust c, poi p GROUP BY c.id""")
 def nearest_flat(t: Tables):
-    out = spatial.nearest_distance(t.cust.select("id", "lat", "lon"), t.poi, "dist_m", log=True)
-    out = spatial.nearest_distance(out, t.poi, "dist_large_m", log=True, where=F.col("size") >= 40)
+    index = spatial.index_points(t.poi, {"any": F.lit(True), "large": F.col("size") >= 40})
+    out = spatial.nearest_strata(t.cust.select("id", "lat", "lon"), index, {"dist_m": "any", "dist_large_m": "large"}, log=True)
     return rounded(rounded(out.drop("lat", "lon"), 3, "dist_m", "dist_large_m"), 6, "log_dist_m", "log_dist_large_m")
 
 
@@ -43,8 +43,8 @@ def nearest_attributes(t: Tables):
     WITH d AS (SELECT c.id, min({FLAT}) AS a, min({FLAT}) FILTER (WHERE p.line % 3 = 0) AS e FROM cust c, stations p GROUP BY c.id)
     SELECT id, round(e, 3) AS dist_express_m, (e <= a + 50)::int AS nearest_is_express FROM d""")
 def nearest_express(t: Tables):
-    out = spatial.nearest_distance(t.cust.select("id", "lat", "lon"), t.stations, "any_m")
-    out = spatial.nearest_distance(out, t.stations, "dist_express_m", where=F.col("line") % 3 == 0)
+    index = spatial.index_points(t.stations, {"any": F.lit(True), "express": F.col("line") % 3 == 0})
+    out = spatial.nearest_strata(t.cust.select("id", "lat", "lon"), index, {"any_m": "any", "dist_express_m": "express"})
     flag = (F.col("dist_express_m") <= F.col("any_m") + 50).cast("int").alias("nearest_is_express")
     return rounded(out.select("id", "dist_express_m", flag), 3, "dist_express_m")
 
@@ -52,8 +52,11 @@ def nearest_express(t: Tables):
 @query("count_arc", "G4", f"""
     SELECT c.id, count(*) FILTER (WHERE {ARC} <= 1000) AS n_1km, count(*) FILTER (WHERE {ARC} <= 5000) AS n_5km FROM cust c, poi p GROUP BY c.id""")
 def count_arc(t: Tables):
-    out = spatial.count_within(t.cust.select("id", "lat", "lon"), t.poi, 1000, {"n_1km": F.lit(True)})
-    return spatial.count_within(out, t.poi, 5000, {"n_5km": F.lit(True)}).drop("lat", "lon")
+    index = spatial.index_points(t.poi, {"all": F.lit(True)})
+    subjects = t.cust.select("id", "lat", "lon")
+    at = spatial.query_places(subjects)
+    out = spatial.count_within(subjects, index, 1000, {"n_1km": "all"}, places=at)
+    return spatial.count_within(out, index, 5000, {"n_5km": "all"}, places=at).drop("lat", "lon")
 
 
 @query("count_by_category", "G5", f"""

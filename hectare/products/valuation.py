@@ -20,6 +20,7 @@ from ..operators.clean import validate_batch
 from ..operators.joins import lookup_chain
 from ..operators.quantiles import group_agg, join_groups
 from ..operators.ranking import latest_n
+from ..session import stored
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -76,9 +77,10 @@ def value_nyc(subjects: DataFrame, ctx: CityContext, predict: Predict, rules: di
     The region is that of the nearest past sale. Invalid rows are returned with their errors and no value.
     """
     ok, bad = validate_batch(subjects, rules)
-    sales = ctx.sales.withColumnRenamed("id", "sale_id")
-    placed = spatial.nearest_attrs(ok, sales, ["region"], "nearest_sale_m", p_id="sale_id")
-    placed = spatial.count_within(placed, sales, radius_m, {"comps": F.lit(True)}, metric="flat")
+    sold = spatial.index_points(ctx.sales.withColumnRenamed("id", "sale_id"), {"comps": F.lit(True)}, p_id="sale_id", cols=["region"])
+    at = spatial.query_places(ok)
+    placed = spatial.nearest_attrs(ok, sold, ["region"], "nearest_sale_m", places=at)
+    placed = spatial.count_within(placed, sold, radius_m, {"comps": "comps"}, metric="flat", places=at)
     placed = placed.withColumn("letter", F.substring("kind", 1, 1))
     coded = encode.apply_encoding(placed, ctx.region_encoding, ["region"], "region_encoded", ctx.overall)
     coded = encode.apply_encoding(coded, ctx.mix_encoding, ["region", "letter"], "mix_encoded", F.col("region_encoded"))
@@ -100,13 +102,13 @@ def city_features(subjects: DataFrame, places: DataFrame, kind: str, kinds: list
     it has none); a walk score from the distances, scaled over the subjects. ``work`` (id, lat, lon, region, parcel, dq, area,
     price) is all that prices are taken from.
     """
-    out = subjects
-    for k in kinds:
-        out = spatial.nearest_distance(out, places, f"dist_{k.lower()}_m", log=True, where=F.col(kind) == k)
-    out = spatial.count_within_by_category(out, places, kind, kinds, radius_m, metric="flat")
-    sales = work.select(F.col("id").alias("sale_id"), "lat", "lon", "region")
-    out = spatial.nearest_attrs(out, sales, ["region"], "nearest_sale_m", p_id="sale_id")
-    out = spatial.count_within(out, sales, comps_m, {"comps": F.lit(True)}, metric="flat")
+    near = spatial.index_points(places, {k: F.col(kind) == k for k in kinds})
+    sold = spatial.index_points(work.select(F.col("id").alias("sale_id"), "lat", "lon", "region"), {"comps": F.lit(True)}, p_id="sale_id", cols=["region"])
+    at = spatial.query_places(subjects)
+    out = spatial.nearest_strata(subjects, near, {f"dist_{k.lower()}_m": k for k in kinds}, log=True, places=at)
+    out = spatial.count_within(out, near, radius_m, {f"{k}_count": k for k in kinds}, metric="flat", places=at)
+    out = spatial.nearest_attrs(out, sold, ["region"], "nearest_sale_m", places=at)
+    out = spatial.count_within(out, sold, comps_m, {"comps": "comps"}, metric="flat", places=at)
     lp = F.log1p(price)
     out = encode.apply_encoding(out, encode.fit_target_encoding(work, ["region"], lp), ["region"], "region_encoded", encode.global_mean(work, lp))
     before = work.filter(F.col("dq") == as_of - 4).groupBy("region").agg(F.avg(price).alias("price_lag4"))
@@ -114,6 +116,7 @@ def city_features(subjects: DataFrame, places: DataFrame, kind: str, kinds: list
     out = out.join(before, "region", "left").withColumn("price_lag4", F.coalesce("price_lag4", usual))
     own = work.groupBy(F.col("parcel").alias("id")).agg(F.count(F.lit(1)).alias("own_sales"), F.avg("area").alias("own_area"))
     out = out.join(own, "id", "left").withColumn("own_sales", F.coalesce("own_sales", F.lit(0)))
+    out, _ = stored(out, "city-features")  # the score's ends and the score itself both read it
     first, second, third = (f"dist_{k.lower()}_m" for k in kinds[:3])
     parts = features.walk_parts(first, second, f"{kinds[0]}_count", third, "nearest_sale_m", 1.0)
     return features.apply_score(out, features.fit_score(out, parts), parts, features.WALK_WEIGHTS, "walk_score")
