@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import band, one_row
+from ..session import stored
 from .quantiles import group_agg, join_groups
 
 # ---- fixed values: price tiers, grades and flag limits ----
@@ -59,6 +60,7 @@ def confidence(df: DataFrame, price: str, borough: str, errors: DataFrame) -> Da
 
     ``errors`` is a table (segment_kind in all/borough/tier, segment, medape); a missing segment takes the overall error.
     """
+    errors, _ = stored(errors.select("segment_kind", "segment", "medape"), "segment-errors")  # read three times below
     overall = errors.filter(F.col("segment_kind") == "all").agg(F.max("medape")).scalar()
     pick = lambda kind, name: errors.filter(F.col("segment_kind") == kind).select(
         F.col("segment").alias(f"_{kind}"), F.col("medape").alias(name))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import clip, years_between
 from ..functions.numbers import one_row
+from ..session import stored
 from .joins import shift_join
-from .quantiles import group_agg, join_groups
+from .quantiles import group_agg, join_groups, quantile_sets
 from .ranking import top_per_key
 
 
@@ -24,7 +25,8 @@ def lag_by_calendar(df: DataFrame, work: DataFrame, keys: list[str], period: str
     ``<name>_lag<k>``; ``means``/``medians`` map a name to its column.
     """
     aggs = [F.avg(c).alias(n) for n, c in means.items()] + ([F.count(F.lit(1)).alias("n")] if counts else [])
-    stats = group_agg(work, [*keys, period], aggs, {n: (c, 0.5) for n, c in medians.items()})
+    # every lag and the fall-back read the fitted table: it is stored
+    stats, _ = stored(group_agg(work, [*keys, period], aggs, {n: (c, 0.5) for n, c in medians.items()}), "period-stats")
     names = [*means, *medians, *(["n"] if counts else [])]
     usual = one_row(group_agg(stats, [], [], {n: (n, 0.5) for n in names}))
     for k in ks:
@@ -150,11 +152,10 @@ def loo_mean(work: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
 def apply_history(df: DataFrame, work: DataFrame, key: str, value: str, out: str, region: str) -> DataFrame:
     """Median of the work set's rows with the same key, else of the same region, else of all."""
-    own = group_agg(work.filter(F.col(key).isNotNull()), [key], [], {"_own": (value, 0.5)})
-    near = group_agg(work, [region], [], {"_near": (value, 0.5)})
-    usual = group_agg(work, [], [], {"m": (value, 0.5)}).scalar()
+    found = quantile_sets(work, {"own": [key], "near": [region], "all": []}, value, {"_m": 0.5})
+    own, near = (found[name].withColumnRenamed("_m", f"_{name}") for name in ("own", "near"))
     joined = join_groups(df.join(own, key, "left"), near, [region])
-    return joined.withColumn(out, F.coalesce("_own", "_near", usual)).drop("_own", "_near")
+    return joined.withColumn(out, F.coalesce("_own", "_near", found["all"].scalar())).drop("_own", "_near")
 
 
 def lagged_density(df: DataFrame, deals: DataFrame, keys: list[str], period: str, out: str) -> DataFrame:

@@ -18,7 +18,7 @@ from ..functions.text import map_type
 from ..operators import encode, evaluate, features, spatial
 from ..operators.clean import validate_batch
 from ..operators.joins import lookup_chain
-from ..operators.quantiles import group_agg, join_groups
+from ..operators.quantiles import group_agg, join_groups, quantile_sets
 from ..operators.ranking import latest_n
 from ..session import stored
 
@@ -143,13 +143,13 @@ class DistrictContext:
 def fit_districts(work: DataFrame, centroids: DataFrame, index: DataFrame, errors: DataFrame, overall_error, spreads: DataFrame,
                   spread_pct, types: list[tuple[str, str]]) -> DistrictContext:
     """Fit the look-ups on the work panel rows (district, kind, qid, psqm); ``index`` is (qid, kind, type_index)."""
-    cells = group_agg(work, ["district", "qid"], [], {"m": ("psqm", 0.5)})
-    typed = group_agg(work, ["district", "kind", "qid"], [], {"m": ("psqm", 0.5)}).withColumn("_key", F.struct("district", "kind"))
+    sets = {"cells": ["district", "qid"], "typed": ["district", "kind", "qid"], "city": ["kind"], "all": []}
+    mid = quantile_sets(work, sets, "psqm", {"m": 0.5})
+    typed = mid["typed"].withColumn("_key", F.struct("district", "kind"))
     type_lags = latest_n(typed, "_key", "qid", "m", 2).select("_key.*", F.col("lag1").alias("type_lag1"), F.col("lag2").alias("type_lag2"))
-    city = group_agg(work, ["kind"], [], {"city_type": ("psqm", 0.5)})
     newest = index.groupBy("kind").agg(F.max_by("type_index", "qid").alias("type_index"))
-    return DistrictContext(centroids, latest_n(cells, "district", "qid", "m", 2, require_all=True), type_lags, city,
-                           group_agg(work, [], [], {"m": ("psqm", 0.5)}).scalar(), index, newest, errors, overall_error, spreads, spread_pct, types)
+    return DistrictContext(centroids, latest_n(mid["cells"], "district", "qid", "m", 2, require_all=True), type_lags, mid["city"].withColumnRenamed("m", "city_type"),
+                           mid["all"].scalar(), index, newest, errors, overall_error, spreads, spread_pct, types)
 
 
 def district_features(subjects: DataFrame, centroids: DataFrame, baseline: DataFrame, live: DataFrame, columns: list[str], work: DataFrame,
