@@ -152,13 +152,11 @@ def _bounds(metric: str) -> tuple[Column, Column]:
     else:
         half = lambda d: F.pow(F.sin(F.radians(d) / 2), F.lit(2.0))
         arc = lambda dy, dx, c: half(dy) + F.cos(F.radians(y)) * F.col(c) * half(dx)
-        # only a box that can be reached across the border at 180 degrees needs the shorter way
+        # only a box that can be reached across the border at 180 degrees needs the shorter way; the sine is taken once for both
         way = lambda dx: F.least(dx, 360 - dx)
-        shortest = F.greatest(zero, F.least(way(near_x), way(far_x)))
-        longest = F.when((near_x <= 180) & (far_x >= 180), F.lit(180.0)).otherwise(F.greatest(way(near_x), way(far_x)))
-        straight = far_x <= 180
-        lo = F.when(straight, arc(near_y, near_x, "c0")).otherwise(arc(near_y, shortest, "c0"))
-        hi = F.when(straight, arc(far_y, far_x, "c1")).otherwise(arc(far_y, longest, "c1"))
+        shortest = F.when(far_x <= 180, near_x).otherwise(F.greatest(zero, F.least(way(near_x), 360 - far_x)))
+        longest = F.when(far_x <= 180, far_x).otherwise(F.when(near_x <= 180, F.lit(180.0)).otherwise(way(near_x)))
+        lo, hi = arc(near_y, shortest, "c0"), arc(far_y, longest, "c1")
     return lo * (1 - SLACK), hi * (1 + SLACK)
 
 
@@ -325,10 +323,11 @@ def count_within(subjects: DataFrame, points: DataFrame | PointIndex, radius_m:
     )
     total = F.struct(*[F.col(n) for n in names])
     for level in range(start, grid.depth + 1):
-        cells = cand.join(levels[level], ["iy", "ix"], "left" if level > start else "inner").withColumns({"_lo": lo, "_hi": hi})
-        state = F.coalesce(F.col("_done"), F.when(F.col("_hi") <= limit, total))
-        # a child without points finds no cell row (y0 is null): it is dropped here
-        cells = cells.withColumn("_done", state).filter(F.col("_done").isNotNull() | (F.col("y0").isNotNull() & (F.col("_lo") <= limit)))
+        cells = cand.join(levels[level], ["iy", "ix"], "left" if level > start else "inner")
+        # a child without points finds no cell row (y0 is null): it is dropped here. What is wholly inside is also within reach, so
+        # each bound is written, and so compiled, once: one in the filter, one behind it
+        cells = cells.filter(F.col("_done").isNotNull() | (F.col("y0").isNotNull() & (lo <= limit)))
+        cells = cells.withColumn("_done", F.coalesce(F.col("_done"), F.when(hi <= limit, total)))
         if level < grid.depth:
             # finished rows travel on under keys that match no cell, spread so that they do not pile up in one task
             parked = F.array(F.struct((-1 - F.pmod(F.xxhash64("_sy", "_sx", "iy", "ix"), F.lit(4096))).alias("iy"),
