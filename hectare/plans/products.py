@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, clean, evaluate, spatial
-from ..products import layers, valuation
-from ..session import scratch_path
+from ..operators import aggregates, clean, evaluate, model, spatial, split
+from ..products import city_model, layers, valuation
+from ..session import scratch_path, stored
 from .registry import Tables, query, rounded
 from .spatial import FLAT, nation_regions
 
 WORK = "qid < 20001"
+KINDS = ["ECONOMY", "PROMO", "STANDARD"]
+CITY_RULES = clean.subject_rules(["id", "lat", "lon"], {"borough": (0, 4)}, ["area"])
 
 
 def subjects(t: Tables):
@@ -30,8 +33,11 @@ SUBJ = """q AS (SELECT id, lat, lon, line % 6 AS borough, CASE WHEN id % 2 = 0 T
     sp AS (SELECT borough, median(psf) AS ask FROM sales WHERE borough < 3 GROUP BY borough),
     ok AS (SELECT * FROM q WHERE area > 0 AND borough <= 4),
     n AS (SELECT * FROM (SELECT c.id, p.region, row_number() OVER (PARTITION BY c.id ORDER BY {FLAT}, p.id) AS k, count(*) FILTER (WHERE {FLAT} <= 800) OVER (PARTITION BY c.id) AS comps FROM ok c, w p) WHERE k = 1),
-    v AS (SELECT ok.*, n.region, n.comps, exp(0.5 * coalesce(a.e, g) + 0.5 * coalesce(b.e, a.e, g) + 0.0001 * (area - 2500)) - 1 AS pred
-      FROM ok JOIN n USING (id) LEFT JOIN a ON a.region = n.region LEFT JOIN b ON b.region = n.region AND b.letter = substr(ok.kind, 1, 1), g),
+    d AS (SELECT c.id, min({FLAT}) FILTER (WHERE p.kind = 'ECONOMY') AS d0, count(*) FILTER (WHERE p.kind = 'PROMO' AND {FLAT} <= 2000) AS n1 FROM ok c, poi p GROUP BY c.id),
+    l AS (SELECT region, avg(price) AS lag4 FROM w WHERE dq = 16 GROUP BY region), o AS (SELECT parcel, count(*) AS own FROM w GROUP BY parcel),
+    v AS (SELECT ok.*, n.region, n.comps, exp(0.5 * coalesce(a.e, g) + 0.5 * coalesce(b.e, a.e, g) + 0.0001 * (area - 2500) + 0.01 * ln(1 + d0) - 0.002 * n1 + 0.003 * coalesce(own, 0)
+        + 0.0000001 * coalesce(lag4, (SELECT median(lag4) FROM l))) - 1 AS pred
+      FROM ok JOIN n USING (id) JOIN d USING (id) LEFT JOIN a ON a.region = n.region LEFT JOIN b ON b.region = n.region AND b.letter = substr(ok.kind, 1, 1) LEFT JOIN l ON l.region = n.region LEFT JOIN o ON o.parcel = ok.id, g),
     x AS (SELECT v.*, round_even(greatest(coalesce(r.m, ra.m), ra.m), 2) AS err, round_even(pred, 0)::bigint AS p FROM v LEFT JOIN r ON r.borough = v.borough, ra)
     SELECT x.id, '' AS errors, region, comps, p AS predicted, err AS segment_medape, round_even(pred * (1 - err / 100), 0)::bigint AS confidence_low, round_even(pred * (1 + err / 100), 0)::bigint AS confidence_high,
       round_even(p / area, 0)::bigint AS price_per_sqft, CASE WHEN comps < 5 THEN 1 ELSE 0 END AS sparse,
@@ -43,16 +49,16 @@ def value_city(t: Tables):
     guess = F.floor(F.col("price") * (F.lit(0.7) + (F.col("id") * 7919 % 601) / F.lit(1000.0))).cast("double")
     errors = evaluate.segment_metrics(work.withColumn("guess", guess), "price", "guess", {"borough": F.col("borough")})
     spreads = aggregates.median_by(t.sales.filter("borough < 3"), ["borough"], ["psf"]).select("borough", F.col("psf_median").alias("asking_median"), F.lit(10.0).alias("spread_pct"))
-    ctx = valuation.fit_city(work, errors, spreads, 12.5)
-    predict = lambda df: df.withColumn("log_prediction", 0.5 * F.col("region_encoded") + 0.5 * F.col("mix_encoded") + 0.0001 * (F.col("area") - 2500))
-    rules = clean.subject_rules(["id", "lat", "lon"], {"borough": (0, 4)}, ["area"])
-    out = valuation.value_nyc(subjects(t), ctx, predict, rules)
+    made = city_model.fit_city_features(work, t.poi, "kind", KINDS, 20)
+    ctx = valuation.CityContext(city_model.store_model(made, scratch_path(t.spark, "city-model")), errors, spreads, 12.5)
+    predict = lambda df: df.withColumn("log_prediction", 0.5 * F.col("region_encoded") + 0.5 * F.col("mix_encoded") + 0.0001 * (F.col("area") - 2500)
+                                       + 0.01 * F.col("log_dist_economy_m") - 0.002 * F.col("PROMO_count") + 0.003 * F.col("own_sales") + 0.0000001 * F.col("price_lag4"))
+    out = valuation.value_nyc(subjects(t), ctx, CITY_RULES, predict)
     sparse = F.array_contains("qc_flags", "SPARSE_MARKET").cast("int").alias("sparse")
     return out.select("id", F.coalesce(F.array_join("errors", "; "), F.lit("")).alias("errors"), "region", "comps", "predicted", "segment_medape",
                       "confidence_low", "confidence_high", "price_per_sqft", sparse, "asking_total")
 
 
-KINDS = ["ECONOMY", "PROMO", "STANDARD"]
 NEAR = ", ".join(f"min({FLAT}) FILTER (WHERE p.kind = '{k}') AS d{i}, count(*) FILTER (WHERE p.kind = '{k}' AND {FLAT} <= 2000) AS n{i}" for i, k in enumerate(KINDS))
 SCALED = " + ".join(f"{w} * coalesce((p{i} - min(p{i}) OVER ()) / nullif(max(p{i}) OVER () - min(p{i}) OVER (), 0), 0)" for i, w in enumerate((0.35, 0.15, 0.30, 0.10, 0.10)))
 
@@ -70,11 +76,49 @@ SCALED = " + ".join(f"{w} * coalesce((p{i} - min(p{i}) OVER ()) / nullif(max(p{i
       round(100 * ({SCALED}), 4) AS walk_score FROM x""")
 def city_features(t: Tables):
     work = t.sales.filter(WORK)
-    out = valuation.city_features(t.cust.select("id", "lat", "lon"), t.poi, "kind", KINDS, work, 20).drop("lat", "lon")
+    parcels = t.cust.select("id", "lat", "lon", "kind")
+    made = city_model.store_model(city_model.fit_city_features(work, t.poi, "kind", KINDS, 20, scale_on=parcels), scratch_path(t.spark, "city-model"))
+    out = made.transform(parcels).drop("lat", "lon", "kind", "mix_encoded")
     out = rounded(out, 4, "dist_economy_m", "dist_promo_m", "dist_standard_m", "nearest_sale_m", "price_lag4", "own_area", "walk_score")
     return rounded(out, 6, "log_dist_economy_m", "log_dist_promo_m", "log_dist_standard_m", "region_encoded")
 
 
+# a price that the features explain, so that a stack that predicts rubbish cannot pass
+def explained(df):
+    return df.withColumn("price", F.col("area") * (100 + 5 * F.col("region")) * (0.95 + (F.col("id") * 7919 % 101) / 1000.0))
+
+
+@query("city_stack", "V1, V3, M3, M5, M6, M9, S19, C1, G3, G5, E1", """
+    WITH q AS (SELECT *, id % 10 = 0 AS broken FROM sales WHERE qid >= 20001)
+    SELECT count(*) FILTER (WHERE NOT broken) AS n_valued, count(*) FILTER (WHERE broken) AS n_refused, 0::bigint AS n_outside, TRUE AS explains_most, TRUE AS same_when_loaded FROM q""")
+def city_stack(t: Tables):
+    """Raw tables to features, stack and interval by one stored pipeline; later sales are valued by what earlier ones taught."""
+    sales = explained(t.sales)
+    work = sales.filter(WORK)
+    steps = city_model.fit_city_features(work, t.poi, "kind", KINDS, 20, scale_on=t.cust.select("id", "lat", "lon", "kind"))
+    # sales of a parcel share its features: the steps run once per parcel
+    around = steps.transform(t.cust.select("id", "lat", "lon", "kind")).drop("lat", "lon", "kind", "region").withColumnRenamed("id", "parcel")
+    names = ["area", "region", "region_encoded", "log_dist_economy_m", "walk_score", "comps"]
+    taught = work.join(around, "parcel").select("id", "parcel", "price", *[F.col(c).cast("double").alias(c) for c in names])
+    folded = split.attach_folds(taught, split.group_folds(taught, "parcel", 3), "parcel")
+    folded, _ = stored(folded, "city-training")
+    fitted = model.stack(folded, names, "price", "fold", 3, model.default_learners(size=6, early_stop=True))
+    made = PipelineModel([*steps.stages, city_model.Stack.of(fitted)])
+    ready = city_model.store_model(made, scratch_path(t.spark, "city-stack"))
+    errors = evaluate.segment_metrics(work.withColumn("guess", F.col("price") * 1.1), "price", "guess", {"borough": F.col("borough")})
+    spreads = t.sales.groupBy("borough").agg(F.avg("psf").alias("asking_median")).withColumn("spread_pct", F.lit(10.0))
+    later = sales.filter("qid >= 20001").select(F.col("id").alias("sale"), "price", F.col("parcel").alias("id"), "lat", "lon", "borough", "kind", F.when(F.col("id") % 10 != 0, F.col("area")).otherwise(-1.0).alias("area"))
+    value = lambda p: valuation.value_nyc(later, valuation.CityContext(p, errors, spreads, 12.5), CITY_RULES)
+    valued, again = value(ready), value(made).select("sale", F.col("predicted").alias("again"))
+    both = valued.join(again, "sale")
+    p, y = F.log1p("predicted"), F.log1p("price")
+    unexplained = F.sum(F.when(F.col("predicted").isNotNull(), F.pow(p - y, F.lit(2.0)))) / F.regr_sxx(F.when(F.col("predicted").isNotNull(), y), F.when(F.col("predicted").isNotNull(), y))
+    return both.agg(
+        F.count("predicted").alias("n_valued"), F.count_if(F.size("errors") > 0).alias("n_refused"),
+        F.count_if(~F.col("predicted").between(F.col("confidence_low"), F.col("confidence_high"))).alias("n_outside"),
+        (unexplained < 0.2).alias("explains_most"), F.bool_and(F.col("predicted").eqNullSafe(F.col("again"))).alias("same_when_loaded"))
+
+
 @query("value_districts", "V2, V3, M10, J7, J8, W8, C10", f"""
     WITH {SUBJ}, w AS (SELECT region AS district, kind, qid, psqm FROM deals WHERE qid < 20001), ct AS (SELECT region AS district, avg(lat) AS lat, avg(lon) AS lon FROM cust GROUP BY region),
     c1 AS (SELECT district, m, row_number() OVER (PARTITION BY district ORDER BY qid DESC) AS k FROM (SELECT district, qid, median(psqm) AS m FROM w GROUP BY ALL)),

@@ -10,17 +10,17 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import unit_rates
 from ..functions.text import map_type
-from ..operators import encode, evaluate, features, spatial
+from ..operators import encode, evaluate, spatial
 from ..operators.clean import validate_batch
 from ..operators.joins import lookup_chain
 from ..operators.quantiles import group_agg, join_groups, quantile_sets
 from ..operators.ranking import latest_n
-from ..session import stored
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -52,74 +52,29 @@ def asking_overlay(df: DataFrame, spreads: DataFrame, key: str, unit_price: str,
 
 @dataclass
 class CityContext:
-    """Fitted tables for city valuation; ``sales`` has id, lat, lon, region."""
+    """Fitted for city valuation: the stored feature steps, error and asking tables."""
 
-    sales: DataFrame
-    region_encoding: DataFrame
-    mix_encoding: DataFrame
-    overall: Column
+    features: PipelineModel
     errors: DataFrame
     spreads: DataFrame
     spread_pct: Column | float
 
 
-def fit_city(work: DataFrame, errors: DataFrame, spreads: DataFrame, spread_pct, price: str = "price") -> CityContext:
-    """Fit the look-ups on the work set (id, lat, lon, region, kind, price)."""
-    lp = F.log1p(price)
-    rows = work.withColumn("letter", F.substring("kind", 1, 1))
-    return CityContext(work.select("id", "lat", "lon", "region"), encode.fit_target_encoding(rows, ["region"], lp),
-                       encode.fit_target_encoding(rows, ["region", "letter"], lp), encode.global_mean(rows, lp), errors, spreads, spread_pct)
+def value_nyc(subjects: DataFrame, ctx: CityContext, rules: dict[str, Column], predict: Predict | None = None) -> DataFrame:
+    """Value a table of subjects (id, lat, lon, borough, kind, area): features, prediction, interval, flags, asking price.
 
-
-def value_nyc(subjects: DataFrame, ctx: CityContext, predict: Predict, rules: dict[str, Column], radius_m: float = 800) -> DataFrame:
-    """Value a table of subjects (id, lat, lon, borough, kind, area).
-
-    The region is that of the nearest past sale. Invalid rows are returned with their errors and no value.
+    The prediction is that of the pipeline's own last step (``log_prediction``), or of ``predict`` on the pipeline's features. Invalid
+    rows are returned with their errors and no value.
     """
     ok, bad = validate_batch(subjects, rules)
-    sold = spatial.index_points(ctx.sales.withColumnRenamed("id", "sale_id"), {"comps": F.lit(True)}, p_id="sale_id", cols=["region"])
-    at = spatial.query_places(ok)
-    placed = spatial.nearest_attrs(ok, sold, ["region"], "nearest_sale_m", places=at)
-    placed = spatial.count_within(placed, sold, radius_m, {"comps": "comps"}, metric="flat", places=at)
-    placed = placed.withColumn("letter", F.substring("kind", 1, 1))
-    coded = encode.apply_encoding(placed, ctx.region_encoding, ["region"], "region_encoded", ctx.overall)
-    coded = encode.apply_encoding(coded, ctx.mix_encoding, ["region", "letter"], "mix_encoded", F.col("region_encoded"))
-    priced = predict(coded).withColumn("predicted", F.expm1("log_prediction")).drop("log_prediction")
+    made = ctx.features.transform(ok)
+    priced = (made if predict is None else predict(made)).withColumn("predicted", F.expm1("log_prediction"))
+    priced = priced.select(*ok.columns, "region", "comps", "predicted")
     out = evaluate.confidence(priced, "predicted", "borough", ctx.errors)
     out = evaluate.qc_flags(out, "comps", "predicted", "segment_medape", "borough")
     out = unit_rates(out.withColumn("predicted", F.bround("predicted").cast("bigint")), "predicted", "area")
     out = asking_overlay(out, ctx.spreads, "borough", "price_per_sqm", F.col("area") * 0.0929, ctx.spread_pct)
-    return out.drop("letter", "region_encoded", "mix_encoded").unionByName(bad, allowMissingColumns=True)
-
-
-def city_features(subjects: DataFrame, places: DataFrame, kind: str, kinds: list[str], work: DataFrame, as_of: int, radius_m: float = 2000,
-                  comps_m: float = 800, price: str = "price") -> DataFrame:
-    """The model's columns for a table of subjects (id, lat, lon).
-
-    Distance and log distance to the nearest place of each kind and the places of each kind in the radius; the region of the
-    nearest past sale with its encoded price and its mean price a year before quarter ``as_of`` (the median region's where it
-    had no sale then); number of comparable sales, past sales and their mean area of the subject's own parcel (0 and null where
-    it has none); a walk score from the distances, scaled over the subjects. ``work`` (id, lat, lon, region, parcel, dq, area,
-    price) is all that prices are taken from.
-    """
-    near = spatial.index_points(places, {k: F.col(kind) == k for k in kinds})
-    sold = spatial.index_points(work.select(F.col("id").alias("sale_id"), "lat", "lon", "region"), {"comps": F.lit(True)}, p_id="sale_id", cols=["region"])
-    at = spatial.query_places(subjects)
-    out = spatial.nearest_strata(subjects, near, {f"dist_{k.lower()}_m": k for k in kinds}, log=True, places=at)
-    out = spatial.count_within(out, near, radius_m, {f"{k}_count": k for k in kinds}, metric="flat", places=at)
-    out = spatial.nearest_attrs(out, sold, ["region"], "nearest_sale_m", places=at)
-    out = spatial.count_within(out, sold, comps_m, {"comps": "comps"}, metric="flat", places=at)
-    lp = F.log1p(price)
-    out = encode.apply_encoding(out, encode.fit_target_encoding(work, ["region"], lp), ["region"], "region_encoded", encode.global_mean(work, lp))
-    before = work.filter(F.col("dq") == as_of - 4).groupBy("region").agg(F.avg(price).alias("price_lag4"))
-    usual = group_agg(before, [], [], {"m": ("price_lag4", 0.5)}).scalar()
-    out = out.join(before, "region", "left").withColumn("price_lag4", F.coalesce("price_lag4", usual))
-    own = work.groupBy(F.col("parcel").alias("id")).agg(F.count(F.lit(1)).alias("own_sales"), F.avg("area").alias("own_area"))
-    out = out.join(own, "id", "left").withColumn("own_sales", F.coalesce("own_sales", F.lit(0)))
-    out, _ = stored(out, "city-features")  # the score's ends and the score itself both read it
-    first, second, third = (f"dist_{k.lower()}_m" for k in kinds[:3])
-    parts = features.walk_parts(first, second, f"{kinds[0]}_count", third, "nearest_sale_m", 1.0)
-    return features.apply_score(out, features.fit_score(out, parts), parts, features.WALK_WEIGHTS, "walk_score")
+    return out.unionByName(bad, allowMissingColumns=True)
 
 
 @dataclass
