@@ -104,9 +104,24 @@ def fit_voters(docs: DataFrame, labels: DataFrame, label_col: str = "quality", f
     # one row per labelled id, also where the documents repeat it
     fields = chosen.schema["known_id"].dataType.simpleString()
     rows = texts.mapInArrow(run, f"known_id {fields}, label int, terms binary").groupBy("known_id").agg(F.max("label").alias("label"), F.min("terms").alias("terms"))
-    found = rows.orderBy(*order).limit(2 * sample_rows).select("label", "terms").toPandas()
-    counts = np.frombuffer(b"".join(found.pop("terms")), np.float32).reshape(len(found), columns)
-    return Voters.fit(counts, found["label"].to_numpy(np.float32), dims, nearest)
+    rows = rows.orderBy(*order).limit(2 * sample_rows)
+
+    # the sample is bounded, so one task can hold it; the driver sees only axes and projected vectors
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, own = [], []
+        for batch in batches:
+            terms += batch.column(1).to_pylist()
+            own += batch.column(0).to_pylist()
+        if own:
+            made = Voters.fit(np.frombuffer(b"".join(terms), np.float32).reshape(len(own), columns), np.array(own, np.float32), dims, nearest)
+            values = [x.tobytes() for x in (made.idf, made.axes, made.vectors, made.labels)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in values], names=["idf", "axes", "vectors", "labels"])
+
+    made = rows.select("label", "terms").coalesce(1).mapInArrow(fit, "idf binary, axes binary, vectors binary, labels binary").first()
+    if made is None:
+        return Voters.fit(np.zeros((0, columns), np.float32), np.zeros(0, np.float32), dims, nearest)
+    idf, axes, vectors, own = (np.frombuffer(x, np.float32) for x in made)
+    return Voters(idf, axes.reshape(columns, -1), vectors.reshape(len(own), -1), own, nearest)
 
 
 def score_quality(docs: DataFrame, voters: Voters, cut: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text",
