@@ -19,14 +19,24 @@ class DigestIndex:
     """A stored set of text digests with the id that was kept for each.
 
     ``path``    folder of the index; the same folder can be opened again by a later session.
-    ``buckets`` fixed when the index is made; by default the session's shuffle partitions, so that batches line up with it.
+    ``buckets`` fixed when the index is made, and stored with it; by default the session's shuffle partitions, so that batches line up
+                with it. Opening an index with another number is refused.
     ``id_type`` SQL type of the document id.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str = "bigint"):
         self.spark = spark
         self.name = f"digest_index_{uuid.uuid4().hex}"
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        about = f"{path}/_buckets"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(about)
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            stored = int(spark.read.text(about).first()[0])
+            if buckets not in (None, stored):
+                raise ValueError(f"this index has {stored} buckets")
+            buckets = stored
+        else:
+            buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1).select(F.lit(str(buckets)).alias("value")).coalesce(1).write.text(about)
         spark.sql(
             f"CREATE TABLE {self.name} (digest STRING, keep_id {id_type}, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"

@@ -382,3 +382,19 @@ def test_near_duplicates_of_short_texts(spark, percent):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {x.doc_id: x.component_id for x in near_components(df, percent=percent, least_depth=2).collect()}
     assert got == {i: least[g.root(i)] for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("partitions", ["4", "16"])
+def test_index_opened_with_other_partitions(spark, partitions):
+    """The bucket number belongs to the index, not to the session that opens it."""
+    texts = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    path, before = scratch_path(spark, "index"), spark.conf.get("spark.sql.shuffle.partitions")
+    assert exact_dedup(texts, DigestIndex(spark, path, buckets=8), "one").where("kept").count() == 200
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        index = DigestIndex(spark, path)
+        assert exact_dedup(texts, index, "two").where("kept").count() == 0 and index.read().count() == 200
+        with pytest.raises(ValueError):
+            DigestIndex(spark, path, buckets=int(partitions))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
