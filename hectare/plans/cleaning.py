@@ -198,6 +198,17 @@ def text_rules(t: Tables):
         text.zip5(F.concat((F.col("n_nationkey") * 401).cast("string"), F.lit(".0"))).alias("zip"))
 
 
+@query("document_text_rules", "F1, F2, F3, F4", r"""
+    SELECT doc_id, md5(coalesce(trim(regexp_replace(text, '[\x{0640}\x{064B}-\x{065F}]', '', 'g')), '')) AS norm_md5,
+           md5(trim(regexp_replace(trim(text), '[\x09-\x0D ]+', ' ', 'g'))) AS bare_md5, coalesce(regexp_matches(text, '[\x{0600}-\x{06FF}]'), false)::int AS arabic,
+           lpad(n_chars::varchar, greatest(5, length(n_chars::varchar))::int, '0') AS zip FROM documents""")
+def document_text_rules(t: Tables):
+    """The text rules over whole document texts."""
+    md5 = lambda c: F.md5(F.encode(c, "UTF-8"))
+    return t.documents.select(
+        "doc_id", md5(text.normalize_ar("text")).alias("norm_md5"), md5(text.strip_district_prefix("text")).alias("bare_md5"), text.has_arabic("text").cast("int").alias("arabic"), text.zip5("n_chars").alias("zip"))
+
+
 @query("class_flags", "F5", """
     WITH b AS (SELECT p_partkey AS id, upper(substr('abcdrsRD', (p_partkey % 8 + 1)::int, 1)) || (p_size % 10)::varchar AS bc FROM part)
     SELECT id, regexp_matches(bc, '^R')::int AS is_condo, regexp_matches(bc, '^[CD]')::int AS is_multifamily, regexp_matches(bc, '^A')::int AS is_single_fam,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, encode, evaluate, features, impute, model, split
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from .registry import Tables, query, rounded
 
 WORK, HOLD = "qid < 20001", "qid >= 20001"
@@ -377,33 +377,47 @@ def driver_contract(t: Tables):
     return rounded(out.select("id", "rank", "total_after"), 6, "total_after")
 
 
+# a price that the features explain: what learns nothing cannot pass
+def explained(t: Tables):
+    noise = F.lit(0.95) + (F.col("id") * 7919 % 101) / F.lit(1000.0)
+    return t.sales.select("id", "qid", (F.col("area") * (100 + 5 * F.col("region")) * noise).alias("price"), *MODEL_FEATURES)
+
+
 @query("stack_model", "M3, M4, M5, M6, M2, S19", """
-    SELECT count(*) FILTER (WHERE dq < 22) AS n_work, count(*) FILTER (WHERE dq >= 22) AS n_scored, 4::bigint AS n_learners, 0::bigint AS n_missing,
-           TRUE AS better_blend, TRUE AS weights_not_negative, TRUE AS same_when_loaded FROM sales""")
+    SELECT count(*) FILTER (WHERE dq < 22) AS n_work, count(*) FILTER (WHERE dq >= 22) AS n_scored, 4::bigint AS n_learners, 0::bigint AS n_missing, 0::bigint AS split_groups, 3::bigint AS n_folds,
+           TRUE AS beats_mean, TRUE AS learners_beat_mean, TRUE AS segment_takes_over, TRUE AS weights_not_negative, TRUE AS same_when_loaded FROM sales""")
 def stack_model(t: Tables):
-    """Grouped out-of-fold stack with four learners, stored and loaded; what SQL can state of it."""
-    s = t.sales.select("id", "qid", "dq", "price", *[c for c in MODEL_FEATURES if c != "dq"])
+    """Grouped out-of-fold stack with four learners of the default size, stored and loaded: what SQL can state of it."""
+    s, cut = explained(t), 400_000
     work, hold = s.filter("dq < 22"), s.filter("dq >= 22")
-    folded = split.attach_folds(work, split.group_folds(work, "region", 3), "region")
-    learners = model.default_learners(size=3, early_stop=True)
-    fitted = model.stack(folded, MODEL_FEATURES, "price", "fold", 3, learners, segment=(F.col("price") > 150_000, 150_000))
+    folded, _ = stored(split.attach_folds(work, split.group_folds(work, "region", 3), "region"), "stack-rows")
+    fitted = model.stack(folded, MODEL_FEATURES, "price", "fold", 3, segment=(F.col("price") > cut, cut))
     folder = scratch_path(t.spark, "stack")
     model.save_stack(t.spark, fitted, folder)
     loaded = model.load_stack(t.spark, folder)
-    scored = model.predict_stack(model.predict_stack(hold, fitted), loaded, "again")
-    better = min(fitted["errors"], key=fitted["errors"].get) == fitted["kind"]
+    plain = model.predict_stack(hold, fitted | {"segment": None}, "plain")
+    scored, _ = stored(model.predict_stack(model.predict_stack(plain, fitted), loaded, "again"), "stack-scored")
+    y, left = F.log1p("price"), lambda c: F.sum(F.pow(F.log1p(c) - F.log1p("price"), F.lit(2.0)))
     weights = fitted["meta"]["weights"].values() if fitted["kind"] == "ridge" else []
+    spread = folded.agg(F.var_pop(F.log1p("price"))).scalar()
+    groups = folded.groupBy("region").agg(F.count_distinct("fold").alias("n"))
+    # below the cut the segment's model has no say, from twice the cut on it speaks alone
+    moved = F.bool_and((F.col("plain") > cut) | (F.col("plain") == F.col("predicted"))) & F.bool_or((F.col("plain") > cut) & (F.col("plain") != F.col("predicted")))
     return scored.agg(
         F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("predicted").isNull()).alias("n_missing"), F.bool_and(F.col("predicted") == F.col("again")).alias("same_when_loaded"),
-    ).select("*", work.agg(F.count(F.lit(1))).scalar().alias("n_work"), F.lit(len(loaded["models"])).cast("bigint").alias("n_learners"),
-             F.lit(better).alias("better_blend"), F.lit(all(w >= 0 for w in weights)).alias("weights_not_negative"))
+        (left("predicted") < 0.5 * F.regr_sxx(y, y)).alias("beats_mean"), moved.alias("segment_takes_over"),
+    ).select("*", folded.agg(F.count(F.lit(1))).scalar().alias("n_work"), folded.agg(F.count_distinct("fold")).scalar().alias("n_folds"), groups.agg(F.count_if(F.col("n") > 1)).scalar().alias("split_groups"),
+             F.lit(len(loaded["models"])).cast("bigint").alias("n_learners"), (F.lit(min(fitted["errors"].values())) < spread).alias("learners_beat_mean"),
+             F.lit(all(w >= 0 for w in weights)).alias("weights_not_negative"))
 
 
-@query("importance", "T3, M16, M6", """SELECT 6::bigint AS n_features, 100.0::double AS top, 'Location,Market,Structural' AS kinds""")
+@query("importance", "T3, M16, M6", """SELECT 6::bigint AS n_features, 100.0::double AS top, 'area,region' AS first_two, 'Structural' AS first_kind, TRUE AS falling""")
 def importance(t: Tables):
-    """Importances of one boosted-tree model, scaled to a maximum of 100."""
-    s = t.sales.select("price", "borough", *[c for c in MODEL_FEATURES if c != "borough"])
-    fitted = model.fit_segment_model(s, MODEL_FEATURES, "price", F.col("price") > 100_000, size=4)
+    """Importances of one boosted-tree model of the default size: what made the price comes first, scaled to a maximum of 100."""
+    fitted = model.fit_segment_model(explained(t), MODEL_FEATURES, "price", F.col("price") > 100_000)
     kinds = {"lat": "Location", "lon": "Location", "region": "Location", "borough": "Location", "area": "Structural", "dq": "Market"}
     table = model.importance_table(t.spark, fitted, MODEL_FEATURES, kinds, 25)
-    return table.agg(F.count(F.lit(1)).alias("n_features"), F.max("importance").alias("top"), F.array_join(F.sort_array(F.collect_set("category")), ",").alias("kinds"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("down"), "feature", "category")))
+    return table.agg(F.count(F.lit(1)).alias("n_features"), F.max("importance").alias("top"), order.alias("o")).select(
+        "n_features", "top", F.concat_ws(",", F.col("o")[0]["feature"], F.col("o")[1]["feature"]).alias("first_two"), F.col("o")[0]["category"].alias("first_kind"),
+        (F.col("o")[0]["down"] < F.col("o")[5]["down"]).alias("falling"))

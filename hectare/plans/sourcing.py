@@ -168,13 +168,19 @@ def listing_pages(t: Tables):
     return out.select("listing_id", "district", "price_sar", "area_sqm", "price_per_sqm", "property_type_en", "bedrooms", "age_years", "listing_date")
 
 
-@query("embedded_scripts", "S13", """
-    SELECT page_id, count(*) AS n_pages, max((html LIKE '%<script>%')::int) AS has_script FROM pages WHERE html NOT LIKE '%json-ld-posts-list%' GROUP BY page_id""")
+@query("embedded_scripts", "S13, F13, P7", """
+    SELECT page_id, page_id::varchar AS listing_id, (page_id % 700 + 200) * 1000.0::double AS price_sar, (page_id % 400 + 100)::double AS area_sqm, 'apartment' AS property_type_en
+    FROM pages WHERE page_id % 3 <> 0""")
 def embedded_scripts(t: Tables):
-    # the standard pages hold no listing document: the parser must give no rows, and each page must be read in full
-    found = D.listings_from_pages(t.pages, "html", keep=["page_id"]).select("page_id").distinct()
-    rest = t.pages.join(found, "page_id", "left_anti")
-    return rest.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_pages"), F.max(F.col("html").contains("<script>").cast("int")).alias("has_script"))
+    # two of three standard pages carry a listing behind their own markup, one a list of another kind: it must give no rows
+    k = F.col("page_id")
+    words = F.concat(F.lit("السعر: "), (k % 700 + 200).cast("string"), F.lit(" ألف\nمساحة العقار: "), (k % 400 + 100).cast("string"), F.lit("\nنوع العقار: شقة\nالمدينة: الرياض"))
+    item = F.struct(F.when(k % 3 == 0, "NewsArticle").otherwise("RealEstateListing").alias("@type"), F.struct(F.lit("الرياض").alias("addressLocality")).alias("address"),
+                    F.concat(F.lit("https://site.example/"), k.cast("string"), F.lit("/offer/")).alias("url"), words.alias("description"), F.lit("2025-06-01T10:00:00").alias("datePosted"))
+    doc = F.struct(F.struct(F.array(F.struct(item.alias("item"))).alias("itemListElement")).alias("mainEntity"))
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit('<script type="application/ld+json" id="json-ld-posts-list">'), F.to_json(doc), F.lit("</script>"))
+    found = D.listings_from_pages(t.pages.select("page_id", html.alias("html")), "html", keep=["page_id"])
+    return found.select("page_id", "listing_id", "price_sar", "area_sqm", "property_type_en")
 
 
 @query("keyed_documents", "S16, V3", """
