@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, clean, evaluate, model, spatial, split
-from ..products import city_model, layers, valuation
+from ..operators import aggregates, clean, encode, evaluate, model, spatial, split
+from ..products import city_model, layers, model_store, valuation
 from ..session import scratch_path, stored
 from .registry import Tables, query, rounded
 from .spatial import FLAT, nation_regions
@@ -119,6 +119,23 @@ def city_stack(t: Tables):
         (unexplained < 0.2).alias("explains_most"), F.bool_and(F.col("predicted").eqNullSafe(F.col("again"))).alias("same_when_loaded"))
 
 
+@query("model_versions", "S19, M15, E1", """
+    WITH a AS (SELECT region, avg(ln(1 + price)) AS e FROM sales WHERE qid < 20001 GROUP BY region)
+    SELECT s.id, round(coalesce(a.e, 0), 8) AS region_encoded, 2 AS model_version, 'true,true,false' AS accepted, '1,2' AS versions FROM sales s LEFT JOIN a USING (region)""")
+def model_versions(t: Tables):
+    """Three offers to a model store (the last one is worse) and a write that breaks off: the second version stays current."""
+    store = model_store.ModelStore(t.spark, scratch_path(t.spark, "model-store"))
+    lp, work = F.log1p("price"), t.sales.filter(WORK)
+    taken = []
+    for part, off in ((work.filter("dq < 12"), 1.2), (work, 1.1), (work.filter("dq >= 12"), 1.5)):
+        means = encode.fit_target_encoding(part, ["region"], lp).withColumnRenamed("encoded", "region_encoded")
+        guess = part.withColumn("guess", F.col("price") * off)
+        taken.append(store.offer(PipelineModel([city_model.Looked.of(means, ["region"], {"region_encoded": 0.0})]), evaluate.metrics(guess, "price", "guess"))[0])
+    store.write_aside(PipelineModel([]), evaluate.metrics(guess, "price", "price"))  # no mark follows
+    out = model_store.applied(store, t.sales.select("id", "region")).drop("region")
+    return rounded(out.withColumns({"accepted": F.lit(",".join(str(x).lower() for x in taken)), "versions": F.lit(",".join(map(str, store.numbers())))}), 8, "region_encoded")
+
+
 @query("value_districts", "V2, V3, M10, J7, J8, W8, C10", f"""
     WITH {SUBJ}, w AS (SELECT region AS district, kind, qid, psqm FROM deals WHERE qid < 20001), ct AS (SELECT region AS district, avg(lat) AS lat, avg(lon) AS lon FROM cust GROUP BY region),
     c1 AS (SELECT district, m, row_number() OVER (PARTITION BY district ORDER BY qid DESC) AS k FROM (SELECT district, qid, median(psqm) AS m FROM w GROUP BY ALL)),
