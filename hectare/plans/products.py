@@ -13,7 +13,10 @@ from .spatial import FLAT, nation_regions
 
 WORK = "qid < 20001"
 KINDS = ["ECONOMY", "PROMO", "STANDARD"]
-CITY_RULES = clean.subject_rules(["id", "lat", "lon"], {"borough": (0, 4)}, ["area"])
+
+
+def city_rules():
+    return clean.subject_rules(["id", "lat", "lon"], {"borough": (0, 4)}, ["area"])
 
 
 def subjects(t: Tables):
@@ -53,7 +56,7 @@ def value_city(t: Tables):
     ctx = valuation.CityContext(city_model.store_model(made, scratch_path(t.spark, "city-model")), errors, spreads, 12.5)
     predict = lambda df: df.withColumn("log_prediction", 0.5 * F.col("region_encoded") + 0.5 * F.col("mix_encoded") + 0.0001 * (F.col("area") - 2500)
                                        + 0.01 * F.col("log_dist_economy_m") - 0.002 * F.col("PROMO_count") + 0.003 * F.col("own_sales") + 0.0000001 * F.col("price_lag4"))
-    out = valuation.value_nyc(subjects(t), ctx, CITY_RULES, predict)
+    out = valuation.value_nyc(subjects(t), ctx, city_rules(), predict)
     sparse = F.array_contains("qc_flags", "SPARSE_MARKET").cast("int").alias("sparse")
     return out.select("id", F.coalesce(F.array_join("errors", "; "), F.lit("")).alias("errors"), "region", "comps", "predicted", "segment_medape",
                       "confidence_low", "confidence_high", "price_per_sqft", sparse, "asking_total")
@@ -108,7 +111,7 @@ def city_stack(t: Tables):
     errors = evaluate.segment_metrics(work.withColumn("guess", F.col("price") * 1.1), "price", "guess", {"borough": F.col("borough")})
     spreads = t.sales.groupBy("borough").agg(F.avg("psf").alias("asking_median")).withColumn("spread_pct", F.lit(10.0))
     later = sales.filter("qid >= 20001").select(F.col("id").alias("sale"), "price", F.col("parcel").alias("id"), "lat", "lon", "borough", "kind", F.when(F.col("id") % 10 != 0, F.col("area")).otherwise(-1.0).alias("area"))
-    value = lambda p: valuation.value_nyc(later, valuation.CityContext(p, errors, spreads, 12.5), CITY_RULES)
+    value = lambda p: valuation.value_nyc(later, valuation.CityContext(p, errors, spreads, 12.5), city_rules())
     valued, again = value(ready), value(made).select("sale", F.col("predicted").alias("again"))
     both = valued.join(again, "sale")
     p, y = F.log1p("predicted"), F.log1p("price")
