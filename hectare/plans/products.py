@@ -139,7 +139,7 @@ def model_versions(t: Tables):
     return rounded(out.withColumns({"accepted": F.lit(",".join(str(x).lower() for x in taken)), "versions": F.lit(",".join(map(str, store.numbers())))}), 8, "region_encoded")
 
 
-@query("value_districts", "V2, V3, M10, J7, J8, W8, C10", f"""
+@query("value_districts", "V2, V3, M10, J7, J8, J11, W8, C10, E1", f"""
     WITH {SUBJ}, w AS (SELECT region AS district, kind, qid, psqm FROM deals WHERE qid < 20001), ct AS (SELECT region AS district, avg(lat) AS lat, avg(lon) AS lon FROM cust GROUP BY region),
     c1 AS (SELECT district, m, row_number() OVER (PARTITION BY district ORDER BY qid DESC) AS k FROM (SELECT district, qid, median(psqm) AS m FROM w GROUP BY ALL)),
     dl AS (SELECT district, max(m) FILTER (WHERE k = 1) AS lag1, max(m) FILTER (WHERE k = 2) AS lag2 FROM c1 WHERE k <= 2 GROUP BY district HAVING count(*) = 2),
@@ -148,12 +148,15 @@ def model_versions(t: Tables):
     cty AS (SELECT kind, median(psqm) AS city FROM w GROUP BY kind), cl AS (SELECT median(psqm) AS city FROM w),
     ix AS (SELECT qid, kind, avg(psqm) / 20 AS v FROM w WHERE qid % 2 = 0 GROUP BY ALL), lx AS (SELECT kind, max_by(v, qid) AS v FROM ix GROUP BY kind),
     er AS (SELECT district, 8.0 + district AS e FROM (SELECT DISTINCT district FROM w) WHERE district % 2 = 0), sp AS (SELECT district, median(psqm) * 1.2 AS ask FROM w WHERE district % 3 = 0 GROUP BY district),
-    ok AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'A' ELSE 'R' END AS dk, least(1998 + id % 4, 1999) * 10 + 1 + id % 4 AS qid FROM q WHERE area > 0),
+    ok AS (SELECT *, 1 + id % 4 AS quarter, CASE WHEN id % 2 = 0 THEN 'A' ELSE 'R' END AS dk, least(1998 + id % 4, 1999) * 10 + 1 + id % 4 AS qid FROM q WHERE area > 0),
     n AS (SELECT * FROM (SELECT c.id, p.district, row_number() OVER (PARTITION BY c.id ORDER BY {FLAT}, p.district) AS k FROM ok c, ct p) WHERE k = 1),
-    f AS (SELECT ok.id, area, n.district, coalesce(lag1, cl.city) AS lag1, coalesce(lag2, cl.city) AS lag2, coalesce(t1, cty.city, cl.city) AS t1, coalesce(ix.v, lx.v, 100) AS iv, coalesce(er.e, 15.5) AS e, sp.ask
+    ge AS (SELECT avg(ln(1 + psqm)) AS g FROM w), te AS (SELECT district, kind, avg(ln(1 + psqm)) AS e FROM w GROUP BY ALL), bl AS (SELECT region AS district, count(*) AS places FROM cust GROUP BY region),
+    lv AS (SELECT c.id, CASE WHEN c.id % 3 <> 0 THEN count(*) FILTER (WHERE {FLAT} <= 800) END AS places FROM ok c, poi p GROUP BY c.id),
+    f AS (SELECT ok.id, area, n.district, coalesce(te.e, ge.g) AS te, coalesce(lv.places, bl.places) AS places, quarter, coalesce(lag1, cl.city) AS lag1, coalesce(lag2, cl.city) AS lag2, coalesce(t1, cty.city, cl.city) AS t1, coalesce(ix.v, lx.v, 100) AS iv, coalesce(er.e, 15.5) AS e, sp.ask
       FROM ok JOIN n USING (id) LEFT JOIN dl USING (district) LEFT JOIN tl ON tl.district = n.district AND tl.kind = ok.dk LEFT JOIN cty ON cty.kind = ok.dk
-      LEFT JOIN ix ON ix.qid = ok.qid AND ix.kind = ok.dk LEFT JOIN lx ON lx.kind = ok.dk LEFT JOIN er ON er.district = n.district LEFT JOIN sp ON sp.district = n.district, cl),
-    p AS (SELECT *, round_even(exp(ln(1 + t1) * 0.9 + 0.01 * ln(1 + iv) + 0.0001 * (lag1 - lag2)) - 1, 0) AS psqm, greatest(10, least(50, e)) AS conf FROM f)
+      LEFT JOIN ix ON ix.qid = ok.qid AND ix.kind = ok.dk LEFT JOIN lx ON lx.kind = ok.dk LEFT JOIN er ON er.district = n.district LEFT JOIN sp ON sp.district = n.district
+      LEFT JOIN te ON te.district = n.district AND te.kind = ok.dk JOIN bl ON bl.district = n.district JOIN lv ON lv.id = ok.id, cl, ge),
+    p AS (SELECT *, round_even(exp(ln(1 + t1) * 0.9 + 0.01 * ln(1 + iv) + 0.0001 * (lag1 - lag2) + 0.02 * te + 0.0001 * places + 0.001 * sin(pi() * quarter / 2)) - 1, 0) AS psqm, greatest(10, least(50, e)) AS conf FROM f)
     SELECT id, '' AS errors, district, psqm::bigint AS price_sqm, round_even(psqm * area, 0)::bigint AS total, round(conf, 4) AS conf_pct, trunc(psqm * (1 - conf / 100))::bigint AS conf_low,
       trunc(psqm * (1 + conf / 100))::bigint AS conf_high, round_even(coalesce(ask, psqm * 1.075), 0)::bigint AS asking_psqm FROM p
     UNION ALL SELECT id, 'area is not positive', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM q WHERE area <= 0""")
@@ -165,12 +168,17 @@ def value_districts(t: Tables):
     errors = known.filter("district % 2 = 0").select("district", (F.lit(8.0) + F.col("district")).alias("medape"))
     spreads = aggregates.median_by(work.filter("district % 3 = 0"), ["district"], ["psqm"]).select(
         "district", (F.col("psqm_median") * 1.2).alias("asking_median"), F.lit(20.0).alias("spread_pct"))
-    ctx = valuation.fit_districts(work, centres, index, errors, 15.5, spreads, 7.5, [("flat", "A"), ("villa", "R")])
-    predict = lambda df: df.withColumn("log_prediction", F.log1p("type_lag1") * 0.9 + 0.01 * F.log1p("type_index") + 0.0001 * F.col("momentum"))
+    baseline = t.cust.groupBy(F.col("region").alias("district")).agg(F.count(F.lit(1)).alias("places"))
+    made = valuation.DistrictFeatures(baseline, ["places"], work, {"is_flat": "A", "is_villa": "R"}, "A", 19994)
+    ctx = valuation.fit_districts(work, centres, index, errors, 15.5, spreads, 7.5, [("flat", "A"), ("villa", "R")], made)
+    predict = lambda df: df.withColumn("log_prediction", F.log1p("type_lag1") * 0.9 + 0.01 * F.log1p("type_index") + 0.0001 * F.col("momentum")
+                                       + 0.02 * F.col("district_type_encoded") + 0.0001 * F.col("places") + 0.001 * F.col("quarter_sin"))
     i = F.col("id")
     rows = subjects(t).select("id", "lat", "lon", "area", F.when(i % 2 == 0, "flat").otherwise("villa").alias("property_type"), (1998 + i % 4).cast("int").alias("year"), (1 + i % 4).cast("int").alias("quarter"))
+    # a third of the subjects has no look-up of its own
+    live = spatial.count_within(rows.select("id", "lat", "lon"), t.poi, 800, {"places": F.lit(True)}, metric="flat").filter("id % 3 <> 0").select("id", "places")
     rules = clean.subject_rules(["id", "lat", "lon", "property_type"], {"quarter": (1, 4)}, ["area"], {"property_type": ["flat", "villa"]})
-    out = valuation.value_riyadh(rows, ctx, predict, rules, 1999)
+    out = valuation.value_riyadh(rows, ctx, predict, rules, 1999, live)
     out = out.select("id", F.coalesce(F.array_join("errors", "; "), F.lit("")).alias("errors"), "district", "price_sqm", "total", "conf_pct", "conf_low", "conf_high", "asking_psqm")
     return rounded(out, 4, "conf_pct")
 

@@ -21,6 +21,7 @@ from ..operators.clean import validate_batch
 from ..operators.joins import lookup_chain
 from ..operators.quantiles import group_agg, join_groups, quantile_sets
 from ..operators.ranking import latest_n
+from ..session import stored
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -93,10 +94,23 @@ class DistrictContext:
     spreads: DataFrame
     spread_pct: Column | float
     types: list[tuple[str, str]]
+    features: DistrictFeatures | None = None
+
+
+@dataclass
+class DistrictFeatures:
+    """What ``district_features`` needs beside the subjects: baseline columns per district and the deals that encodings are taken from."""
+
+    baseline: DataFrame
+    columns: list[str]
+    work: DataFrame
+    kinds: dict[str, str]
+    main_kind: str
+    recent_from: int
 
 
 def fit_districts(work: DataFrame, centroids: DataFrame, index: DataFrame, errors: DataFrame, overall_error, spreads: DataFrame,
-                  spread_pct, types: list[tuple[str, str]]) -> DistrictContext:
+                  spread_pct, types: list[tuple[str, str]], features: DistrictFeatures | None = None) -> DistrictContext:
     """Fit the look-ups on the work panel rows (district, kind, qid, psqm); ``index`` is (qid, kind, type_index)."""
     sets = {"cells": ["district", "qid"], "typed": ["district", "kind", "qid"], "city": ["kind"], "all": []}
     mid = quantile_sets(work, sets, "psqm", {"m": 0.5})
@@ -104,7 +118,7 @@ def fit_districts(work: DataFrame, centroids: DataFrame, index: DataFrame, error
     type_lags = latest_n(typed, "_key", "qid", "m", 2).select("_key.*", F.col("lag1").alias("type_lag1"), F.col("lag2").alias("type_lag2"))
     newest = index.groupBy("kind").agg(F.max_by("type_index", "qid").alias("type_index"))
     return DistrictContext(centroids, latest_n(mid["cells"], "district", "qid", "m", 2, require_all=True), type_lags, mid["city"].withColumnRenamed("m", "city_type"),
-                           mid["all"].scalar(), index, newest, errors, overall_error, spreads, spread_pct, types)
+                           mid["all"].scalar(), index, newest, errors, overall_error, spreads, spread_pct, types, features)
 
 
 def district_features(subjects: DataFrame, centroids: DataFrame, baseline: DataFrame, live: DataFrame, columns: list[str], work: DataFrame,
@@ -121,37 +135,50 @@ def district_features(subjects: DataFrame, centroids: DataFrame, baseline: DataF
     own = live.select("id", *[F.col(c).alias(f"_l_{c}") for c in columns])
     out = out.join(base, "district", "left").join(own, "id", "left")
     out = out.withColumns({c: F.coalesce(f"_l_{c}", f"_b_{c}") for c in columns}).drop(*[f"_{x}_{c}" for c in columns for x in "bl"])
-    lp, recent, main = F.log1p("psqm"), F.col("qid") >= recent_from, F.col("kind") == main_kind
-    overall = encode.global_mean(work, lp)
-    for name, keys, where in (("district_encoded", ["district"], None), ("district_type_encoded", ["district", "kind"], None), ("district_recent_encoded", ["district"], recent),
-                              ("district_apt_encoded", ["district"], main), ("district_apt_recent_encoded", ["district"], main & recent)):
-        out = encode.apply_encoding(out, encode.fit_target_encoding(work, keys, lp, where=where), keys, name, overall)
+    # one pass over the deals; every encoding is a mean over some of the cells
+    cells = work.groupBy("district", "kind", (F.col("qid") >= recent_from).alias("_recent")).agg(F.sum(F.log1p("psqm")).alias("_s"), F.count("psqm").alias("_n"))
+    cells, _ = stored(cells, "district-cells")
+    recent, main, every = F.col("_recent"), F.col("kind") == main_kind, F.lit(True)
+    mean = lambda where: F.sum(F.when(where, F.col("_s"))) / F.nullif(F.sum(F.when(where, F.col("_n"))), F.lit(0))
+    rules = {"district_encoded": every, "district_recent_encoded": recent, "district_apt_encoded": main, "district_apt_recent_encoded": main & recent}
+    out = out.join(cells.groupBy("district").agg(*[mean(where).alias(name) for name, where in rules.items()]), "district", "left")
+    out = out.join(cells.groupBy("district", "kind").agg(mean(every).alias("district_type_encoded")), ["district", "kind"], "left")
+    out = out.withColumn("_all", cells.agg(mean(every)).scalar())
+    out = out.withColumns({name: F.coalesce(name, "_all") for name in (*rules, "district_type_encoded")}).drop("_all")
     angle = F.col("quarter") * (2 * math.pi / 4)
     return encode.one_hot(out, "kind", kinds).withColumns({"quarter_sin": F.sin(angle), "quarter_cos": F.cos(angle)})
 
 
-def value_riyadh(subjects: DataFrame, ctx: DistrictContext, predict: Predict, rules: dict[str, Column], last_year: int) -> DataFrame:
+def value_riyadh(subjects: DataFrame, ctx: DistrictContext, predict: Predict, rules: dict[str, Column], last_year: int,
+                 live: DataFrame | None = None) -> DataFrame:
     """Value a table of subjects (id, lat, lon, property_type, area, year, quarter) by district, type and period.
 
-    The type name is made canonical first; the year is held at the last trained one.
+    The type name is made canonical first; the year is held at the last trained one. With the context's ``features`` the prediction sees
+    encodings, type and season flags and the district's baseline columns too; ``live`` (id and those columns) wins where it is not null.
     """
     ok, bad = validate_batch(subjects, rules)
     named = ok.withColumns({"kind": map_type("property_type", ctx.types, "equals"),
                             "qid": F.least(F.coalesce(F.col("year"), F.lit(last_year)), F.lit(last_year)) * 10 + F.coalesce(F.col("quarter"), F.lit(4))})
-    placed = spatial.nearest_attrs(named, ctx.centroids, ["district"], "centroid_m", p_id="district")
+    if ctx.features is None:
+        placed = spatial.nearest_attrs(named, ctx.centroids, ["district"], "centroid_m", p_id="district")
+    else:
+        f = ctx.features
+        own = f.baseline.select(F.lit(None).cast(named.schema["id"].dataType).alias("id"), *f.columns).limit(0) if live is None else live
+        placed = district_features(named, ctx.centroids, f.baseline, own, f.columns, f.work, f.kinds, f.main_kind, f.recent_from)
     known = placed.join(ctx.lags, "district", "left").join(ctx.type_lags, ["district", "kind"], "left").join(ctx.city_type, "kind", "left")
     type1 = F.coalesce("type_lag1", "city_type", ctx.city_lag)
     known = known.withColumns({
         "lag1": F.coalesce("lag1", ctx.city_lag), "lag2": F.coalesce("lag2", ctx.city_lag),
         "type_lag1": type1, "type_lag2": F.coalesce(F.col("type_lag2"), type1)}).withColumn("momentum", F.col("lag1") - F.col("lag2"))
     known = lookup_chain(known, [(ctx.type_index, ["qid", "kind"], "type_index"), (ctx.latest_index, ["kind"], "type_index")], "type_index", 100.0)
-    priced = predict(known).withColumn("price_sqm", F.bround(F.expm1("log_prediction")).cast("bigint")).drop("log_prediction")
+    priced = predict(known).withColumn("price_sqm", F.bround(F.expm1("log_prediction")).cast("bigint"))
+    priced = priced.select(*named.columns, "district", "centroid_m", "price_sqm")
     overall = ctx.overall_error if isinstance(ctx.overall_error, Column) else F.lit(float(ctx.overall_error))
     out = evaluate.attach_error(priced, ctx.errors, "district", overall)
     out = evaluate.clamp_interval(out, "price_sqm", F.col("district_medape"))
     out = out.withColumn("total", F.bround(F.col("price_sqm") * F.col("area")).cast("bigint"))
     out = asking_overlay(out, ctx.spreads, "district", "price_sqm", F.col("area"), ctx.spread_pct)
-    helpers = ["kind", "qid", "lag1", "lag2", "type_lag1", "type_lag2", "city_type", "momentum", "type_index", "district_medape"]
+    helpers = ["kind", "qid", "district_medape"]
     return out.drop(*helpers).unionByName(bad, allowMissingColumns=True)
 
 
