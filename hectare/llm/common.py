@@ -98,6 +98,12 @@ def key_bits(keys: DataFrame, column: str) -> KeyBits:
     return KeyBits(keys.sparkSession.sparkContext.broadcast(words))
 
 
+def release(*bits: KeyBits) -> None:
+    """Free bitmaps that nothing unfinished reads."""
+    for one in bits:
+        one.shared.destroy()
+
+
 def key_filter(keys: DataFrame, column: str) -> Callable[[str], Column]:
     """A test on a column of 64-bit keys: true for every key of ``keys``. What it rejects is surely not among them."""
     bits = key_bits(keys, column)

@@ -16,7 +16,7 @@ from hectare.llm.hashing import LOWER, MinHash, common_size, shingle_sets, words
 from hectare.llm.line_dedup import compared_lines, dedup_lines, starred, stretches
 from hectare.llm.near_dedup import near_components, without_near_duplicates
 from hectare.llm.near_dedup import SKETCH_BITS, likely, sketched
-from hectare.llm.suffix_dedup import marked, merged_spans, minimisers, repeated_passages
+from hectare.llm.suffix_dedup import common_words, marked, merged_spans, minimisers, repeated_passages
 from hectare.session import scratch_path
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -398,3 +398,42 @@ def test_index_opened_with_other_partitions(spark, partitions):
             DigestIndex(spark, path, buckets=int(partitions))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_common_words():
+    a = np.array([7, 1 << 31, 3, 9], ">u4").tobytes()
+    for n in range(5):
+        assert common_words(a, a[: 4 * n]) == n
+    assert common_words(a, np.array([7, 1 << 31, 2, 9], ">u4").tobytes()) == 2 and common_words(b"", a) == 0
+
+
+def test_pairs_of_suffixes_are_decided_by_extension(spark):
+    """Two texts with one passage: no window is hashed; the neighbours are extended to exactly the common words."""
+    r = random.Random(12)
+    rows = []
+    for pair in range(30):
+        passage = [f"p{pair}w{i}" for i in range(r.choice([49, 50, 51, 80, 200]))]
+        rows += [" ".join([f"a{r.random()}" for _ in range(r.randint(0, 60))] + passage + [f"z{r.random()}" for _ in range(r.randint(0, 60))]) for _ in range(2)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    texts, later, first = brute_passages(rows, 50)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for x in marked(df, repeated_passages(df)).select("document.*", "passages").collect():
+        got = {True: set(), False: set()}
+        for p in x.passages or []:
+            a = len(x.text[: p["start"]].split())
+            got[p["later"]].update(range(a, a + p["n_words"]))
+        assert got[True] == later[x.doc_id] and got[False] == first[x.doc_id]
+
+
+@pytest.mark.parametrize("period", [1, 7, 34, 36, 51])
+def test_passages_of_periodic_texts(spark, period):
+    """Blocks that repeat inside their own window, in one text and in several."""
+    unit = [f"u{i}" for i in range(period)]
+    rows = [" ".join((unit * 300)[k : k + n]) for k, n in ((0, 170), (3, 120), (0, 49), (5, 50), (1, 260))]
+    rows = [(i, f"only{i} {t} end{i}" if i % 2 else t) for i, t in enumerate(rows)]
+    texts, later, _ = brute_passages(rows, 50)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.text.split() for x in marked(df, repeated_passages(df)).select("document.doc_id", "text").collect()}
+    for t, ((_, i), text) in enumerate(texts):
+        assert got[i] == [w for k, w in enumerate(text.split()) if k not in later[t]]
