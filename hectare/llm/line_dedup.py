@@ -17,16 +17,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, key_bits, key_filter, prepare, rows_among, staged, text_of
+from .common import discard, key_bits, key_filter, parts_for, prepare, rows_among, staged, text_of
 from .graph import components
 from .hashing import CHUNK, LOWER, MinHash, common_size, distinct, mixed
 
 WIDTH = 8
+# lower case, every blank but the line feed a space
+FOLDED = bytes(0x20 if c in b"\t\x0b\x0c\r" else LOWER[c] for c in range(256))
+LINES_PER_PART = 200_000
 
 
 def compared_lines(text: bytes) -> list[bytes]:
     """The lines as they are compared; blank lines are empty."""
-    return [b" ".join(line.split()) for line in text.translate(LOWER).split(b"\n")]
+    return [b" ".join(line.split()) if b"  " in line else line.strip() for line in text.translate(FOLDED).split(b"\n")]
 
 
 def line_key(line: bytes) -> int:
@@ -279,11 +282,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = 10, rows: int =
     """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
-    parts = parts or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = text_of(text_col)
     body = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     lined = staged(_occurrences(body, kind), "line-occurrences")
+    # a part's band values are held together in a task: their number follows the lines
+    parts = parts or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(lined.count(), LINES_PER_PART))
     edges = staged(_candidates(body, bands, rows, parts), "line-edges")
     nodes = staged(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct(), "line-nodes")
     lines = staged(_texts_of(body, nodes), "line-texts")

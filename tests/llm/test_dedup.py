@@ -437,3 +437,10 @@ def test_passages_of_periodic_texts(spark, period):
     got = {x.doc_id: x.text.split() for x in marked(df, repeated_passages(df)).select("document.doc_id", "text").collect()}
     for t, ((_, i), text) in enumerate(texts):
         assert got[i] == [w for k, w in enumerate(text.split()) if k not in later[t]]
+
+
+def test_lines_as_compared():
+    r = random.Random(8)
+    for _ in range(3000):
+        text = bytes(r.choice(b" \t\n\x0b\x0c\rabZ\x00\x1c\xc3") for _ in range(r.randint(0, 30)))
+        assert compared_lines(text) == [b" ".join(x.split()) for x in text.translate(LOWER).split(b"\n")]
