@@ -7,8 +7,8 @@ the first are repeats as a whole.
 
 The others are sorted twice: by the words that follow and by the words that precede. Neighbours in the first order are extended to the right
 and to the left; what both sides cover together is a repeat if it has ``least`` words. A suffix shares its longest stretch of words in an order
-with a neighbour, so two suffixes with one block are decided by this. Where more share a block, the two longest stretches tell which
-windows can be repeats at all, and only those are compared with each other by their hashes. Every repeat is found.
+with a neighbour, so two suffixes with one block are decided by this. Where more share a block, a suffix whose two longest stretches make less
+than a passage is done; only the windows of the others are compared with each other by their hashes. Every repeat is found.
 """
 
 from __future__ import annotations
@@ -113,15 +113,15 @@ def _minimised(body: DataFrame, id_kind: str, least: int, block: int, window: in
     return body.mapInArrow(run, f"doc_id {id_kind}, row_key bigint, pos int, n int, own bigint, whole bigint")
 
 
-def _suffixes(body: DataFrame, id_kind: str, shared: KeyBits, heads: KeyBits, least: int, block: int, window: int) -> DataFrame:
-    """The suffixes of ``heads`` with the words around them; the few others that the bitmaps let through do no harm."""
+def _suffixes(body: DataFrame, id_kind: str, heads: KeyBits, least: int, block: int, window: int) -> DataFrame:
+    """The suffixes of ``heads`` with the words around them; the few others that the bitmap lets through do no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row_key = batch.column(1).to_numpy()
             for first, part in chunks(batch.column(2).cast(pa.binary()).to_pylist()):
                 own = Suffixes(part, least, block, window)
-                wanted = np.flatnonzero(shared.among(own.own) & heads.among(_place_key(row_key[own.text + first], own.pos)))
+                wanted = np.flatnonzero(heads.among(_place_key(row_key[own.text + first], own.pos)))
                 left, right = own.contexts(wanted)
                 source = pa.array(own.text[wanted] + first)
                 doc_id = batch.column(0).take(source)
@@ -193,8 +193,8 @@ def _compared(suffixes: DataFrame, by: str, block: int, least: int, label: str)
     return found.where("border IS NULL").drop("border").unionByName(borders.mapInArrow(across, side)), found
 
 
-def _windows(body: DataFrame, id_kind: str, suffixes: KeyBits, wanted: KeyBits, least: int, block: int, window: int) -> DataFrame:
-    """key and place of the windows among ``wanted`` of the suffixes among ``suffixes``."""
+def _windows(body: DataFrame, id_kind: str, suffixes: KeyBits, least: int, block: int, window: int) -> DataFrame:
+    """key and place of the windows of the suffixes among ``suffixes``; the few others that the bitmap lets through do no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,10 +202,9 @@ def _windows(body: DataFrame, id_kind: str, suffixes: KeyBits, wanted: KeyBits,
             for first, part in chunks(batch.column(2).cast(pa.binary()).to_pylist()):
                 own = Suffixes(part, least, block, window)
                 text, pos, key = own.windows(np.flatnonzero(suffixes.among(_place_key(row_key[own.text + first], own.pos))))
-                here = wanted.among(_place_key(row_key[text + first], pos))
-                source = pa.array(text[here] + first)
+                source = pa.array(text + first)
                 doc_id = batch.column(0).take(source)
-                yield pa.RecordBatch.from_arrays([pa.array(key[here]), doc_id.is_null(), doc_id, batch.column(1).take(source), pa.array(pos[here].astype(np.int32))], names=["key", *PLACE])
+                yield pa.RecordBatch.from_arrays([pa.array(key), doc_id.is_null(), doc_id, batch.column(1).take(source), pa.array(pos.astype(np.int32))], names=["key", *PLACE])
 
     return body.mapInArrow(run, f"key bigint, no_id boolean, doc_id {id_kind}, row_key bigint, pos int")
 
@@ -264,20 +263,20 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
     discard(every)
     first = kept.groupBy("key").agg(F.min(F.struct(*PLACE, "own")).alias("first"))
     heads = staged(first.select("first.own", _place_key(F.col("first.row_key"), F.col("first.pos")).alias("place")), "heads")
-    shared, places = key_bits(heads.groupBy("own").agg(F.count("*").alias("n")).where("n > 1"), "own"), key_bits(heads, "place")
-    suffixes = staged(_suffixes(body, kind, shared, places, *shape), "suffixes")
-    release(repeated, shared, places)
+    # a block with one surrounding only is done
+    shared = heads.groupBy("own").agg(F.count("*").alias("n")).where("n > 1").select("own")
+    places = key_bits(heads.join(shared, "own", "left_semi"), "place")
+    suffixes = staged(_suffixes(body, kind, places, *shape), "suffixes")
+    release(repeated, places)
     forward, one = _compared(suffixes, "right", block, least, "by-following-words")
     backward, other = _compared(suffixes.drop("right"), "left", block, least, "by-preceding-words")
     # more than two suffixes with one block: neighbours are not all pairs
     crowded = suffixes.groupBy("own").agg(F.count("*").alias("n")).where("n > 2").select("own")
     reach = forward.drop("code").union(backward.drop("code")).groupBy("own", "row_key", "pos", "back").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    reach = staged(reach.where(f"l + r >= {least}").join(crowded, "own", "left_semi").select("row_key", "pos", "back", "l", "r"), "reach")
-    starts = reach.select("row_key", F.explode(F.expr(f"sequence(pos + back - l, pos + back + r - {least})")).alias("start"))
-    open_suffixes = key_bits(reach.select(_place_key(F.col("row_key"), F.col("pos")).alias("place")), "place")
-    open_windows = key_bits(starts.select(_place_key(F.col("row_key"), F.col("start")).alias("place")), "place")
-    windows = staged(_windows(body, kind, open_suffixes, open_windows, *shape), "windows")
-    release(open_suffixes, open_windows)
+    reach = reach.where(f"l + r >= {least}").join(crowded, "own", "left_semi")
+    undecided = key_bits(reach.select(_place_key(F.col("row_key"), F.col("pos")).alias("place")), "place")
+    windows = staged(_windows(body, kind, undecided, *shape), "windows")
+    release(undecided)
     extended = forward.where("code IS NOT NULL").select("row_key", "code")
     codes = extended.union(_marks(kept.drop("own"), "equal-surroundings")).union(_marks(windows, "equal-windows"))
 
@@ -290,7 +289,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, block: int = 16, window:
     # what one document takes part in is bounded by its own windows
     spans = codes.groupBy("row_key").agg(F.collect_set("code").alias("codes")).mapInArrow(run, "row_key bigint, spans array<struct<start:int,end:int,later:boolean>>")
     spans = staged(spans, "spans")
-    discard(kept, heads, suffixes, one, other, reach, windows)
+    discard(kept, heads, suffixes, one, other, windows)
     return spans
 
 
