@@ -74,8 +74,11 @@ def starred(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     head = nodes[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(keys) else nodes
     a = np.concatenate([head[~new], nodes[:-1][~new[1:]] if len(nodes) else nodes])
     b = np.concatenate([nodes[~new], nodes[1:][~new[1:]] if len(nodes) else nodes])
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return keys[new], nodes[new], pairs[:, 0], pairs[:, 1]
+    low, high = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    other = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(low) else np.zeros(0, bool)
+    return keys[new], nodes[new], low[other], high[other]
 
 
 def _occurrences(body: DataFrame, id_kind: str) -> DataFrame:
