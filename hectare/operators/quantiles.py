@@ -56,11 +56,14 @@ def group_agg(df: DataFrame, keys: list[str], aggs: list[Column] = (), quantiles
     return out.withColumn("_q", one_row(found)).select(*out.columns, *[F.col(f"_q.{name}").alias(name) for name in quantiles])
 
 
-def quantiles_by_rank(df: DataFrame, keys: list[str], values: list[tuple[Column, dict[str, float]]]) -> DataFrame:
-    """Exact quantiles ``(value, {out: p})`` of several values, per group that has a value; one row (of nulls, if need be) without keys."""
+def quantiles_by_rank(df: DataFrame, keys: list[str], values: list[tuple[Column, dict[str, float]]], weight: str | None = None) -> DataFrame:
+    """Exact quantiles ``(value, {out: p})`` of several values, per group that has a value; one row (of nulls, if need be) without keys.
+
+    ``weight``: a column that says how many rows (one at least) each row stands for.
+    """
     if not keys:
-        return _ranked(df, [], values)
-    return _ranked(df.withColumn("_g", F.struct(*keys)), ["_g"], values).select("_g.*", *[name for _, ps in values for name in ps])
+        return _ranked(df, [], values, weight)
+    return _ranked(df.withColumn("_g", F.struct(*keys)), ["_g"], values, weight).select("_g.*", *[name for _, ps in values for name in ps])
 
 
 def quantile_sets(df: DataFrame, sets: dict[str, list[str]], value: Column | str, quantiles: dict[str, float]) -> dict[str, DataFrame]:
@@ -76,16 +79,18 @@ def quantile_sets(df: DataFrame, sets: dict[str, list[str]], value: Column | str
     return {name: found.filter(F.col("_set") == i).select(*own, *quantiles) for i, (name, own) in enumerate(sets.items())}
 
 
-def _ranked(df: DataFrame, group: list[str], values: list[tuple[Column, dict[str, float]]]) -> DataFrame:
+def _ranked(df: DataFrame, group: list[str], values: list[tuple[Column, dict[str, float]]], weight: str | None = None) -> DataFrame:
     """The values are stacked as rows (number of the value, group, cell), so one count and one ranking serve them all.
 
     Distinct values are dealt by (group, cell) once; cell counts, ranks and the values of the needed cells all start from there.
     """
     doubles = [v.cast("double") for v, _ in values]
     stacked = F.posexplode(F.array(*doubles)).alias("_k", "_v")
-    rows = df.select(*group, stacked) if len(values) > 1 else df.select(*group, F.lit(0).alias("_k"), doubles[0].alias("_v"))
+    kept = [*group, F.col(weight).alias("_w")] if weight else group
+    rows = df.select(*kept, stacked) if len(values) > 1 else df.select(*kept, F.lit(0).alias("_k"), doubles[0].alias("_v"))
+    many = F.sum("_w") if weight else F.count(F.lit(1))
     whole, cell = [*group, "_k"], [*group, "_k", "_cell"]
-    counted = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*whole, cell_of(F.col("_v")).alias("_cell"), "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*whole, cell_of(F.col("_v")).alias("_cell"), "_v").agg(many.alias("_c"))
     counted = counted.repartition(*cell)
     in_order = Window.partitionBy(*whole).orderBy("_cell")
     cells = counted.groupBy(*cell).agg(F.sum("_c").alias("_in"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import ranking, temporal
 from ..operators.quantiles import group_agg
+from ..products.panel_store import PanelStore
+from ..session import scratch_path
 from .registry import Tables, query, rounded
 
 PANEL = """SELECT district, qid AS quarter_id, qid // 10 AS sale_year, qid % 10 AS sale_quarter, count(*) AS deed_count, round(sum(amount), 4) AS total_value,
@@ -19,6 +21,30 @@ def quarterly_panel(t: Tables):
     return A.quarterly_panel(t.deals, ["district"], "ts", "psqm", "amount", digits=6)
 
 
+def delivered(t: Tables):
+    """The deals in three deliveries, and the store that took them: the second holds late and corrected deals of old quarters and
+    takes some out; the third repeats the first."""
+    d = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "l_orderkey", "l_linenumber", F.col("n_name").alias("district"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("psqm"),
+        F.col("l_extendedprice").alias("amount"), F.col("l_shipdate").alias("ts"))
+    order = F.col("l_orderkey")
+    early = (F.col("ts") < "1997-01-01") & (order % 7 != 3)
+    wrong, gone = order % 5 == 0, order % 11 == 4
+    first = d.filter(early).withColumns({
+        "psqm": F.when(wrong, F.col("psqm") + 7).otherwise(F.col("psqm")), "amount": F.when(wrong, F.col("amount") * 2).otherwise(F.col("amount")),
+        "district": F.when(order % 10 == 0, F.lit("UNKNOWN")).otherwise(F.col("district")), "version": F.lit(1), "gone": F.lit(False)})
+    second = d.filter(~early | wrong | gone).withColumns({"version": F.lit(2), "gone": gone})
+    store = PanelStore(t.spark, scratch_path(t.spark, "panel-store"), ["l_orderkey", "l_linenumber"], "version", ["district"], "ts", "psqm", "amount", "gone", digits=6)
+    for delivery in (first, second.select(first.columns), first):
+        store.take(delivery)
+    return store
+
+
+@query("panel_deliveries", "R1, R2, A1, U2", PANEL.replace("WHERE ", "WHERE l_orderkey % 11 <> 4 AND "))
+def panel_deliveries(t: Tables):
+    return delivered(t).panel()
+
+
 @query("panel_rollup", "A2", f"""
     WITH p AS ({PANEL}) SELECT quarter_id, count(DISTINCT district) AS n_groups, sum(deed_count)::bigint AS n_deeds FROM p GROUP BY quarter_id""")
 def panel_rollup(t: Tables):

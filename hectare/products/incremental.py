@@ -14,8 +14,8 @@ def append_since(table: DataFrame, landed: DataFrame, ts: str, keys: list[str],
     """Add landed rows from the table's latest instant on; ``enrich`` maps them to the table's columns.
 
     Rows of that very instant may have been landed in part, so they are looked at again; keys that are stored already are
-    dropped, and running it twice adds nothing. Rows that arrive later with an older instant are not taken; all rows of an
-    empty table are.
+    dropped, and running it twice adds nothing. Rows that arrive later with an older instant are not taken (``panel_store``
+    takes late and corrected rows); all rows of an empty table are.
     """
     mark = table.agg(F.max(ts)).scalar()
     fresh = landed.filter((F.col(ts) >= mark) | mark.isNull())

@@ -1,11 +1,14 @@
 """Parsing, cleaning, confidence, modelling and append rules on edge rows."""
 
+from datetime import date
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hectare.functions import dates, numbers, text
-from hectare.operators import clean, evaluate, model
+from hectare.operators import aggregates, clean, evaluate, model
+from hectare.products import panel_store
 from hectare.session import scratch_path
 from hectare.sources import places, tables
 from hectare.streaming.append import append_stream
@@ -126,3 +129,50 @@ def test_stream_takes_only_new_files(spark):
     deliver([(1, 1), (2, 5), (2, 3)], "a")
     deliver([(2, 9), (3, 1)], "b")
     assert sorted((r.id, r.v) for r in spark.read.parquet(f"{base}/table").collect()) == [(1, 1), (2, 3), (3, 1)]
+
+
+def test_panel_store_equals_a_full_rebuild(spark):
+    schema = "id int, version int, district string, ts date, psqm double, amount double, gone boolean"
+    day = lambda q: date(2020, 3 * q - 1, 5)
+    r = np.random.default_rng(4)
+    folder = scratch_path(spark, "panel")
+    store = panel_store.PanelStore(spark, folder, ["id"], "version", ["district"], "ts", "psqm", "amount", "gone")
+    state, touched = {}, []
+    deliveries = [[(i, 1, "ab"[i % 2], day(1 + i % 4), float(r.integers(90, 130)), float(r.integers(1, 99)) / 10, False) for i in range(60)]]
+    # corrected price, district and quarter; a late row; a deletion; an older version after a newer one; a null price, day and district
+    deliveries.append([(0, 2, "a", day(1), 500.5, 0.1, False), (1, 2, None, day(1), 120.0, 0.2, False), (4, 3, "b", day(1), 110.0, None, True), (99, 1, "a", day(1), 101.0, 3.0, False),
+                       (98, 1, "a", None, 101.0, 3.0, False), (97, 1, "a", day(1), None, 3.0, False), (0, 3, "a", day(1), 501.5, 0.1, False), (96, None, "a", day(1), 111.0, 1.0, False)])
+    deliveries.append([(4, 2, "b", day(1), 115.0, 1.0, False), (0, 1, "a", day(2), 105.0, 1.0, False), (96, 1, "a", day(1), 112.0, 1.0, False)])
+    # one quarter emptied
+    deliveries.append([(i, 9, "a", day(4), 100.5, 1.0, True) for i in range(3, 60, 4)])
+    for rows in deliveries:
+        number = store.take(spark.createDataFrame(rows, schema))
+        touched.append(store.commits()[-1]["quarters"])
+        for x in rows:
+            if x[0] not in state or (x[1] or 0) > (state[x[0]][1] or 0):
+                state[x[0]] = x
+        assert store.take(spark.createDataFrame(rows, schema)) == number
+        want = spark.createDataFrame([x for x in state.values() if not x[6]], schema)
+        assert sorted(map(str, store.deals().collect())) == sorted(map(str, want.collect()))
+        full = aggregates.quarterly_panel(want, ["district"], "ts", "psqm", "amount")
+        assert sorted(map(str, store.panel().select(full.columns).collect())) == sorted(map(str, full.collect()))
+    assert touched == [[20201, 20202, 20203, 20204], [20201, 20202], [20201], [20204]]
+
+
+def test_panel_store_broken_write_and_second_writer_change_nothing(spark, monkeypatch):
+    schema = "id int, version int, district string, ts date, psqm double, amount double"
+    store = panel_store.PanelStore(spark, scratch_path(spark, "panel"), ["id"], "version", ["district"], "ts", "psqm", "amount", min_n=1)
+    assert store.take(spark.createDataFrame([], schema)) == 0
+    with pytest.raises(LookupError):
+        store.panel()
+    assert store.take(spark.createDataFrame([(1, 1, "a", None, 150.0, 1.0)], schema)) == 1 and store.panel().collect() == []
+    row = lambda n: spark.createDataFrame([(1, n, "a", date(2020, 1, 1), 150.0 + n, 1.0)], schema)
+    assert store.take(row(2)) == 2
+    with monkeypatch.context() as m:
+        m.setattr(store, "_panel_of", lambda cells: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.take(row(3))
+    assert [x.median_psqm for x in store.panel().collect()] == [152.0]
+    with pytest.raises(Exception, match="already exists"):
+        store._commit("other", [], 1)
+    assert store.take(row(3)) == 3 and [x.median_psqm for x in store.panel().collect()] == [153.0]
