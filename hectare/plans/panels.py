@@ -25,7 +25,7 @@ def delivered(t: Tables):
     """The deals in three deliveries, and the store that took them: the second holds late and corrected deals of old quarters and
     takes some out; the third repeats the first."""
     d = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        "l_orderkey", "l_linenumber", F.col("n_name").alias("district"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("psqm"),
+        "l_orderkey", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("deed"), F.col("n_name").alias("district"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("psqm"),
         F.col("l_extendedprice").alias("amount"), F.col("l_shipdate").alias("ts"))
     order = F.col("l_orderkey")
     early = (F.col("ts") < "1997-01-01") & (order % 7 != 3)
@@ -34,7 +34,7 @@ def delivered(t: Tables):
         "psqm": F.when(wrong, F.col("psqm") + 7).otherwise(F.col("psqm")), "amount": F.when(wrong, F.col("amount") * 2).otherwise(F.col("amount")),
         "district": F.when(order % 10 == 0, F.lit("UNKNOWN")).otherwise(F.col("district")), "version": F.lit(1), "gone": F.lit(False)})
     second = d.filter(~early | wrong | gone).withColumns({"version": F.lit(2), "gone": gone})
-    store = PanelStore(t.spark, scratch_path(t.spark, "panel-store"), ["l_orderkey", "l_linenumber"], "version", ["district"], "ts", "psqm", "amount", "gone", digits=6)
+    store = PanelStore(t.spark, scratch_path(t.spark, "panel-store"), ["l_orderkey", "deed"], "version", ["district"], "ts", "psqm", "amount", "gone", digits=6)
     for delivery in (first, second.select(first.columns), first):
         store.take(delivery)
     return store
