@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import regions, spatial
 from ..session import scratch_path
 from ..sources import deals as D
-from ..sources import dims, places
+from ..sources import collections, dims, places
 from ..sources import tables as S
 from .registry import Tables, query, rounded
 
@@ -70,6 +70,14 @@ def geojson_points(t: Tables):
     return out.withColumn("id", F.col("id").cast("bigint"))
 
 
+@query("collection_points", "S6, S7, S18", """SELECT id, kind, round(lat, 6) AS lat, round(lon, 6) AS lon FROM cust""")
+def collection_points(t: Tables):
+    path = scratch_path(t.spark, "collections")
+    collections.write_collections(t.cust, places.point_geometry("lat", "lon"), {"id": F.col("id"), "kind": F.col("kind")}, path, by=["id"])
+    out = places.geojson_points(collections.collection_features(t.spark, path), {"id": "id", "kind": "kind"})
+    return out.withColumn("id", F.col("id").cast("bigint"))
+
+
 @query("geojson_vertices", "S7", """
     SELECT id, count(*) AS n, round(sum(lat), 6) AS lat, round(sum(lon), 6) AS lon FROM (
       SELECT id, lat + 0.001 * i AS lat, lon + 0.002 * i AS lon FROM cust, (SELECT unnest(range(12)) AS i) WHERE CASE id % 3 WHEN 0 THEN i = 0 WHEN 1 THEN i % 3 = 0 ELSE i % 5 = 0 END) GROUP BY id""")

@@ -43,7 +43,7 @@ FEATURE = "struct<geometry:struct<type:string,coordinates:string>,properties:map
 def read_features(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """GeoJSON features as column ``feature``: one feature per line, or whole FeatureCollection files (``lines=False``).
 
-    A collection is one JSON document, which one task must read in full; large layers should come one feature per line.
+    A collection is one JSON document, which one task reads in full here; ``collections.collection_features`` reads it by byte ranges.
     """
     if lines:
         return features_from_text(spark.read.text(path).filter(F.trim("value") != ""), "value")

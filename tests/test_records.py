@@ -1,5 +1,6 @@
 """Parsing, cleaning, confidence, modelling and append rules on edge rows."""
 
+import json
 from datetime import date
 
 import numpy as np
@@ -10,7 +11,7 @@ from hectare.functions import dates, numbers, text
 from hectare.operators import aggregates, clean, evaluate, model
 from hectare.products import panel_store
 from hectare.session import scratch_path
-from hectare.sources import places, tables
+from hectare.sources import collections, places, tables
 from hectare.streaming.append import append_stream
 
 
@@ -176,3 +177,26 @@ def test_panel_store_broken_write_and_second_writer_change_nothing(spark, monkey
     with pytest.raises(Exception, match="already exists"):
         store._commit("other", [], 1)
     assert store.take(row(3)) == 3 and [x.median_psqm for x in store.panel().collect()] == [153.0]
+
+
+@pytest.mark.parametrize("size", ["64", "300", "1m"])
+def test_collections_are_read_by_byte_ranges(spark, size):
+    folder = scratch_path(spark, "collections")
+    odd = ['a{b', 'c}d"', "\\", "\\\"{", "شقة", "", "{" * 30, "x" * 500]
+    features = [{"type": "Feature", "id": i, "geometry": {"type": "Point", "coordinates": [46.0 + i, 24.0]} if i % 5 else None,
+                 "properties": {"name": f"{i}{odd[i % 8]}", "nested": {"a": {"b": odd[(i + 3) % 8]}}}} for i in range(40)]
+    head = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn}{"}}, "bbox": [1, 2]}
+    docs = {"one": json.dumps(head | {"features": features[:30]}), "two": json.dumps(head | {"features": features[30:]}, indent=2, ensure_ascii=False), "none": json.dumps(head | {"features": []})}
+    for name, text in docs.items():
+        spark.createDataFrame([(text,)], "v string").coalesce(1).write.text(f"{folder}/{name}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert size == "1m" or spark.read.text(f"{folder}/one").rdd.getNumPartitions() > 10
+        got = {r.name: r.geo for r in collections.collection_features(spark, f"{folder}/*").select(
+            F.col("feature.properties")["name"].alias("name"), F.col("feature.geometry.coordinates").alias("geo")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {f["properties"]["name"]: f["geometry"] and json.dumps(f["geometry"]["coordinates"], separators=(",", ":")) for f in features}
+    assert collections.collection_features(spark, f"{folder}/none").count() == 0
