@@ -1,7 +1,7 @@
 """Lags, momentum, look-back means, index changes and sale histories.
 
-Lags are taken on aggregated (key, period) tables by shifting the period and joining. Histories of single rows are cut
-by calendar period, so that a key with very many rows is spread over tasks.
+Lags are taken on aggregated (key, period) tables by shifting the period and joining. Histories of single rows are dealt
+by ranges of the order, so that a key with very many rows is spread over tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from ..functions.dates import clip, years_between
 from ..functions.numbers import one_row
 from ..session import stored
 from .joins import shift_join
+from .ordered import previous_row
 from .quantiles import group_agg, join_groups, quantile_sets
 from .ranking import top_per_key
 
@@ -100,33 +101,23 @@ def index_change_calendar(index: DataFrame, period: str, value: str, offsets: di
     return out
 
 
-def previous_in_key(df: DataFrame, key: str, ts: str, ids: list[str], cols: list[str], prefix: str = "prev_",
-                    cut: str = "month") -> DataFrame:
+def previous_in_key(df: DataFrame, key: str, ts: str, ids: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:
     """The previous row's columns within a key, ordered by (ts, ids).
 
-    A plain ``lag`` orders a whole key in one task. Here rows are ordered within (key, calendar cut); the first row of a
-    cut takes its predecessor from the key's table of last rows per cut.
+    A plain ``lag`` orders a whole key in one task. Here rows are dealt by ranges of (key, ts, ids), so neither a hot key nor a hot
+    instant lands in one task.
     """
-    snapshot = F.struct(F.col(ts).alias("_pt"), *[F.col(c).alias(f"_p_{c}") for c in cols])
-    rows = df.withColumn("_cut", F.date_trunc(cut, ts))
-    order = Window.partitionBy(key, "_cut").orderBy(ts, *ids)
-    local = rows.withColumn("_prev", F.lag(snapshot).over(order))
-    last = rows.groupBy(key, "_cut").agg(F.max_by(snapshot, F.struct(ts, *ids)).alias("_last"))
-    carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(key).orderBy("_cut"))).drop("_last")
-    best = F.coalesce(F.col("_prev"), F.col("_carry"))
-    out = local.join(carry, [key, "_cut"], "left").withColumn("_best", best)
-    return out.withColumns({f"{prefix}{c}": F.col(f"_best._p_{c}") for c in cols} | {f"{prefix}ts": F.col("_best._pt")}).drop(
-        "_cut", "_prev", "_carry", "_best")
-
-
-def prior_sale(df: DataFrame, parcel: str, ts: str, price: str, ids: list[str], cut: str = "month") -> DataFrame:
+    row = F.struct(F.col(ts).alias("_pt"), *[F.col(c).alias(f"_p_{c}") for c in cols])
+    out = previous_row(df, key, [ts, *ids], row, "_best")
+    return out.withColumns({f"{prefix}{c}": F.col(f"_best._p_{c}") for c in cols} | {f"{prefix}ts": F.col("_best._pt")}).drop("_best")
+
+
+def prior_sale(df: DataFrame, parcel: str, ts: str, price: str, ids: list[str]) -> DataFrame:
     """Prior sale of the same parcel: price, years since, clipped appreciation, flip (< 2 years) and presence flags.
 
     Rows without a parcel key have no history.
     """
-    keyed = previous_in_key(df.filter(F.col(parcel).isNotNull()), parcel, ts, ids, [price], "prior_", cut)
-    loose = df.filter(F.col(parcel).isNull())
-    out = keyed.unionByName(loose, allowMissingColumns=True)
+    out = previous_in_key(df, parcel, ts, ids, [price], "prior_")
     years = years_between(ts, "prior_ts", lo=0.0)
     old = F.when(F.col(f"prior_{price}") > 0, F.col(f"prior_{price}"))
     return out.withColumns({

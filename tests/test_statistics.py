@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hectare.operators import aggregates, encode, impute, joins, ranking, split, temporal
+from hectare.operators import aggregates, encode, impute, joins, ordered, ranking, split, temporal
 from hectare.operators.quantiles import group_agg, value_at_rank
 
 
@@ -171,3 +171,26 @@ def test_top_rows_are_limited_before_the_shuffle(spark):
 def test_slope_rules(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 1.0), ("b", 2, 3.0), ("b", 3, 5.0), ("c", 1, 1.0), ("c", 1, 2.0), ("c", 1, 4.0)], "k string, x int, y double")
     assert {r.k: r.slope for r in aggregates.trend_slope(df, "k", "x", "y").collect()} == {"a": 0.0, "b": 2.0, "c": 0.0}
+
+
+@pytest.mark.parametrize("parts", ["1", "8"])
+def test_previous_rows_of_a_hot_instant_run_in_many_tasks(spark, parts):
+    r = random.Random(8)
+    days = [None, ts("2020-01-01"), ts("2020-01-01"), ts("2020-01-01"), ts("2021-05-01")]
+    rows = [(i, r.choice(["hot"] * 8 + ["a", "b", None]), r.choice(days), float(i)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, parcel string, ts timestamp, price double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        hot = ordered.stretches(df, ["parcel", "ts", "id"]).filter("parcel = 'hot' AND ts = '2020-01-01'").groupBy("_part").count().collect()
+        assert len(hot) >= (4 if parts == "8" else 1) and max(x["count"] for x in hot) <= (700 if parts == "8" else 4000)
+        got = {x.id: (x.prev_price, x.prev_ts) for x in temporal.previous_in_key(df, "parcel", "ts", ["id"], ["price"]).collect()}
+        assert temporal.previous_in_key(df.filter("id < 0"), "parcel", "ts", ["id"], ["price"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want, last = {}, {}
+    for i, key, at, price in sorted(rows, key=lambda x: (x[2] is not None, x[2] or ts("1970-01-01"), x[0])):
+        want[i] = last.get(key, (None, None)) if key else (None, None)
+        last[key] = (price, at)
+    assert got == want
